@@ -180,14 +180,18 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     seen = stored(profiles(rows, size, part, whole), "profiles")
     live = seen.where("n_shingles > 0 and doc_id is not null")
     heads = stored(live.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "n_shingles")).alias("h")).select("digest", "h.*"), "heads")
-    signed = live.join(heads.select("doc_id", "row_key"), ["doc_id", "row_key"], "left_semi").select("doc_id", F.explode("signatures").alias("sig"))
-    signed = stored(signed, "signatures")
-    shared = signed.groupBy("sig").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("sig", "a")
-    near = signed.join(shared, "sig").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    # each signature's first document stands for the others; the running frame keeps one row of a hot signature in memory
+    signed = live.select("doc_id", F.explode("signatures").alias("sig"))
+    first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    star = signed.select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    twins = stored(live.join(heads.select("digest", F.col("doc_id").alias("a")), "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "twins")
+    near = star
+    for end in ("a", "b"):  # copies of a set give way to its smallest document
+        near = near.join(twins.select(F.col("a").alias("to"), F.col("b").alias(end)), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    near = near.where("a <> b").distinct()
     family = stored(components(near), "families")
     pairs = _links(rows, heads, family, size, part, whole)
     # documents of one set, and one doc_id with several sets, are one node
-    twins = live.join(heads.select("digest", F.col("doc_id").alias("a")), "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     roots = components(pairs.unionByName(twins))
     return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
@@ -212,8 +216,9 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part
     placed = cut.join(block.select("root", "level", "sub", F.col("no").alias("no_")), ["root", "level", "sub"])
     wide = placed.join(ends, ["root", "no_"]).select("doc_id", "row_key", "root", "i", "j", "side")
     tasks = stored(small.unionByName(wide), "tasks")
-    full = rows.join(tasks.select("doc_id", "row_key").distinct(), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
-    return full.join(tasks, ["doc_id", "row_key"]).groupBy("root", "i", "j").applyInArrow(_verify(size, part, whole), "a long, b long")
+    # a shuffle at every size: what is sent then follows the input
+    full = rows.join(tasks.select("doc_id", "row_key").distinct().hint("merge"), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return full.join(tasks.hint("merge"), ["doc_id", "row_key"]).groupBy("root", "i", "j").applyInArrow(_verify(size, part, whole), "a long, b long")
 
 
 def family_sizes(member: DataFrame) -> DataFrame:

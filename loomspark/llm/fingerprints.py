@@ -64,8 +64,8 @@ def clashes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     kinds = found.groupBy("digest", "row_key").agg(F.min("doc_id").alias("d"))
     buckets = kinds.groupBy("digest").agg(F.count("*").alias("n"), F.min("row_key").alias("head")).where("n > 1")
-    wanted = kinds.join(buckets, "digest")
-    forms = canonical_texts(docs.join(wanted.select("row_key", "digest", "n", "head").distinct(), "row_key", "left_semi"))
+    wanted = stored(kinds.join(buckets, "digest").select("digest", "row_key", "n", "head"), "wanted")
+    forms = canonical_texts(docs.join(wanted.select("row_key").distinct(), "row_key", "left_semi"))
     own = wanted.join(forms, "row_key").select("digest", "row_key", "n", "form", (F.col("row_key") == F.col("head")).alias("is_head"))
     heads = own.where("is_head").select("digest", F.col("form").alias("head_form"), F.explode(F.sequence(F.lit(0), (F.col("n") / SPREAD).cast("int"))).alias("salt"))
     members = own.where("not is_head").withColumn("salt", F.pmod(F.xxhash64("row_key"), (F.col("n") / SPREAD).cast("int") + 1).cast("int"))

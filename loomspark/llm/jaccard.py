@@ -3,10 +3,12 @@
 Sizes fall into bands [l, floor(l / t)]. Linked sets lie in one band or in
 neighbours, and differ in at most k = floor(r * (1 - t) / t) shingles for the upper
 bound r of the lower band. Each band instance deals the shingle domain into
-n1 = ceil((k + 1) / 2) first-level parts of SECOND second-level parts; one first-level
+n1 >= (k + 1) / 2 first-level parts of two second-level parts; one first-level
 part holds at most one of k differences, so after leaving out one of its
 second-level parts the rest is equal in both sets. The signatures are the
-hashes of these SECOND subsets per part; sets that share none are not linked.
+hashes of these subsets; sets that share none are not linked. A set with more
+than k subsets that are not empty signs only those: k differences cannot touch
+them all. SPARE parts more than needed make nearly every set one of these.
 
 Sets with a shared signature form families. Small families are compared in
 one task, larger ones by pairs of size-ordered blocks, both by counting common
@@ -16,7 +18,7 @@ shingles exactly. Tasks return spanning links only, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from loomspark.llm._store import stored
 from loomspark.llm._text import FOLDED, Words, blocks, mix, split
 from loomspark.llm.components import components
 
-SECOND = 2
+SPARE = 1.1
+COMMON_OF, COMMON_IN, COMMON_MOST = 10_000, 4, 1 << 17
 #: Shingles of a block of a large family; one document at least.
 BLOCK_SHINGLES = 1 << 19
 _U = np.uint64
@@ -54,23 +57,51 @@ class Signer:
             self.lows = np.array([b[0] for b in self.bands])
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """Of the set's own band instance and of the one below."""
+    def signatures(self, shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Of the set's own band instance and of the one below; common shingles, which may be any fixed set, sign nothing."""
         band = self.band(len(shingles))
-        return np.concatenate([self.instance(shingles, b) for b in (band, band - 1) if b >= 0])
+        rare = shingles[~among(shingles, common)]
+        return np.concatenate([self.instance(shingles, rare, b) for b in (band, band - 1) if b >= 0])
 
-    def instance(self, shingles: np.ndarray, band: int) -> np.ndarray:
-        n1 = ceil((self.bands[band][2] + 1) / 2)
+    def instance(self, every: np.ndarray, shingles: np.ndarray, band: int) -> np.ndarray:
+        k = self.bands[band][2]
         salt = 0xBA4D + 2 * band + 1
-        if self.bands[band][2] == 0:
-            return mix(np.array([np.add.reduce(mix(shingles, 3), dtype=_U)], _U), salt)
-        place = ((mix(shingles, 5) >> _U(32)) * _U(n1 * SECOND) >> _U(32)).astype(np.int64)
-        sums = np.zeros(n1 * SECOND, _U)
-        np.add.at(sums, place, mix(shingles, 3))
-        sums = sums.reshape(n1, SECOND)
-        left_out = sums.sum(axis=1, dtype=_U)[:, None] - sums
-        slot = np.arange(n1 * SECOND, dtype=_U) * _U(0x9E3779B97F4A7C15)
-        return mix(mix(left_out.ravel(), salt) + slot)
+        if k == 0:
+            return mix(np.array([np.add.reduce(mix(every, 3), dtype=_U)], _U), salt)
+        n1 = ceil(SPARE * (k + 1) / 2)
+        place = ((mix(shingles, 5) >> _U(32)) * _U(2 * n1) >> _U(32)).astype(np.int64)
+        parts = np.zeros(2 * n1, _U)
+        np.add.at(parts, place, mix(shingles, 3))
+        # subset of each first-level part: what is left without one of its two second-level parts
+        left = parts.reshape(n1, 2)[:, ::-1].ravel()
+        signed = mix(mix(left, salt) + np.arange(2 * n1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        full = left != 0
+        return signed[full] if full.sum() > k else signed
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array known."""
+    if not len(known) or not len(values):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingles of COMMON_IN documents or more among COMMON_OF documents (those of the smallest hash of doc_id), the most frequent COMMON_MOST.
+
+    Leaving one fixed set of shingles out of every set never adds differences, so
+    whatever this returns, no link is lost; it keeps shared passages from making families.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets(split(block.column("text"), FOLDED), size), np.empty(0, _U)]).view(np.int64))], ["s"])
+
+    ids = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(COMMON_OF)
+    found = rows.join(F.broadcast(ids), "doc_id").select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_IN)
+    top = found.orderBy(F.desc("c"), "s").limit(COMMON_MOST).toArrow().column("s").combine_chunks()
+    return np.sort(top.to_numpy().view(_U)) if len(top) else np.empty(0, _U)
 
 
 def sets(words: Words, size: int) -> list[np.ndarray]:
@@ -87,13 +118,14 @@ def sets(words: Words, size: int) -> list[np.ndarray]:
 
 def profiles(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, signatures."""
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # 1 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(part, whole)
         for b in batches:
             for block in blocks(b):
                 found = sets(split(block.column("text"), FOLDED), size)
-                signed = [signer.signatures(s) if len(s) else s for s in found]
+                signed = [signer.signatures(s, held.value) if len(s) else s for s in found]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in signed])])
                 values = pa.array(np.concatenate(signed).view(np.int64) if len(signed) else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -202,7 +234,7 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part
     small = member.join(total.where(F.col("shingles") <= BLOCK_SHINGLES).select("root"), "root", "left_semi").select("doc_id", "row_key", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
     # larger families: blocks in order of size, and the pairs of blocks whose sizes can link
     large = member.join(total.where(F.col("shingles") > BLOCK_SHINGLES).select("root", "shingles"), "root")
-    level = F.floor(F.log(F.col("n_shingles").cast("double")) * 64).cast("int")
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / log(whole / part)).cast("int")  # links reach the next level at most
     cut = large.withColumn("level", level)
     held = cut.groupBy("root", "level").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("c"))
     cut = cut.join(held, ["root", "level"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))

@@ -40,9 +40,10 @@ def chunk_spans(lines: str, *, window: int, divisor: int) -> list[tuple[str, Col
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
-    """row (all columns of docs), d and k (order and identity of a document), text."""
+    """row (all columns of docs but the text), d and k (order and identity of a document), text."""
     clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(clean).alias("k"), clean.alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(*others, F.col(text).isNull().alias("_no_text")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(clean).alias("k"), clean.alias("text"))
 
 
 def chunks(rows: DataFrame, *, window: int, divisor: int) -> DataFrame:
@@ -93,5 +94,5 @@ def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, text: str
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    own = [F.when(F.col(f"row.`{c}`").isNotNull(), F.col("kept")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names]
+    own = [F.when(~F.col("row._no_text"), F.col("kept")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names]
     return out.select(*own, n_lines.alias("n_lines"), n_gone.alias("n_removed_lines"))

@@ -142,11 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, pool: int =
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*by).limit(pool)
     picked = few.unionByName(rest.withColumn("quality", F.lit(None).cast("int")))
     got = rows.join(F.broadcast(picked), "doc_id").mapInArrow(run, _VIEWS).toArrow()  # at most most + pool ids
-    table = {c: got.column(c).to_pylist() for c in got.column_names}
-    order = sorted(range(len(got)), key=lambda i: (zlib.crc32(str(table["row_id"][i]).encode()), table["row_id"][i], table["c"][i]))
-    c = np.array([table["c"][i] for i in order], float).reshape(len(order), 26)
-    m = np.array([table["m"][i] for i in order], float).reshape(len(order), SOURCES + 19)
-    q = np.array([-1 if table["quality"][i] is None else table["quality"][i] for i in order])
+    flat = lambda name, width: got.column(name).combine_chunks().flatten().to_numpy().reshape(len(got), width)
+    c, m = flat("c", 26), flat("m", SOURCES + 19)
+    q = got.column("quality").fill_null(-1).to_numpy()
+    ids = got.column("row_id").to_numpy()
+    mixed = np.array([zlib.crc32(str(i).encode()) for i in ids.tolist()])
+    order = np.lexsort((c.sum(axis=1), ids, mixed))
+    c, m, q = c[order], m[order], q[order]
     return co_train(c[q >= 0], m[q >= 0], q[q >= 0].astype(float), c[q < 0], m[q < 0])
 
 

@@ -27,6 +27,17 @@ def changed_files(spark: SparkSession, root: str, base: str | None = None) -> Da
     return spark.createDataFrame(sorted(found.items()), "rel_path string, status string").where(~F.col("rel_path").startswith(".."))
 
 
+def diffs(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
+    """rel_path, diff (without context lines) of every tracked file that changed, from one call of git."""
+    against = [git(root, "merge-base", base, "HEAD").strip(), "HEAD"] if base else ["HEAD"]
+    found = {}
+    for part in git(root, "diff", "--unified=0", "--no-renames", "--no-color", "--no-ext-diff", "--relative", *against).split("\ndiff --git "):
+        named = [line[6:] for line in part.splitlines()[:8] if line.startswith("+++ b/")]
+        if named:
+            found[named[0].rstrip("\t")] = part
+    return spark.createDataFrame(sorted(found.items()), "rel_path string, diff string")
+
+
 def changed_ranges(diffs: DataFrame, files: DataFrame) -> DataFrame:
     """(rel_path, start, end). diffs: rel_path, diff (unified, no context). files: rel_path, status, source_text; added files change as a whole, deleted ones nowhere."""
     hunks = diffs.join(files.where("status not in ('added', 'deleted')").select("rel_path"), "rel_path", "left_semi").select("rel_path", F.explode(T.hunks(F.col("diff"))).alias("h")).select("rel_path", F.col("h.start").alias("start"), F.col("h.end").alias("end"))

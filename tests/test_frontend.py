@@ -39,18 +39,18 @@ def test_failures_are_rows(spark):
     assert nodes.parsed(spark.createDataFrame([("n", None), ("e", "")], "rel_path string, source_text string")).count() == 1
 
 
-@pytest.mark.parametrize(
-    "body,cyclomatic,nesting",
-    [
+COMPLEXITY = [
         ("", 1, 0), ("if (a) {} else {}", 2, 1), ("if (a) {} else if (b) {} else if (c) {}", 4, 1), ("return a ? b : c", 2, 0), ("for (;;) { for (x in y) { while (z) { do {} while (q) } } }", 5, 4),
         ("try { a() } catch (e) { if (b) {} } finally { c() }", 3, 2), ("switch (a) { case 1: case 2: b(); default: c() }", 3, 1), ("return a && b || c ?? 0", None, None), ("return (a && b || c) + (d ?? 0) + a?.b", 4, 0),
         ("function g() { if (a) { if (b) {} } }", 1, 0), ("switch (a) { case b && c: }", 3, 1), ("if (a) { x(() => { if (b) {} }) }", 2, 1), ("a ||= b", 1, 0),
-    ],
-)
-def test_complexity(spark, body, cyclomatic, nesting):
-    t = tree(spark, f"function f(p = q ? 1 : 2) {{ {body} }}")
-    got = rules.functions(t).where("name = 'f'").first()
-    assert (got and (got.cyclomatic, got.nesting)) == ((cyclomatic, nesting) if cyclomatic else None)  # ?? beside || does not parse
+    ]
+
+
+def test_complexity(spark):
+    t = tree(spark, *[f"function f(p = q ? 1 : 2) {{ {body} }}" for body, _, _ in COMPLEXITY])
+    got = {r.rel_path: (r.cyclomatic, r.nesting) for r in rules.functions(t).where("name = 'f'").collect()}
+    want = {f"f{i}.js": (c, n) for i, (_, c, n) in enumerate(COMPLEXITY) if c}  # ?? beside || does not parse
+    assert got == want
 
 
 def test_function_names(spark):
@@ -100,9 +100,7 @@ def test_react(spark):
     ]
 
 
-@pytest.mark.parametrize(
-    "rule,bad,good",
-    [
+LINT = [
         ("no-undef", "missing(); z = 1", "let a; a; console; typeof missing; <div/>; ({ missing: 1 }); a.missing"), ("no-unreachable", "function f() { return; a() }", "function f() { return; function g() {} var x }"),
         ("no-dupe-keys", "x = { a: 1, 'a': 2 }", "x = { get a() {}, set a(v) {}, [a]: 1, b: 2 }"), ("no-dupe-args", "function f(a, b, a) {}", "function f(a, b) {}"),
         ("no-dupe-else-if", "if (a) {} else if (b) {} else if (c) {} else if (a) {}", "if (a) {} else if (b) { if (a) {} }"), ("no-duplicate-case", "switch (a) { case 1: case 1: }", "switch (a) { case 1: case 2: }"),
@@ -111,13 +109,17 @@ def test_react(spark):
         ("no-unused-vars", "const a = 1; function f(p, q) { return p }", "let a = 1; a; export function f(p, q) { return q } export const b = 2"), ("no-empty-pattern", "const {} = a", "const { b } = a; [] = a; x = {}"),
         ("no-func-assign", "function f() {} f = 1", "let f = function () {}; f = 1"), ("no-import-assign", "import a from 'a'; a = 1", "import a from 'a'; a.b = 1"),
         ("no-setter-return", "class A { set x(v) { return 1 } }", "class A { set x(v) { return } get x() { return 1 } }"), ("no-constructor-return", "class A { constructor() { return {} } }", "class A { constructor() { f(() => { return 1 }) } }"),
-    ],
-)
-def test_lint(spark, rule, bad, good):
-    found = {r.rel_path: r.n for r in rules.lint_findings(tree(spark, bad, good), [rule]).groupBy("rel_path").agg(F.count("*").alias("n")).collect()}
-    many = {"no-undef": 2, "no-unused-vars": 3}.get(rule, 1)
-    allowed = {"f1.js": 1} if rule == "no-empty-pattern" else {}  # an empty target of an assignment is one, too
-    assert found == {"f0.js": many} | allowed
+    ]
+
+
+def test_lint(spark):
+    t = tree(spark, *[source for _, bad, good in LINT for source in (bad, good)])
+    found = {(r.rule_id, r.rel_path): r.n for r in rules.lint_findings(t).groupBy("rule_id", "rel_path").agg(F.count("*").alias("n")).collect()}
+    assert {r for r, _, _ in LINT} == set(rules.LINT)
+    for i, (rule, _, _) in enumerate(LINT):
+        many = {"no-undef": 2, "no-unused-vars": 3}.get(rule, 1)
+        # an empty target of an assignment is an empty pattern, too
+        assert (found.get((rule, f"f{2 * i}.js")), found.get((rule, f"f{2 * i + 1}.js"))) == (many, 1 if rule == "no-empty-pattern" else None), rule
 
 
 OUTLINE = """import React, { useState as us } from 'react';

@@ -4,12 +4,14 @@ Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk
 where it is 0 modulo DIVISOR, so boundaries follow the content and survive
 insertions elsewhere. Chunks of two lines or more are grouped by a 128-bit hash;
 those whose hash repeats are fetched and compared byte by byte with the first
-occurrence, and all but that first one go.
+occurrence, and all but that first one go. Chunk boundaries hide passages that they
+cut; with every_pair each two neighbouring lines of text take the place of a chunk,
+so nothing that repeats is hidden.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._store import stored
@@ -56,11 +58,34 @@ def chunks(rows: DataFrame, *, window: int, divisor: int) -> DataFrame:
     return out.select("d", "k", "start", "n", F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2"))
 
 
-def repeated_chunks(rows: DataFrame, *, window: int, divisor: int) -> DataFrame:
-    """(d, k, start, n) of the chunks that go."""
-    every = stored(chunks(rows, window=window, divisor=divisor), "chunks")
+def pairs(rows: DataFrame) -> DataFrame:
+    """d, k, start, n, and two hashes of each line that is not empty with the next such line and the empty ones between."""
+    full = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] != "")
+    out = rows.select("d", "k", full.alias("_full")).where(F.size("_full") > 1)
+
+    def pair(a: Column, b: Column) -> Column:
+        n = b["i"] - a["i"] + 1
+        return F.struct(a["i"].alias("start"), n.alias("n"), F.xxhash64(n, a["x"], F.lit("\n"), b["x"]).alias("h1"), F.xxhash64(F.lit(7), n, a["x"], F.lit("\n"), b["x"]).alias("h2"))
+
+    both = F.zip_with(F.slice("_full", F.lit(1), F.size("_full") - 1), F.slice("_full", F.lit(2), F.size("_full") - 1), pair)
+    return out.select("d", "k", F.explode(both).alias("s")).select("d", "k", "s.*")
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(d, k, start, n) with spans of a document that overlap or touch made one."""
+    before = Window.partitionBy("d", "k").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    new = spans.withColumn("new", (F.col("start") > F.coalesce(F.max(F.col("start") + F.col("n")).over(before), F.lit(-1))).cast("int"))
+    own = new.withColumn("no", F.sum("new").over(Window.partitionBy("d", "k").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, 0)))
+    return own.groupBy("d", "k", "no").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("int").alias("n")).drop("no")
+
+
+def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: bool = False) -> DataFrame:
+    """(d, k, start, n) of the chunks, or pairs, that go."""
+    every = stored(pairs(rows) if every_pair else chunks(rows, window=window, divisor=divisor), "chunks")
     groups = every.groupBy("h1", "h2").agg(F.min(F.struct("d", "k", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
     hits = every.join(groups, ["h1", "h2"]).withColumn("is_first", F.struct("d", "k", "start") == F.col("first"))
+    if every_pair:  # what overlaps its own first occurrence is no repetition
+        hits = hits.where(~((F.col("d") == F.col("first.d")) & (F.col("k") == F.col("first.k")) & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("n"))))
     hits = stored(hits.select("d", "k", "start", "n", "h1", "h2", "c", "is_first"), "hits")
     # texts of the hits, through one shuffle of the documents
     wanted = hits.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n", "h1", "h2", "c", "is_first")).alias("hits"))
@@ -70,21 +95,25 @@ def repeated_chunks(rows: DataFrame, *, window: int, divisor: int) -> DataFrame:
     salts = F.floor(F.col("c") / SPREAD).cast("int")
     first = held.where("is_first").select("h1", "h2", F.col("chunk").alias("first_chunk"), F.explode(F.sequence(F.lit(0), salts)).alias("salt")).dropDuplicates(["h1", "h2", "salt"])
     rest = held.where("not is_first").withColumn("salt", F.pmod(F.xxhash64("d", "k", "start"), salts + 1).cast("int"))
-    return rest.join(first, ["h1", "h2", "salt"]).where("chunk = first_chunk").select("d", "k", "start", "n")
+    gone = rest.join(first, ["h1", "h2", "salt"]).where("chunk = first_chunk").select("d", "k", "start", "n")
+    return merged(gone) if every_pair else gone
 
 
-def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pair: bool = False, text: str = "text") -> DataFrame:
     """The rows of docs with all their columns, the text without repeated chunks, and n_lines and n_removed_lines.
 
     Of equal chunks the one of the smallest doc_id stays (then of the smallest text
-    hash, then the first in the document); single-line chunks always stay. Lines end
+    hash, then the first in the document); single-line chunks always stay. With every_pair
+    the chunks are all pairs of neighbouring lines, empty ones between included: a line goes if one of its
+    pairs stands earlier, so whole runs of two lines or more go wherever they begin,
+    and the first occurrence of a line always stays. Lines end
     at line feeds; kept lines are joined by line feeds again. Null and empty texts stay as they are
     (0 lines); a null doc_id counts as the largest; identical rows count as one
     document and get the same result. Columns of docs named n_lines or n_removed_lines are
     replaced. An empty table gives an empty result.
     """
     rows = _rows(docs, text)
-    gone = repeated_chunks(rows, window=window, divisor=divisor)
+    gone = repeated_chunks(rows, window=window, divisor=divisor, every_pair=every_pair)
     gone = gone.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     both = rows.join(gone, ["d", "k"], "left")
     lines = F.split("text", "\n", -1)

@@ -150,6 +150,43 @@ def test_lines(spark, docs, empty):
     assert set(lines.dedup_lines(docs).columns) == {*docs.columns, "n_removed_lines"}
 
 
+def without_repeats(rows):
+    """Texts of (doc_id, text) without the pairs of lines that stand earlier, by brute force; doc_ids are distinct."""
+    first, out = {}, {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        w = (t or "").split("\n")
+        full = [i for i, x in enumerate(w) if x]
+        gone = set()
+        for a, b in zip(full, full[1:], strict=False):
+            at = first.setdefault(tuple(w[a : b + 1]), (d, a))
+            if at[0] != d or a > at[1] + b - a:
+                gone |= set(range(a, b + 1))
+        out[d] = (t if t is None else "\n".join(x for i, x in enumerate(w) if i not in gone), len(gone))
+    return out
+
+
+def test_lines_of_every_pair(spark, empty):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", *map(str, range(30))]) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    rows += [(None, rows[7][1]), (100, None), (101, ""), (102, "q\nq\nq"), (103, "q\nq\nq\nq"), (104, "r\n\n\ns\n"), (105, "r\n\ns"), (106, "t\nr\n\n\ns"), (107, "r\n\n\ns\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in lines.dedup_lines(d, every_pair=True).collect()}
+    want = without_repeats(rows)
+    assert got == want and want[102] == ("q\nq\nq", 0) and want[107] == ("", 4) and want[105][1] == 0
+    assert lines.dedup_lines(empty, every_pair=True).count() == 0
+    twice = lines.dedup_lines(spark.createDataFrame([(1, "a\nb"), (1, "a\nb")], "doc_id long, text string"), every_pair=True)
+    assert [r.n_removed_lines for r in twice.collect()] == [0, 0]
+
+
+def test_passages_that_chunks_cut(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = without_repeats([tuple(r) for r in d.collect()])
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, d, "").collect()}
+    assert got == {k: t for k, (t, _) in want.items()}
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs, tree())
     rows = out.collect()

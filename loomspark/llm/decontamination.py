@@ -182,7 +182,15 @@ def _local(rows: DataFrame, items: Items, seed: int, share: float, schema: str)
 
 
 def _joined(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataFrame:
-    """The same for a benchmark of any size: seeds meet in a shuffle join, and each pair of texts is tiled on its own row."""
+    """The same for a benchmark of any size."""
+    best = _covers(rows, items, seed, share)
+    out = rows.select("doc_id", "row_key").join(best, "row_key", "left")
+    none = F.coalesce("items", F.array().cast("array<bigint>"))
+    return out.select("doc_id", F.size(none).alias("n_items"), none.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.coalesce("coverage", F.lit(0.0)) >= share).alias("contaminated"))
+
+
+def _covers(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataFrame:
+    """row_key, items, coverage of the texts that share a seed: seeds meet in a shuffle join, and each pair of texts is tiled on its own row."""
     items = items.dropDuplicates().withColumn("item_key", F.xxhash64("item_id", "text"))
     lengths = [r[0] for r in _seeds(items, "item_key", seed, None).select("n").distinct().collect()]  # at most seed values
     own = _seeds(items, "item_key", seed, None).distinct()
@@ -200,10 +208,7 @@ def _joined(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("item_id"), pa.array(cover, pa.float64())], ["row_key", "item_id", "cover"])
 
     judged = texts.select("row_key", "item_id", "text", "item").mapInArrow(run, "row_key long, item_id long, cover double")
-    best = judged.groupBy("row_key").agg(F.array_sort(F.collect_set(F.when(F.col("cover") >= share, F.col("item_id")))).alias("items"), F.max("cover").alias("coverage"))
-    out = rows.select("doc_id", "row_key").join(best, "row_key", "left")
-    none = F.coalesce("items", F.array().cast("array<bigint>"))
-    return out.select("doc_id", F.size(none).alias("n_items"), none.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.coalesce("coverage", F.lit(0.0)) >= share).alias("contaminated"))
+    return judged.groupBy("row_key").agg(F.array_sort(F.collect_set(F.when(F.col("cover") >= share, F.col("item_id")))).alias("items"), F.max("cover").alias("coverage"))
 
 
 def _seeds(df: DataFrame, key: str, seed: int, lengths: list[int] | None) -> DataFrame:
@@ -227,15 +232,15 @@ def _seeds(df: DataFrame, key: str, seed: int, lengths: list[int] | None) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, share: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that contamination() finds clean."""
+    """The rows of docs, with all their columns, that contamination() finds clean; each row is judged by its own text."""
     items = _clean(benchmark, "item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
     if size > BROADCAST_BYTES:
         keyed = docs.withColumn("_row_key", F.xxhash64(clean))
-        found = _joined(_clean(docs, "doc_id", text).withColumn("row_key", F.xxhash64("text")), items, seed, share)
-        bad = found.where("contaminated").select("doc_id").distinct()
-        return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(*docs.columns)
+        best = _covers(_clean(docs, "doc_id", text).withColumn("row_key", F.xxhash64("text")), items, seed, share)
+        bad = best.where(F.col("coverage") >= share).select(F.col("row_key").alias("_row_key"))  # equal texts are judged alike
+        return keyed.join(bad, "_row_key", "left_anti").select(*docs.columns)
     held = docs.sparkSession.sparkContext.broadcast(Items.of(items.dropDuplicates().toArrow(), seed))
     names = docs.columns
 

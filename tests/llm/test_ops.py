@@ -237,6 +237,17 @@ def test_decontamination(spark, empty):
     assert decontamination.contamination(empty, b).count() == 0 and decontamination.contamination(d, b.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, -1])
+def test_drop_contaminated_judges_each_row(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, item, 1), (None, "clean", 2), (None, None, 3), (5, f"aa {item}", 4), (5, "clean too", 5), (5, "clean too", 6), (6, "", 7), (7, f"aa {item}", 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    b = spark.createDataFrame([(7, item), (8, None), (None, item)], "item_id long, text string")
+    got = decontamination.drop_contaminated(d, b)
+    assert got.columns == d.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [r for r in rows if r[2] in (2, 3, 5, 6, 7)]
+
+
 def test_quality_and_toxicity(spark, docs, empty):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half, rest = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")

@@ -221,7 +221,9 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     for end in ("a", "b"):  # copies of a set give way to its smallest document
         near = near.join(twins.select(F.col("a").alias("to"), F.col("b").alias(end)), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
     near = near.where("a <> b").distinct()
-    family = stored(components(near), "families")
+    # a copy that heads another set too (a doc_id with several texts) stays in the family for that one
+    other = twins.join(heads.select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    family = stored(components(near.unionByName(other)), "families")
     pairs = _links(rows, heads, family, size, part, whole)
     # documents of one set, and one doc_id with several sets, are one node
     roots = components(pairs.unionByName(twins))

@@ -106,6 +106,18 @@ def test_jaccard(docs, empty, monkeypatch, size, part, block):
     assert len({find(d) for d in ids}) < len(ids) and jaccard.shingle_components(empty).count() == 0
 
 
+def test_texts_that_share_a_doc_id(spark):
+    import corpus_pipeline
+
+    one, two, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqr")
+    rows = [(1, one, 0), (5, one, 1), (5, two, 2), (5, two, 2), (9, f"{two} q60", 3), (None, one, 4), (None, other, 5), (None, other, 5), (12, "", 6), (12, None, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = {r.doc_id: r.component_id for r in jaccard.shingle_components(d).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 12: 12, None: None}
+    out = corpus_pipeline.without_near_copies(spark, d, "")
+    assert out.columns == d.columns and sorted(r.n for r in out.collect()) == [0, 2, 5, 6, 7]
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)]

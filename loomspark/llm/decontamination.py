@@ -2,113 +2,163 @@
 
 Runs of SEED words of the benchmark items are joined with those of the
 documents. For each document and item that share one, running Karp-Rabin
-marks the longest common runs of unmarked words, again and again, until none of
-SEED words is left. A document is contaminated by an item of which marked words
-cover the given share, in whatever order its passages stand.
+marks the longest common runs of unmarked words: rolling hashes of windows find the
+greatest length that both still share, all matches of it are marked, and the length falls
+until none of SEED words is left. A document is contaminated by an item of which marked
+words cover the given share, in whatever order its passages stand.
+
+A covered item shares at least ceil(share * words / SEED) of its seeds with the
+document, so its most frequent seeds, one fewer than that, need not lead to it.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import HEAVY, bit_table, column, free_name, maybe
 from loomspark.llm._store import stored
-from loomspark.llm._text import FOLDED, blocks, longs, mix, split
+from loomspark.llm._text import _W, FOLDED, blocks, longs, mix, split
 
 #: Benchmarks of up to so many bytes of text go to every worker; larger ones are joined by their seeds.
 BROADCAST_BYTES = 16 << 20
+#: Rows of heavy seeds, and keys of contaminated texts, that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Items of fewer words than this match nothing: they are part of ordinary prose.
 LEAST_WORDS = 3
 _U = np.uint64
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+class _Row:
+    """A sequence of word hashes, the words that are still unmarked, and hashes of its windows."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = _W.get(len(words) + 1)
+        self.words, self.free = words, np.ones(len(words), bool)
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(words * up[: len(words)], dtype=_U)])
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash) of the windows of n unmarked words."""
+        if n > len(self.words):
+            return np.empty(0, np.int64), np.empty(0, _U)
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return at, mix((self.sums[at + n] - self.sums[at]) * self.down[at])
+
+    def keep(self, at: np.ndarray, n: int) -> int:
+        """Marks what is in none of the windows of n words at the positions; the longest run of unmarked words is returned."""
+        edge = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + n, -1)
+        self.free &= np.cumsum(edge[:-1]) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], self.free.astype(np.int8), [0]])))
+        return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(text position, item position, length) of the greedy tiles of two sequences of word hashes, longest first.
 
-    Of equally long matches the one first in the text, then in the item, is marked first.
+    Of equally long matches the one first in the text, then in the item, is marked
+    first. Each length costs a few passes over both sequences, and every length that is tried is marked, so
+    time is about (words of both) * sqrt(words of the item) at worst and memory follows the words.
     """
-    least = min(least, len(item))
-    if not least:
+    low = min(least, len(item))
+    if not low or len(text) < low:
         return []
-    mult = _U(0xD6E8FEB86659FD93)
-
-    def rolling(words: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(words) - least + 1, _U)
-        for k in range(least):
-            h = h * mult + words[k : k + len(h)]
-        return mix(h)
-
-    if len(text) < least:
-        return []
-    own, other = rolling(text), rolling(item)
-    where: dict[int, list[int]] = defaultdict(list)
-    for j, h in enumerate(other.tolist()):
-        where[h].append(j)
-    seeds = [(i, j) for i in np.flatnonzero(np.isin(own, other)).tolist() for j in where[int(own[i])]]
-    free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
-    out = []
-    a, b = text.tolist(), item.tolist()
-    while seeds:
-        best, found, reach = least, [], {}
-        for i, j in seeds:
-            if not (free_text[i] and free_item[j]):
+    a, b, out = _Row(text), _Row(item), []
+    (at, own), (to, other) = a.windows(low), b.windows(low)
+    high = min(a.keep(at[np.isin(own, other)], low), b.keep(to[np.isin(other, own)], low))
+    while high >= low:
+        found, below = None, low
+        while below <= high:  # the greatest length that both share: shorter windows of a shared one are shared
+            n = (below + high) // 2
+            (at, own), (to, other) = a.windows(n), b.windows(n)
+            hit = np.isin(own, other)
+            if hit.any():
+                found, below = (n, at[hit], own[hit], to, other), n + 1
+            else:
+                high = n - 1
+        if found is None:
+            break
+        n, at, own, to, other = found
+        where: dict[int, list[int]] = defaultdict(list)
+        for j, h in zip(to[::-1].tolist(), other[::-1].tolist(), strict=True):
+            where[h].append(j)
+        end = 0
+        for i, h in zip(at.tolist(), own.tolist(), strict=True):
+            if i < end:
                 continue
-            at = reach.get(i - j, (0, 0))
-            if at[0] <= i < at[1]:  # inside a longer match of the same diagonal
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_text[i + n] and free_item[j + n]:
-                n += 1
-            reach[i - j] = (i, i + n)
-            if n > best:
-                best, found = n, [(i, j)]
-            elif n == best:
-                found.append((i, j))
-        for i, j in found:
-            if free_text[i : i + best].all() and free_item[j : j + best].all():
-                free_text[i : i + best] = free_item[j : j + best] = False
-                out.append((i, j, best))
-        seeds = [(i, j) for i, j in seeds if free_text[i : i + least].all() and free_item[j : j + least].all()] if found else []
+            ends = where[h]
+            while ends and not b.free[ends[-1] : ends[-1] + n].all():
+                ends.pop()
+            if ends and np.array_equal(text[i : i + n], item[ends[-1] : ends[-1] + n]):
+                j, end = ends.pop(), i + n
+                a.free[i:end] = b.free[j : j + n] = False
+                out.append((i, j, n))
+        high = n - 1
     return out
 
 
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    mult, h = _U(0x9E3779B97F4A7C15), np.zeros(max(len(words) - n + 1, 0), _U)
+    for k in range(n):
+        h = h * mult + words[k : k + len(h)]
+    return mix(h, n)
+
+
+def needless(words: int, seed: int, share: float) -> int:
+    """How many of the seeds of an item a document that covers it can lack, beside all others."""
+    return max(0, ceil(share * words / min(seed, words) - 1e-9) - 1)
+
+
 @dataclass
 class Items:
-    """Benchmark items with the sorted seeds that lead to them."""
+    """Benchmark items: ids, word hashes, lower-cased texts, and by length the sorted seed hashes with the item of each."""
 
     ids: list[int]
     words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, dict[int, list[int]]]]  # by length: sorted seed hashes, and the items of each
+    texts: list[bytes]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, table: pa.Table, seed: int) -> Items:
-        ids, words = [], []
+    def of(cls, table: pa.Table, seed: int, share: float) -> Items:
+        ids, words, texts = [], [], []
         for b in table.combine_chunks().to_batches():
             for block in blocks(b):
                 w = split(block.column("text"), FOLDED)
-                for i, name in enumerate(block.column("item_id").to_pylist()):
-                    ids.append(name)
-                    words.append(w.hash[w.first[i] : w.first[i + 1]].copy())
-        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+                for i, (name, text) in enumerate(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True)):
+                    own = w.hash[w.first[i] : w.first[i + 1]]
+                    if len(own) >= LEAST_WORDS:
+                        ids.append(name)
+                        words.append(own.copy())
+                        texts.append(text.encode("utf-8", "surrogatepass").lower())
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for k, w in enumerate(words):
-            n = min(seed, len(w))
-            if len(w) >= LEAST_WORDS:
-                for h in set(_runs(w, n).tolist()):
-                    found[n][h].append(k)
-        return cls(ids, words, {n: (np.array(sorted(x), _U), dict(x)) for n, x in found.items()})
-
-
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    mult, h = _U(0x9E3779B97F4A7C15), np.zeros(max(len(words) - n + 1, 0), _U)
-    for k in range(n):
-        h = h * mult + words[k : k + len(h)]
-    return mix(h, n)
+            found[min(seed, len(w))].append((_runs(w, min(seed, len(w))), k))
+        seeds = {}
+        for n, some in found.items():
+            every, back, often = np.unique(np.concatenate([r for r, _ in some]), return_inverse=True, return_counts=True)
+            run, of, at = [], [], 0
+            for r, k in some:
+                mine = back[at : at + len(r)]
+                at += len(r)
+                mine = mine[np.argsort(often[mine], kind="stable")][: len(r) - needless(len(words[k]), seed, share)]
+                mine = np.unique(mine)
+                run.append(every[mine])
+                of.append(np.full(len(mine), k, np.int32))
+            run, of = np.concatenate(run), np.concatenate(of)
+            order = np.argsort(run, kind="stable")
+            seeds[n] = run[order], of[order]
+        return cls(ids, words, texts, seeds)
 
 
 def _hits(runs: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -121,36 +171,55 @@ def _hits(runs: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return at[seeds[place] == runs[at]]
 
 
-def _judge(text: np.ndarray, item: np.ndarray, seed: int) -> float:
-    return sum(n for _, _, n in tiles(text, item, seed)) / len(item)
+def _judge(text: np.ndarray, item: np.ndarray, seed: int, share: float, raw: tuple[bytes, bytes]) -> float:
+    """Marked words over words of the item; what would count by hashes is compared word by word."""
+    marked = tiles(text, item, seed)
+    cover = sum(n for *_, n in marked) / len(item)
+    if cover < share:
+        return cover
+    a, b = (_WORD.findall(x) for x in raw)
+    if any(a[i : i + n] != b[j : j + n] for i, j, n in marked):  # two words of one hash
+        number = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+        marked = tiles(*(mix(np.array([number[w] for w in x], _U)) for x in (a, b)), seed)
+    return sum(n for *_, n in marked) / len(item)
 
 
 def _clean(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(key).cast("long").alias(key), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"))
 
 
 _OUT = "doc_id long, n_items int, items array<long>, coverage double, contaminated boolean"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, share: float = 0.5, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, n_items, items (sorted ids that cover), coverage (largest), contaminated.
+def contamination(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, share: float = 0.5, text: str = "text", broadcast_bytes: int | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_items, items (sorted ids that count), coverage (largest of an item that counts, else 0), contaminated.
 
     benchmark has item_id and text. Words are lower-cased in A-Z. An item counts
     where marked words are at least share of its words; items shorter than seed words
     must stand as a whole; those of under LEAST_WORDS words, empty or null ones
     match nothing, nor do null or empty texts. Repeated rows repeat; an item repeated
     under one id counts once, null ids of items are left out of items; other columns are
-    not read; an empty docs table gives an empty result, an empty benchmark no contamination.
+    not read; an empty docs table gives an empty result, an empty benchmark no contamination. The result
+    is the same whether the benchmark (up to broadcast_bytes, BROADCAST_BYTES if None) is broadcast or joined.
     """
     items = _clean(benchmark, "item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = _clean(docs, "doc_id", text)
-    if size <= broadcast_bytes:
-        return _local(rows, Items.of(items.dropDuplicates().toArrow(), seed), seed, share, _OUT)
-    return _joined(rows.withColumn("row_key", F.xxhash64("text")), items, seed, share)
+    if _small(items, broadcast_bytes):
+        return _local(rows, Items.of(items.dropDuplicates().toArrow(), seed, share), seed, share, _OUT)
+    rows = rows.withColumn("row_key", F.md5("text"))
+    best = _covers(rows, items, seed, share)
+    out = rows.select("doc_id", "row_key").join(best, "row_key", "left")
+    none = F.coalesce("items", F.array().cast("array<bigint>"))
+    return out.select("doc_id", F.size(none).alias("n_items"), none.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("coverage").isNotNull().alias("contaminated"))
+
+
+def _small(items: DataFrame, limit: int | None) -> bool:
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def _found(block: pa.RecordBatch, items: Items, seed: int, share: float) -> list[tuple[list[int], float]]:
+    """For each text the ids that count (none without ids) and the largest coverage that counts, 0 without any."""
     words = split(block.column("text"), FOLDED)
     pairs: dict[int, set[int]] = defaultdict(set)
     for n, (seeds, of) in items.seeds.items():
@@ -158,14 +227,16 @@ def _found(block: pa.RecordBatch, items: Items, seed: int, share: float) -> list
         at = _hits(runs, seeds)
         owner = np.searchsorted(words.first, at, "right") - 1
         inside = at + n <= words.first[owner + 1]
-        for i, d in zip(at[inside].tolist(), owner[inside].tolist(), strict=True):
-            pairs[d].update(of[int(runs[i])])
+        hit = np.unique(np.stack([owner[inside].astype(_U), runs[at[inside]]]), axis=1)  # a document's repeats count once
+        for d, low, high in zip(hit[0].tolist(), np.searchsorted(seeds, hit[1], "left").tolist(), np.searchsorted(seeds, hit[1], "right").tolist(), strict=True):
+            pairs[d].update(of[low:high].tolist())
     out: list[tuple[list[int], float]] = [([], 0.0)] * len(block)
     for d, some in pairs.items():
         own = words.hash[words.first[d] : words.first[d + 1]]
-        cover = {k: _judge(own, items.words[k], seed) for k in some}
-        names = sorted({items.ids[k] for k, c in cover.items() if c >= share and items.ids[k] is not None})
-        out[d] = (names, max(cover.values()))
+        raw = words.data[words.start[words.first[d]] : words.end[words.first[d + 1] - 1]].tobytes().lower()
+        cover = {k: c for k in some if (c := _judge(own, items.words[k], seed, share, (raw, items.texts[k]))) >= share}
+        if cover:
+            out[d] = (sorted({items.ids[k] for k in cover if items.ids[k] is not None}), max(cover.values()))
     return out
 
 
@@ -176,82 +247,96 @@ def _local(rows: DataFrame, items: Items, seed: int, share: float, schema: str)
         for b in batches:
             for block in blocks(b):
                 found = _found(block, held.value, seed, share)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(x) for x, _ in found], pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.float64()), pa.array([c >= share for _, c in found], pa.bool_())], ["doc_id", "n_items", "items", "coverage", "contaminated"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([len(x) for x, _ in found], pa.int32()), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.float64()), pa.array([c > 0 for _, c in found], pa.bool_())], ["doc_id", "n_items", "items", "coverage", "contaminated"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _joined(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataFrame:
-    """The same for a benchmark of any size."""
-    best = _covers(rows, items, seed, share)
-    out = rows.select("doc_id", "row_key").join(best, "row_key", "left")
-    none = F.coalesce("items", F.array().cast("array<bigint>"))
-    return out.select("doc_id", F.size(none).alias("n_items"), none.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), (F.coalesce("coverage", F.lit(0.0)) >= share).alias("contaminated"))
-
-
 def _covers(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataFrame:
-    """row_key, items, coverage of the texts that share a seed: seeds meet in a shuffle join, and each pair of texts is tiled on its own row."""
-    items = items.dropDuplicates().withColumn("item_key", F.xxhash64("item_id", "text"))
-    lengths = [r[0] for r in _seeds(items, "item_key", seed, None).select("n").distinct().collect()]  # at most seed values
-    own = _seeds(items, "item_key", seed, None).distinct()
-    theirs = _seeds(rows, "row_key", seed, lengths).distinct()
-    pairs = theirs.join(own, ["n", "run"]).select("row_key", "item_key").distinct()
-    pairs = stored(pairs, "pairs")
-    texts = rows.dropDuplicates(["row_key"]).select("row_key", "text").join(pairs, "row_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
+    """row_key, items, coverage of the texts that some item counts for, with a benchmark of any size.
+
+    A bounded bit table of the items' seeds thins out those of the documents before
+    they are shuffled; the seeds that are left are counted, each item gives up its most
+    frequent ones (see above), and each pair of texts that meets is tiled on its own row.
+    """
+    items = items.dropDuplicates().withColumn("item_key", F.md5(F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")))
+    own = stored(_seeds(items, "item_key", seed, range(LEAST_WORDS, seed + 1), None, whole=True), "item-seeds")
+    lengths = sorted(r[0] for r in own.select("n").distinct().collect())  # at most seed values
+    theirs = stored(_seeds(rows, "row_key", seed, lengths, bit_table(own, "run")), "seeds")
+    often = theirs.groupBy("n", "run").agg(F.count("*").alias("often"))
+    own = own.join(often, ["n", "run"], "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    place = Window.partitionBy("item_key")
+    spare = F.greatest(F.lit(0), F.ceil(share * F.col("words") / F.col("n") - 1e-9) - 1)
+    own = own.withColumn("no", F.row_number().over(place.orderBy("often", "run"))).where(F.col("no") <= F.col("words") - F.col("n") + 1 - spare)
+    own = stored(own.where("often > 0").select("n", "run", "often", "item_key").distinct(), "item-seeds")
+    heavy = own.where(F.col("often") > HEAVY)
+    if 0 < heavy.count() <= BROADCAST_ROWS:  # frequent seeds stay where they are
+        keys = F.broadcast(heavy.select("n", "run").distinct())
+        rest = theirs.join(keys, ["n", "run"], "left_anti").join(own.where(F.col("often") <= HEAVY), ["n", "run"])
+        pairs = theirs.join(F.broadcast(heavy), ["n", "run"]).select("row_key", "item_key").unionByName(rest.select("row_key", "item_key"))
+    else:
+        pairs = theirs.join(own, ["n", "run"]).select("row_key", "item_key")
+    pairs = stored(pairs.distinct(), "pairs")
+    texts = rows.join(pairs.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text")
+    texts = texts.join(pairs, "row_key").join(items.select("item_key", "item_id", F.col("text").alias("item")), "item_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cover = []
             for i in range(len(b)):
+                raw = [b.column(c)[i].as_py().encode("utf-8", "surrogatepass").lower() for c in ("text", "item")]
                 x, y = (split(b.column(c).slice(i, 1), FOLDED).hash for c in ("text", "item"))
-                cover.append(_judge(x, y, seed))
+                cover.append(_judge(x, y, seed, share, (raw[0], raw[1])))
             yield pa.RecordBatch.from_arrays([b.column("row_key"), b.column("item_id"), pa.array(cover, pa.float64())], ["row_key", "item_id", "cover"])
 
-    judged = texts.select("row_key", "item_id", "text", "item").mapInArrow(run, "row_key long, item_id long, cover double")
-    return judged.groupBy("row_key").agg(F.array_sort(F.collect_set(F.when(F.col("cover") >= share, F.col("item_id")))).alias("items"), F.max("cover").alias("coverage"))
+    judged = texts.select("row_key", "item_id", "text", "item").mapInArrow(run, "row_key string, item_id long, cover double").where(F.col("cover") >= share)
+    return judged.groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("cover").alias("coverage"))
 
 
-def _seeds(df: DataFrame, key: str, seed: int, lengths: list[int] | None) -> DataFrame:
-    """(key, n, run): seeds of each text; without lengths those of an item, of min(seed, words) words."""
+def _seeds(df: DataFrame, key: str, seed: int, lengths: list[int] | range, table: np.ndarray | None, *, whole: bool = False) -> DataFrame:
+    """(key, n, run, words): seeds of each text; whole: every one of min(seed, words) words, else distinct ones of all lengths that the table has."""
+    held = df.sparkSession.sparkContext.broadcast(table)  # 64 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in blocks(b):
                 words = split(block.column("text"), FOLDED)
-                ids = np.asarray(block.column(key))
                 size = np.diff(words.first)
-                for n in lengths or range(LEAST_WORDS, seed + 1):
+                for n in lengths:
                     runs = _runs(words.hash, n)
                     owner = np.searchsorted(words.first, np.arange(len(runs)), "right") - 1
                     good = np.arange(len(runs)) + n <= words.first[owner + 1]
-                    if lengths is None:
-                        good &= np.minimum(size[owner], seed) == n
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[owner[good]]), pa.array(np.full(int(good.sum()), n, np.int32)), longs(runs[good])], [key, "n", "run"])
+                    good &= np.minimum(size[owner], seed) == n if whole else maybe(held.value, runs)
+                    owner, runs = owner[good], runs[good]
+                    if not whole and len(runs):
+                        owner, runs = np.unique(np.stack([owner.astype(_U), runs]), axis=1)
+                        owner = owner.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([block.column(key).take(pa.array(owner)), pa.array(np.full(len(runs), n, np.int32)), longs(runs), pa.array(size[owner])], [key, "n", "run", "words"])
 
-    return df.select(key, "text").mapInArrow(run, f"{key} long, n int, run long")
+    return df.select(key, "text").mapInArrow(run, f"{key} string, n int, run long, words long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, share: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that contamination() finds clean; each row is judged by its own text."""
+    """The rows of docs, with all their columns, that contamination() finds clean; each row is judged by its own text, at every size of the benchmark."""
     items = _clean(benchmark, "item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    if size > BROADCAST_BYTES:
-        keyed = docs.withColumn("_row_key", F.xxhash64(clean))
-        best = _covers(_clean(docs, "doc_id", text).withColumn("row_key", F.xxhash64("text")), items, seed, share)
-        bad = best.where(F.col("coverage") >= share).select(F.col("row_key").alias("_row_key"))  # equal texts are judged alike
-        return keyed.join(bad, "_row_key", "left_anti").select(*docs.columns)
-    held = docs.sparkSession.sparkContext.broadcast(Items.of(items.dropDuplicates().toArrow(), seed))
+    clean = F.coalesce(column(text).cast("string"), F.lit(""))
     names = docs.columns
+    if not _small(items, None):
+        key = free_name(docs, "row_key")
+        best = _covers(docs.select(clean.alias("text")).withColumn("row_key", F.md5("text")), items, seed, share)
+        bad = stored(best.select(F.col("row_key").alias(key)), "contaminated")
+        bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+        return docs.withColumn(key, F.md5(clean)).join(bad, key, "left_anti").select(*map(column, names))
+    held = docs.sparkSession.sparkContext.broadcast(Items.of(items.dropDuplicates().toArrow(), seed, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = pa.RecordBatch.from_arrays(b.columns[:-1], names=names)
-            seen = pa.RecordBatch.from_arrays([b.columns[-1]], names=["text"])
+            seen = pa.RecordBatch.from_arrays(b.columns[-1:], names=["text"])
             at = 0
             for block in blocks(seen):
                 found = _found(block, held.value, seed, share)
-                yield own.slice(at, len(block)).filter(pa.array([c < share for _, c in found], pa.bool_()))
+                yield own.slice(at, len(block)).filter(pa.array([c == 0 for _, c in found], pa.bool_()))
                 at += len(block)
 
-    return docs.select("*", clean.alias("_seen")).mapInArrow(run, docs.schema)
+    return docs.select("*", clean.alias(free_name(docs, "seen"))).mapInArrow(run, docs.schema)

@@ -14,14 +14,14 @@ HEAVY, MOST_HEAVY = 1000, 100_000
 MOST_BITS = 29
 
 
-def split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, *, heavy: int = HEAVY, most: int = MOST_HEAVY) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, on: list[str], count: str, *, heavy: int | None = None, most: int = MOST_HEAVY) -> DataFrame:
     """left joined with right on the columns `on`, which are unique in right; count is right's column of the rows of left under a key.
 
-    The `most` most frequent keys of more than `heavy` rows meet left by broadcast, so
+    The `most` most frequent keys of more than `heavy` rows (HEAVY if None) meet left by broadcast, so
     they stay where they are; every other key has at most heavy rows or 1 / most of all rows.
     Both tables are read twice if there are heavy keys: store them before.
     """
-    top = right.where(F.col(count) > heavy).orderBy(F.desc(count), *on).limit(most)
+    top = right.where(F.col(count) > (HEAVY if heavy is None else heavy)).orderBy(F.desc(count), *on).limit(most)
     top = stored(top, "heavy")
     if top.isEmpty():
         return left.join(right, on)

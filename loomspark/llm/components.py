@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import split_join
 from loomspark.llm._store import stored
 
 
@@ -12,8 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that paths reach.
 
     Alternates large-star and small-star steps, which halve the depth of the
-    trees and never add edges. Each step groups with partial aggregation and joins on
-    the node, so a hub's edges stay spread over tasks. Rounds end when an
+    trees and never add edges. Each step groups with partial aggregation; a hub's smallest
+    neighbour meets its edges by broadcast, so they stay spread over tasks. Rounds end when an
     order-free digest of the edge set repeats. Loops and nulls are dropped; an
     empty table gives an empty result.
     """
@@ -22,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        kept = e.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        e = split_join(both.where("v > u"), low, ["u"], "c").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        kept = split_join(e, low, ["u"], "c")
         e = kept.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stored(e, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()

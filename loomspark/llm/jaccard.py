@@ -8,11 +8,15 @@ part holds at most one of k differences, so after leaving out one of its
 second-level parts the rest is equal in both sets. The signatures are the
 hashes of these subsets; sets that share none are not linked. A set with more
 than k subsets that are not empty signs only those: k differences cannot touch
-them all. SPARE parts more than needed make nearly every set one of these.
+them all. SPARE parts more than needed make nearly every set one of these. Shingles that
+are common in a sample stay out of the subsets; a set that then has too few left also signs with
+all its shingles, so two such sets meet there.
 
 Sets with a shared signature form families. Small families are compared in
-one task, larger ones by pairs of size-ordered blocks, both by counting common
-shingles exactly. Tasks return spanning links only, never all pairs.
+one task. In a large one every set is first compared with a pivot, the member most like
+the shingles that most members have; what links with it is one group already, and only the
+others are compared with all, by pairs of bounded blocks of like sizes. Common shingles are counted exactly,
+and tasks return spanning links only, never all pairs.
 """
 
 from __future__ import annotations
@@ -26,14 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import bit_table, column, maybe, split_join
 from loomspark.llm._store import stored
-from loomspark.llm._text import FOLDED, Words, blocks, mix, split
+from loomspark.llm._text import FOLDED, Words, blocks, longs, mix, split
 from loomspark.llm.components import components
 
 SPARE = 1.1
 COMMON_OF, COMMON_IN, COMMON_MOST = 10_000, 4, 1 << 17
-#: Shingles of a block of a large family; one document at least.
-BLOCK_SHINGLES = 1 << 19
+#: Shingles and documents of a block of a large family, about; one document at least.
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 2048
+#: Members of a family that meet one copy of its pivot in a task.
+SPREAD = 2048
 _U = np.uint64
 
 
@@ -63,20 +70,28 @@ class Signer:
         rare = shingles[~among(shingles, common)]
         return np.concatenate([self.instance(shingles, rare, b) for b in (band, band - 1) if b >= 0])
 
-    def instance(self, every: np.ndarray, shingles: np.ndarray, band: int) -> np.ndarray:
+    def instance(self, every: np.ndarray, rare: np.ndarray, band: int) -> np.ndarray:
         k = self.bands[band][2]
         salt = 0xBA4D + 2 * band + 1
         if k == 0:
             return mix(np.array([np.add.reduce(mix(every, 3), dtype=_U)], _U), salt)
+        signed, full = self.subsets(rare, k, salt)
+        if full.sum() > k:
+            return signed[full]
+        # too few: a set that signs enough by its rare shingles is met there, another one that does not by all shingles
+        whole, some = self.subsets(every, k, salt + 0x10000000)
+        return np.concatenate([signed[full], whole[some] if some.sum() > k else whole])
+
+    @staticmethod
+    def subsets(shingles: np.ndarray, k: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the subsets, and which are not empty."""
         n1 = ceil(SPARE * (k + 1) / 2)
         place = ((mix(shingles, 5) >> _U(32)) * _U(2 * n1) >> _U(32)).astype(np.int64)
         parts = np.zeros(2 * n1, _U)
         np.add.at(parts, place, mix(shingles, 3))
         # subset of each first-level part: what is left without one of its two second-level parts
         left = parts.reshape(n1, 2)[:, ::-1].ravel()
-        signed = mix(mix(left, salt) + np.arange(2 * n1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-        full = left != 0
-        return signed[full] if full.sum() > k else signed
+        return mix(mix(left, salt) + np.arange(2 * n1, dtype=_U) * _U(0x9E3779B97F4A7C15)), left != 0
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -137,7 +152,10 @@ def profiles(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, whole: int) -> list[tuple[int, int]]:
-    """Spanning links among left, or between left and right (whose indices follow left's): enough to join whatever links join."""
+    """Spanning links among left, or between left and right (whose indices follow left's): enough to join whatever links join.
+
+    Memory follows the shingles and the product of both sides' documents, which blocks bound.
+    """
     every = left + (right or [])
     sizes = np.array([len(s) for s in every])
     values = np.concatenate(every)
@@ -146,54 +164,49 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, who
     values, owner = values[order], owner[order]
     new = np.ones(len(values), bool)
     new[1:] = values[1:] != values[:-1]
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column) > 1
-    column, owner = (np.cumsum(shared) - 1)[column][shared[column]], owner[shared[column]]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number) > 1
+    number, owner = (np.cumsum(shared) - 1)[number][shared[number]], owner[shared[number]]
     rows, split_at = (len(left), len(left)) if right is not None else (len(every), 0)
     common = np.zeros((rows, len(every) - split_at), np.float32)
-    width = 4096
+    width = 2048
     for low in range(0, int(shared.sum()), width):
-        here = (column >= low) & (column < low + width)
+        a, z = np.searchsorted(number, [low, low + width])
         dense = np.zeros((len(every), min(width, int(shared.sum()) - low)), np.float32)
-        dense[owner[here], column[here] - low] = 1
+        dense[owner[a:z], number[a:z] - low] = 1
         common += dense[:rows] @ dense[split_at:].T
+    near = np.zeros((len(every), len(every)), bool)
     both = common.astype(np.int64)
-    union = sizes[:rows, None] + sizes[None, split_at:] - both
-    a, b = np.nonzero((whole * both >= part * union) & (both > 0))
-    b = b + split_at
-    root = list(range(len(every)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
+    near[:rows, split_at:] = (whole * both >= part * (sizes[:rows, None] + sizes[None, split_at:] - both)) & (both > 0)
+    near |= near.T
+    out, open_ = [], np.ones(len(every), bool)
+    for start in range(len(every)):  # breadth first: each document is entered once
+        if not open_[start]:
+            continue
+        open_[start], front = False, [start]
+        while front:
+            x = front.pop()
+            found = np.flatnonzero(near[x] & open_)
+            open_[found] = False
+            out += [(x, y) for y in found.tolist()]
+            front += found.tolist()
     return out
 
 
-def _verify(size: int, part: int, whole: int):
-    """For the members of one family or pair of blocks; side tells the two blocks apart (both: one block alone)."""
+def _verify(part: int, whole: int):
+    """For the members of one family or pair of blocks; side tells the two blocks apart (all of one side: one block alone)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, found = [], []
-        for block in (x for b in table.to_batches() for x in blocks(b)):
-            found += sets(split(block.column("text"), FOLDED), size)
-            ids += block.column("doc_id").to_pylist()
-        side = table.column("side").to_pylist()
-        one = [i for i, s in enumerate(side) if s != 1]
-        two = [i for i, s in enumerate(side) if s == 1]
-        made = links([found[i] for i in one], [found[i] for i in two] if two else None, part, whole)
-        order = one + two
-        pairs = [(ids[order[x]], ids[order[y]]) for x, y in made]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        ids, side = np.asarray(table.column("doc_id")), np.asarray(table.column("side"))
+        cells = table.column("s").combine_chunks()
+        ends, flat = np.asarray(cells.offsets), np.asarray(cells.values).view(_U)
+        found = [flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+        made = links([found[i] for i in one], [found[i] for i in two] if len(two) else None, part, whole)
+        at = ids[np.concatenate([one, two])]
+        pairs = np.array(made, np.int64).reshape(-1, 2)
+        return pa.table({"a": at[pairs[:, 0]], "b": at[pairs[:, 1]]})
 
     return run
 
@@ -207,53 +220,102 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     doc_ids link with nothing. Repeated rows repeat; rows that share a doc_id are one
     node. Other columns are not read; an empty table gives an empty result.
     """
-    clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    clean = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("text")).withColumn("row_key", F.xxhash64("text"))
     seen = stored(profiles(rows, size, part, whole), "profiles")
     live = seen.where("n_shingles > 0 and doc_id is not null")
     heads = stored(live.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "n_shingles")).alias("h")).select("digest", "h.*"), "heads")
+    # copies of a set give way to its smallest document
+    copies = live.groupBy("digest").agg(F.count("*").alias("c"))
+    twins = live.select("digest", "doc_id").distinct()
+    twins = split_join(stored(twins, "nodes"), heads.join(copies, "digest").select("digest", F.col("doc_id").alias("a"), "c"), ["digest"], "c")
+    twins = stored(twins.where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "twins")
     # each signature's first document stands for the others; the running frame keeps one row of a hot signature in memory
-    signed = live.select("doc_id", F.explode("signatures").alias("sig"))
+    own = live.join(heads.select("doc_id", "row_key").hint("shuffle_hash"), ["doc_id", "row_key"], "left_semi")
+    signed = own.select("doc_id", F.explode("signatures").alias("sig"))
     first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     star = signed.select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    twins = stored(live.join(heads.select("digest", F.col("doc_id").alias("a")), "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "twins")
-    near = star
-    for end in ("a", "b"):  # copies of a set give way to its smallest document
-        near = near.join(twins.select(F.col("a").alias("to"), F.col("b").alias(end)), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    near = near.where("a <> b").distinct()
-    # a copy that heads another set too (a doc_id with several texts) stays in the family for that one
-    other = twins.join(heads.select(F.col("doc_id").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    family = stored(components(near.unionByName(other)), "families")
+    family = stored(components(star), "families")
     pairs = _links(rows, heads, family, size, part, whole)
     # documents of one set, and one doc_id with several sets, are one node
     roots = components(pairs.unionByName(twins))
     return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def _sets(rows: DataFrame, member: DataFrame, size: int) -> DataFrame:
+    """member with the shingle hashes of its texts; a bit table keeps the other texts out of the shuffle."""
+    held = rows.sparkSession.sparkContext.broadcast(bit_table(member.select(F.xxhash64("row_key").alias("h")), "h"))  # 64 MB at most
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select(["doc_id", "row_key", "text"]).filter(pa.array(maybe(held.value, np.asarray(b.column("h")).view(_U))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b):
+                found = sets(split(block.column("text"), FOLDED), size)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])])
+                values = longs(np.concatenate([*found, np.empty(0, _U)]))
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("root", "docs", "shingles", "doc_id")), pa.array([len(s) for s in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["root", "docs", "shingles", "doc_id", "n", "s"])
+
+    kept = rows.select("doc_id", "row_key", "text", F.xxhash64("row_key").alias("h")).mapInArrow(some, "doc_id long, row_key long, text string").dropDuplicates(["doc_id", "row_key"])
+    both = kept.join(member, ["doc_id", "row_key"]).select("root", "docs", "shingles", "doc_id", "text")
+    return both.mapInArrow(run, "root long, docs long, shingles long, doc_id long, n long, s array<long>")
+
+
+def _beside(many: DataFrame, one: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with one row for each root, which is repeated for every SPREAD members."""
+    salts = (F.col("docs") / SPREAD).cast("int")
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), salts))).drop("docs")
+    return many.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), salts + 1).cast("int")).join(one, ["root", "salt"], how).drop("salt")
+
+
+def pivoted(large: DataFrame, part: int, whole: int) -> DataFrame:
+    """large with pivot, a member of each family, and is_open: whether a set does not link with it.
+
+    The pivot is the member most like the shingles of more than half of the family, of which there
+    are at most twice as many as a member has on average.
+    """
+    held = large.select("root", "docs", F.explode("s").alias("h")).groupBy("root", "docs", "h").agg(F.count("*").alias("c")).where("2 * c > docs")
+    usual = held.groupBy("root", "docs").agg(F.collect_list("h").alias("usual"))
+    alike = _beside(large, usual, "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    common = F.size(F.array_intersect("s", "usual"))
+    alike = alike.withColumn("like", common / (F.col("n") + F.size("usual") - common))
+    pivot = stored(alike.groupBy("root", "docs").agg(F.max_by(F.struct("doc_id", "n", "s"), F.struct("like", -F.col("doc_id"))).alias("p")), "pivots")
+    both = F.size(F.array_intersect("s", "p.s"))
+    linked = whole * both >= part * (F.col("n") + F.col("p.n") - both)
+    return _beside(large, pivot).select("root", "doc_id", "n", "s", F.col("p.doc_id").alias("pivot"), (~linked).alias("is_open"))
+
+
 def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part: int, whole: int) -> DataFrame:
-    member = heads.select("doc_id", "row_key", "n_shingles").join(family, F.col("doc_id") == F.col("node")).drop("node")
-    total = family_sizes(member)
-    small = member.join(total.where(F.col("shingles") <= BLOCK_SHINGLES).select("root"), "root", "left_semi").select("doc_id", "row_key", "root", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    # larger families: blocks in order of size, and the pairs of blocks whose sizes can link
-    large = member.join(total.where(F.col("shingles") > BLOCK_SHINGLES).select("root", "shingles"), "root")
-    level = F.floor(F.log(F.col("n_shingles").cast("double")) / log(whole / part)).cast("int")  # links reach the next level at most
+    """(a, b): links that join what all links join."""
+    member = stored(heads.select("doc_id", "row_key", "n_shingles").join(family.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
+    total = member.groupBy("root").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("docs"))
+    member = stored(split_join(member, stored(total, "totals"), ["root"], "docs"), "members")
+    every = stored(_sets(rows, member, size), "sets")
+    fits = (F.col("shingles") <= BLOCK_SHINGLES) & (F.col("docs") <= BLOCK_DOCS)
+    verify = _verify(part, whole)
+    small = every.where(fits).select("root", "doc_id", "s", F.lit(0).alias("side")).groupBy("root").applyInArrow(verify, "a long, b long")
+    large = every.where(~fits)
+    if large.isEmpty():
+        return small
+    large = stored(pivoted(large, part, whole), "pivoted")
+    # blocks in order of size, and the pairs of blocks whose sizes can link and of which one is open
+    level = F.floor(F.log(F.col("n").cast("double")) / log(whole / part)).cast("int")  # links reach the next level at most
     cut = large.withColumn("level", level)
-    held = cut.groupBy("root", "level").agg(F.sum("n_shingles").alias("s"), F.count("*").alias("c"))
-    cut = cut.join(held, ["root", "level"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int"))
-    block = cut.groupBy("root", "level", "sub").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    block = stored(block.withColumn("no", F.row_number().over(Window.partitionBy("root").orderBy("level", "sub"))), "blocks")
-    other = block.select("root", *[F.col(c).alias(f"{c}2") for c in ("no", "lo", "hi")])
-    pair = block.join(other, "root").where((F.col("no") <= F.col("no2")) & (whole * F.least("hi", "hi2") >= part * F.greatest("lo", "lo2")))
-    pair = pair.select("root", "no", "no2")
-    ends = pair.select("root", F.col("no").alias("no_"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(0).alias("side"))
-    ends = ends.unionByName(pair.where("no < no2").select("root", F.col("no2").alias("no_"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(1).alias("side")))
-    placed = cut.join(block.select("root", "level", "sub", F.col("no").alias("no_")), ["root", "level", "sub"])
-    wide = placed.join(ends, ["root", "no_"]).select("doc_id", "row_key", "root", "i", "j", "side")
-    tasks = stored(small.unionByName(wide), "tasks")
-    # a shuffle at every size: what is sent then follows the input
-    full = rows.join(tasks.select("doc_id", "row_key").distinct().hint("merge"), ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
-    return full.join(tasks.hint("merge"), ["doc_id", "row_key"]).groupBy("root", "i", "j").applyInArrow(_verify(size, part, whole), "a long, b long")
-
-
-def family_sizes(member: DataFrame) -> DataFrame:
-    return member.groupBy("root").agg(F.sum("n_shingles").alias("shingles"))
+    kind = ["root", "is_open", "level"]
+    held = cut.groupBy(*kind).agg(F.sum("n").alias("sum"), F.count("*").alias("c"))
+    held = held.withColumn("parts", F.greatest(F.ceil(F.col("sum") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_DOCS)).cast("int"))
+    cut = split_join(cut, stored(held.select(*kind, "c", "parts"), "kinds"), kind, "c").withColumn("sub", F.pmod(F.xxhash64("doc_id", "n"), "parts").cast("int"))
+    cut = stored(cut.drop("c", "parts"), "cut")
+    block = cut.groupBy(*kind, "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    block = stored(block.withColumn("no", F.row_number().over(Window.partitionBy("root").orderBy("is_open", "level", "sub"))), "blocks")
+    other = block.select("root", *[F.col(c).alias(f"{c}2") for c in ("no", "lo", "hi", "is_open")])
+    pair = block.join(other, "root").where((F.col("no") <= F.col("no2")) & (F.col("is_open") | F.col("is_open2")) & (whole * F.least("hi", "hi2") >= part * F.greatest("lo", "lo2")))
+    ends = pair.select("root", F.col("no").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(0).alias("side"))
+    ends = ends.unionByName(pair.where("no < no2").select("root", F.col("no2").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(1).alias("side")))
+    ends = ends.join(block.select(*kind, "sub", F.col("no").alias("at")), ["root", "at"])
+    wide = cut.join(ends, [*kind, "sub"]).select("root", "i", "j", "side", "doc_id", "s")
+    made = wide.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
+    hubs = large.where("not is_open and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    return small.unionByName(made).unionByName(hubs)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from loomspark.llm import decontamination, fingerprints, jaccard, lines, mixing, quality, secrets, substrings, tokens, toxicity
+from loomspark.llm import _split, decontamination, fingerprints, jaccard, lines, mixing, quality, secrets, substrings, tokens, toxicity
 from loomspark.llm._fit import auc
 from loomspark.llm.components import components
 from loomspark.llm.queries import tree
@@ -81,6 +82,7 @@ def test_substrings(docs, empty, width):
 @pytest.mark.parametrize("size,part,block", [(3, 90, 1 << 19), (5, 80, 1 << 19), (3, 60, 300)])
 def test_jaccard(docs, empty, monkeypatch, size, part, block):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(_split, "HEAVY", block // 100)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     s = {}
     for r in docs.collect():
@@ -106,6 +108,44 @@ def test_jaccard(docs, empty, monkeypatch, size, part, block):
     assert len({find(d) for d in ids}) < len(ids) and jaccard.shingle_components(empty).count() == 0
 
 
+def linked(texts, size, part):
+    """Component of each text, by brute force."""
+    s = [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in map(str.split, texts)]
+    root = list(range(len(s)))
+    for a in range(len(s)):
+        for b in range(a):
+            both = len(s[a] & s[b])
+            if root[a] != root[b] and 100 * both >= part * (len(s[a]) + len(s[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("edits", [1, 4, 9])
+def test_large_families(spark, monkeypatch, edits):
+    for name, value in (("BLOCK_DOCS", 40), ("SPREAD", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(_split, "HEAVY", 20)
+    rng = random.Random(edits)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(220):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w[: rng.choice([120, 120, 118, 110])]))
+    want = linked(texts, 3, 90)
+    got = {r.doc_id: r.component_id for r in jaccard.shingle_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 200
+
+
+def test_many_short_near_copies(spark):
+    texts = [" ".join([*(f"w{k}" for k in range(40)), f"x{i}"]) for i in range(6000)]
+    began = time.time()
+    got = jaccard.shingle_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("component_id").distinct().collect()
+    assert [r.component_id for r in got] == [0] and time.time() - began < 60
+
+
 def test_texts_that_share_a_doc_id(spark):
     import corpus_pipeline
 

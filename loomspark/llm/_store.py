@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where none is set, as in tests."""
+    """spark.checkpoint.dir of the session, or what setCheckpointDir() was given.
+
+    Where neither is set: a folder of this machine if master and executors run on it, as in
+    tests; on a cluster an error, since executors would not see each other's files.
+    """
+    context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    held = context._jsc.sc().getCheckpointDir()
+    if path is None and held.isDefined():
+        path = held.get()
     if path is None:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            path = held.get()
-        else:
-            path = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-            spark.sparkContext.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 

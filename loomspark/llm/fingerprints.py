@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import column
 from loomspark.llm._store import stored
 
 #: Members of a bucket that meet one copy of its smallest document's text in a task.
@@ -51,7 +52,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def rows_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, row_key, n_chars, text (null: empty) of docs."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(column(text).cast("string"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), F.length("text").cast("long").alias("n_chars"), "text")
 
 
@@ -154,9 +155,10 @@ def edit_report(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """
     rows = rows_of(docs, text).withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     found = stored(neighbours(rows), "edits")
-    by = Window.orderBy("part")  # one row for each range
-    heads = found.where("role = 'head'").select("part", F.struct("text", "digest").alias("h"))
-    heads = heads.select("part", F.coalesce(F.lead("h").over(by), F.first("h").over(by)).alias("h")).select("part", F.col("h.text").alias("lead"), F.col("h.digest").alias("lead_digest"))
+    by = Window.orderBy("part")  # one number for each range
+    heads = found.where("role = 'head'").select("part", F.col("text").alias("lead"), F.col("digest").alias("lead_digest"))
+    order = heads.select("part").withColumn("next", F.coalesce(F.lead("part").over(by), F.first("part").over(by)))
+    heads = order.join(heads.withColumnRenamed("part", "next"), "next").drop("next")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

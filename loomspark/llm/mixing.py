@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import column, split_join
 from loomspark.llm._store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Leaves whose shares go to every worker (a hundred bytes each).
+BROADCAST_LEAVES = 100_000
 #: Order keys have 60 bits; their first 12 name the bucket that prefix sums run over.
 BUCKET_SHIFT = 48
 
@@ -60,10 +63,10 @@ def leaf_shares(leaves: DataFrame, levels: list[str], budget: Column, max_epochs
     return leaves.join(found, levels).select(*levels, "stock", "share")
 
 
-def mix(docs: DataFrame, levels: dict[str, tuple[Column, Column]], *, budget: Column | None = None, max_epochs: int = 4, seed: int = 42, text: str = "text", epoch: str = "epoch") -> DataFrame:
+def mix(docs: DataFrame, levels: dict[str, tuple[Column, Column]], *, budget: Column | None = None, max_epochs: int = 4, seed: int = 42, text: str = "text", epoch: str = "epoch", tokens: Column | None = None) -> DataFrame:
     """Rows of docs, once for each epoch they are chosen in, with all their columns, epoch (from 1), n_tokens and the levels (as mix_<level>).
 
-    levels: for each level from the top, its name column (nulls become '') and its
+    tokens: how many tokens a row has, for example a column that count_tokens gave; its words if none (null: 0). levels: for each level from the top, its name column (nulls become '') and its
     whole-number weight; a node's weight is the largest among its rows. budget: tokens, as an aggregate over sum(stock) of
     the leaves; half of all tokens if none. Nodes of no weight or no tokens get
     nothing, texts without words and null texts are never chosen, rows of one doc_id and leaf stand or fall
@@ -71,21 +74,26 @@ def mix(docs: DataFrame, levels: dict[str, tuple[Column, Column]], *, budget: Co
     child. Columns of docs with the names that are added are replaced. An empty table gives an empty result.
 
     Leaves meet in tables of one row each, documents only in 4096 buckets of each
-    leaf, of which one is ordered; texts are not shuffled if the table of leaves is small enough to broadcast.
+    leaf, of which one is ordered. The largest leaves meet their documents by broadcast, so their texts are not
+    shuffled; nor are any if there are at most BROADCAST_LEAVES.
     """
     names = list(levels)
-    clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    clean = F.coalesce(column(text).cast("string"), F.lit(""))
+    counted = n_words(clean) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     added = [epoch, "n_tokens", *[f"mix_{n}" for n in names]]
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("d"), n_words(clean).alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (c, _) in levels.items()], *[F.coalesce(w.cast("long"), F.lit(0)).alias(f"w_{n}") for n, (_, w) in levels.items()])
+    row = F.struct(*map(column, docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("d"), counted.alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, (c, _) in levels.items()], *[F.coalesce(w.cast("long"), F.lit(0)).alias(f"w_{n}") for n, (_, w) in levels.items()])
     rows = rows.where("tokens > 0")
     light = stored(rows.groupBy(*names, "d").agg(F.sum("tokens").alias("tokens"), *[F.max(f"w_{n}").alias(f"w_{n}") for n in names]), "stock")
-    leaves = light.groupBy(*names).agg(F.sum("tokens").alias("stock"), *[F.max(f"w_{n}").alias(f"w_{n}") for n in names])
+    leaves = light.groupBy(*names).agg(F.sum("tokens").alias("stock"), F.count("*").alias("n_docs"), *[F.max(f"w_{n}").alias(f"w_{n}") for n in names])
     leaves = stored(leaves, "leaves")
     shares = leaf_shares(leaves, names, F.expr("sum(stock) div 2") if budget is None else budget, max_epochs)
-    shares = stored(shares.select(*names, F.expr("share div stock").alias("full"), F.expr("share % stock").alias("rest")), "shares")
+    shares = shares.join(leaves.select(*names, "n_docs"), names)
+    shares = stored(shares.select(*names, "n_docs", F.expr("share div stock").alias("full"), F.expr("share % stock").alias("rest")), "shares")
+    few = shares.count() <= BROADCAST_LEAVES
+    beside = lambda many, one: many.join(F.broadcast(one), names) if few else split_join(many, one, names, "n_docs")
     # where the prefix of each leaf's next epoch ends
-    keyed = light.select(*names, "d", "tokens").join(shares, names).withColumn("u", order_key(seed, F.col("full") + 1, F.col("d"))).withColumn("bucket", F.shiftright("u", BUCKET_SHIFT))
+    keyed = beside(light.select(*names, "d", "tokens"), shares).withColumn("u", order_key(seed, F.col("full") + 1, F.col("d"))).withColumn("bucket", F.shiftright("u", BUCKET_SHIFT))
     keyed = stored(keyed.select(*names, "d", "tokens", "rest", "u", "bucket"), "keys")
     sums = keyed.groupBy(*names, "bucket").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -93,9 +101,9 @@ def mix(docs: DataFrame, levels: dict[str, tuple[Column, Column]], *, budget: Co
     inside = keyed.join(cut, [*names, "bucket"]).withColumn("upto", F.sum("tokens").over(Window.partitionBy(*names).orderBy("u", "d").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
     last = inside.where("upto <= rest").groupBy(*names).agg(F.max(F.struct("u", "d")).alias("last"))
     ends = shares.join(cut.select(*names, "bucket"), names, "left").join(last, names, "left")
-    ends = stored(ends.select(*names, "full", F.coalesce(F.shiftleft(F.col("bucket").cast("long"), BUCKET_SHIFT), F.lit(2**60)).alias("from_u"), "last"), "ends")
-    chosen = rows.join(ends, names).withColumn("u", order_key(seed, F.col("full") + 1, F.col("d")))
+    ends = stored(ends.select(*names, "n_docs", "full", F.coalesce(F.shiftleft(F.col("bucket").cast("long"), BUCKET_SHIFT), F.lit(2**60)).alias("from_u"), "last"), "ends")
+    chosen = beside(rows, ends).withColumn("u", order_key(seed, F.col("full") + 1, F.col("d")))
     more = (F.col("u") < F.col("from_u")) | F.coalesce(F.struct("u", "d") <= F.col("last"), F.lit(False))
     copies = F.col("full") + F.when(more, 1).otherwise(0)
     chosen = chosen.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return chosen.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], F.col("_e").alias(epoch), F.col("tokens").alias("n_tokens"), *[F.col(n).alias(f"mix_{n}") for n in names])
+    return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in added], F.col("_e").alias(epoch), F.col("tokens").alias("n_tokens"), *[F.col(n).alias(f"mix_{n}") for n in names])

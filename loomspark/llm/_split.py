@@ -52,6 +52,26 @@ def maybe(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def part_rows(rows: DataFrame, hash_of: Column, keys: DataFrame, *, most_bits: int = 27) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be among keys, rows that are not): keys holds the same hash of its rows in column h.
+
+    A bit for each hash modulo about sixteen times the keys, in broadcast bitmaps of 4 KB (2**most_bits bits or 16 MB in
+    all), decides without a shuffle; what is needless among the first stays correct under a join. Built-in
+    functions only; keys is read twice: store it before.
+    """
+    bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
+    number = lambda h: F.pmod(h, F.lit(1 << bits)) + 1
+    own = keys.select(number(F.col("h")).alias("n"))
+    table = own.groupBy(F.bitmap_bucket_number("n").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("_bits"))
+    table = F.broadcast(stored(table, "bits"))  # at most 2**(bits - 15) rows of 4 KB
+    n = number(hash_of)
+    at = F.bitmap_bit_position(n)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = rows.withColumn("_bucket", F.bitmap_bucket_number(n)).join(table, "_bucket", "left")
+    hit = F.coalesce(F.call_function("getbit", byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return seen.where(hit).drop("_bucket", "_bits"), seen.where(~hit).drop("_bucket", "_bits")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column."""
     have = {c.lower() for c in df.columns}

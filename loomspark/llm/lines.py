@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import column, part_rows, split_join
 from loomspark.llm._store import stored
 
 #: Members of a group that meet one copy of its first chunk's text in a task.
@@ -42,10 +43,10 @@ def chunk_spans(lines: str, *, window: int, divisor: int) -> list[tuple[str, Col
 
 
 def _rows(docs: DataFrame, text: str) -> DataFrame:
-    """row (all columns of docs but the text), d and k (order and identity of a document), text."""
-    clean = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.select(F.struct(*others, F.col(text).isNull().alias("_no_text")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(clean).alias("k"), clean.alias("text"))
+    """row (all columns of docs but the text), no_text, d and k (order and identity of a document), text."""
+    clean = F.coalesce(column(text).cast("string"), F.lit(""))
+    others = [column(c) for c in docs.columns if c != text] or [F.lit(None).alias("none")]
+    return docs.select(F.struct(*others).alias("row"), column(text).isNull().alias("no_text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64(clean).alias("k"), clean.alias("text"))
 
 
 def chunks(rows: DataFrame, *, window: int, divisor: int) -> DataFrame:
@@ -83,13 +84,14 @@ def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: b
     """(d, k, start, n) of the chunks, or pairs, that go."""
     every = stored(pairs(rows) if every_pair else chunks(rows, window=window, divisor=divisor), "chunks")
     groups = every.groupBy("h1", "h2").agg(F.min(F.struct("d", "k", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    hits = every.join(groups, ["h1", "h2"]).withColumn("is_first", F.struct("d", "k", "start") == F.col("first"))
+    hits = split_join(every, stored(groups, "groups"), ["h1", "h2"], "c").withColumn("is_first", F.struct("d", "k", "start") == F.col("first"))
     if every_pair:  # what overlaps its own first occurrence is no repetition
         hits = hits.where(~((F.col("d") == F.col("first.d")) & (F.col("k") == F.col("first.k")) & (F.col("start") > F.col("first.start")) & (F.col("start") < F.col("first.start") + F.col("n"))))
     hits = stored(hits.select("d", "k", "start", "n", "h1", "h2", "c", "is_first"), "hits")
-    # texts of the hits, through one shuffle of the documents
+    # texts of the hits, through one shuffle of the documents that have some
     wanted = hits.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n", "h1", "h2", "c", "is_first")).alias("hits"))
-    held = rows.select("d", "k", "text").join(wanted, ["d", "k"]).select("d", "k", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("s"))
+    some, _ = part_rows(rows.select("d", "k", "text"), F.xxhash64("d", "k"), hits.select(F.xxhash64("d", "k").alias("h")))
+    held = some.join(wanted, ["d", "k"]).select("d", "k", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("s"))
     held = held.select("d", "k", "s.*", F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.n")), "\n").alias("chunk"))
     held = stored(held, "passages")
     salts = F.floor(F.col("c") / SPREAD).cast("int")
@@ -99,8 +101,8 @@ def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: b
     return merged(gone) if every_pair else gone
 
 
-def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pair: bool = False, text: str = "text") -> DataFrame:
-    """The rows of docs with all their columns, the text without repeated chunks, and n_lines and n_removed_lines.
+def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pair: bool = False, text: str = "text", counts: bool = True) -> DataFrame:
+    """The rows of docs with all their columns, the text without repeated chunks, and with counts n_lines and n_removed_lines.
 
     Of equal chunks the one of the smallest doc_id stays (then of the smallest text
     hash, then the first in the document); single-line chunks always stay. With every_pair
@@ -110,18 +112,23 @@ def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pai
     at line feeds; kept lines are joined by line feeds again. Null and empty texts stay as they are
     (0 lines); a null doc_id counts as the largest; identical rows count as one
     document and get the same result. Columns of docs named n_lines or n_removed_lines are
-    replaced. An empty table gives an empty result.
+    replaced by the counts, and kept without them. An empty table gives an empty result. Only texts
+    that lose lines are shuffled whole.
     """
     rows = _rows(docs, text)
     gone = repeated_chunks(rows, window=window, divisor=divisor, every_pair=every_pair)
-    gone = gone.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
-    both = rows.join(gone, ["d", "k"], "left")
+    gone = stored(gone.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
+    some, others = part_rows(rows, F.xxhash64("d", "k"), gone.select(F.xxhash64("d", "k").alias("h")))
     lines = F.split("text", "\n", -1)
     inside = lambda i: F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["n"]))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
-    out = both.select("row", "text", "gone", kept.alias("kept"))
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    own = [F.when(~F.col("row._no_text"), F.col("kept")).alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names]
-    return out.select(*own, n_lines.alias("n_lines"), n_gone.alias("n_removed_lines"))
+    added = [n_lines.alias("n_lines"), n_gone.alias("n_removed_lines")] if counts else []
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed_lines")]
+
+    def out(both: DataFrame) -> DataFrame:
+        own = [F.when(~F.col("no_text"), kept).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
+        return both.select(*own, *added)
+
+    return out(some.join(gone, ["d", "k"], "left")).unionByName(out(others.withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))))

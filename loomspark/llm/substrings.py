@@ -4,7 +4,9 @@
    smallest hash of the GRAM-word runs in it. Equal windows have equal anchors,
    and a document adds one to each of its anchors, so the merged sketch never
    underestimates in how many documents a window starts. Partitions send their
-   cells sparsely; a cell's counts are merged in groups of 2**16 cells.
+   cells sparsely; a cell's counts are merged in groups of 2**16 cells. A sketch of up to
+   MOST_CELLS cells a row is broadcast; a larger one, which follows the corpus too, stays a
+   table of cells that the anchors of each document are joined with, row by row.
 2. Only windows whose anchor is estimated in two documents or more are grouped
    exactly, by anchor and 64-bit window hash. Neighbouring windows of one
    anchor travel as one segment: copies of a whole segment need one comparison,
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm._split import column, part_rows, split_join
 from loomspark.llm._store import stored
 from loomspark.llm._text import Words, blocks, longs, mix, split
 
@@ -47,6 +50,19 @@ def cells(hashes: np.ndarray, row: int, size: int) -> np.ndarray:
     return (mix(hashes, 0xA5A5 + row * 0x9E37) & _U(size - 1)).astype(np.int64)
 
 
+def _starts(words: Words, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, anchor), once for each anchor of a text."""
+    doc, _, low = anchors(words, width, gram)
+    new = np.ones(len(doc), bool)
+    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    doc, low = doc[new], low[new]
+    order = np.lexsort((low, doc))
+    doc, low = doc[order], low[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], low[new]
+
+
 def sketch(docs: DataFrame, size: int, width: int, gram: int) -> list[tuple[int, int, bytes]]:
     """(row, block, bits): which cells of the merged sketch count two documents or more. At most ROWS * size / 8 bytes."""
 
@@ -54,17 +70,7 @@ def sketch(docs: DataFrame, size: int, width: int, gram: int) -> list[tuple[int,
         seen: list[np.ndarray] = []
         for b in batches:
             for block in blocks(b):
-                words = split(block.column("text"))
-                doc, _, low = anchors(words, width, gram)
-                if len(doc):
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                    doc, low = doc[new], low[new]
-                    order = np.lexsort((low, doc))
-                    doc, low = doc[order], low[order]
-                    new = np.ones(len(doc), bool)
-                    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-                    seen.append(low[new])
+                seen.append(_starts(split(block.column("text")), width, gram)[1])
         if not seen:
             return
         values, counts = np.unique(np.concatenate(seen), return_counts=True)
@@ -98,26 +104,53 @@ def repeated(hashes: np.ndarray, rows: list[np.ndarray], size: int) -> np.ndarra
 
 
 def sketch_size(chars: int) -> int:
-    """Cells for a corpus of so many characters: about four for each anchor, up to MOST_CELLS (8 MB of bits for 2**26)."""
-    return min(MOST_CELLS, max(CELL_BLOCK, 1 << max(0, int(chars) // 24).bit_length()))
+    """Cells for a corpus of so many characters: about four for each anchor (8 MB of bits for 2**26)."""
+    return max(CELL_BLOCK, 1 << max(0, int(chars) // 24).bit_length())
+
+
+def repeated_anchors(docs: DataFrame, size: int, width: int, gram: int) -> DataFrame:
+    """doc_id, row_key, given: the anchors of each document that a sketch of any size, kept as a table of cells, estimates repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in blocks(b):
+                doc, low = _starts(split(block.column("text")), width, gram)
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([block.column("doc_id").take(take), block.column("row_key").take(take), longs(low), *(pa.array(cells(low, row, size)) for row in range(ROWS))], ["doc_id", "row_key", "anchor", *(f"cell{row}" for row in range(ROWS))])
+
+    left = docs.select("doc_id", "row_key", "text").mapInArrow(run, ", ".join(["doc_id long, row_key long, anchor long", *(f"cell{row} long" for row in range(ROWS))]))
+    for row in range(ROWS):
+        left = stored(left, "anchors")
+        often = left.groupBy(f"cell{row}").agg(F.count("*").alias("c")).where("c > 1")
+        left = split_join(left, stored(often, "cells"), [f"cell{row}"], "c").drop("c")
+    return left.groupBy("doc_id", "row_key").agg(F.collect_set("anchor").alias("given"))
 
 
 _SEGMENTS = "anchor long, seg long, doc_id long, row_key long, at int, n int, windows binary"
 
 
-def segments(docs: DataFrame, found: list, size: int, width: int, gram: int) -> DataFrame:
+def segments(docs: DataFrame, size: int, width: int, gram: int) -> DataFrame:
     """Runs of windows with one anchor that the sketch estimates repeated, with the hashes of their windows."""
-    held = docs.sparkSession.sparkContext.broadcast(found)
+    docs = docs.where("doc_id is not null").select("doc_id", "row_key", "text")
+    small = size <= MOST_CELLS
+    held = docs.sparkSession.sparkContext.broadcast(sketch(docs, size, width, gram) if small else None)
+    if not small:
+        docs = docs.join(repeated_anchors(docs, size, width, gram), ["doc_id", "row_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _unpacked(held, size)
+        rows = _unpacked(held, size) if small else []
         for b in batches:
             for block in blocks(b):
                 words = split(block.column("text"))
                 doc, at, low = anchors(words, width, gram)
                 if not len(doc):
                     continue
-                hit = repeated(low, rows, size)
+                if small:
+                    hit = repeated(low, rows, size)
+                else:
+                    given = block.column("given")
+                    ends = np.searchsorted(doc, np.arange(len(block) + 1))
+                    hit = np.concatenate([np.isin(low[a:z].view(np.int64), given[i].values.to_numpy()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True))])
                 doc, at, low = doc[hit], at[hit], low[hit]
                 if not len(doc):
                     continue
@@ -134,7 +167,7 @@ def segments(docs: DataFrame, found: list, size: int, width: int, gram: int) ->
                 local = (at[first] - words.first[doc[first]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([longs(low[first]), longs(seg), block.column("doc_id").take(take), block.column("row_key").take(take), pa.array(local), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], ["anchor", "seg", "doc_id", "row_key", "at", "n", "windows"])
 
-    return docs.where("doc_id is not null").select("doc_id", "row_key", "text").mapInArrow(run, _SEGMENTS)
+    return docs.mapInArrow(run, _SEGMENTS)
 
 
 _CACHE: dict = {}
@@ -170,20 +203,18 @@ def opened(rows: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, *, width: int = 50, gram: int = 25) -> DataFrame:
     """(doc_id, row_key, at, n): runs of n windows from word at on that also start in a document with a smaller doc_id."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    size = sketch_size(chars)
-    found = sketch(docs, size, width, gram)
-    seg = stored(segments(docs, found, size, width, gram), "segments")
+    seg = stored(segments(docs, sketch_size(chars), width, gram), "segments")
     light = seg.select("anchor", "seg", "doc_id", "row_key", "at", "n")
     first = light.groupBy("anchor", "seg").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("c"))
     first = stored(first, "first")
     # 1: a whole segment that a smaller document has too
-    whole = light.join(first.where("d0 < d1").select("anchor", "seg", "d0"), ["anchor", "seg"]).where("doc_id > d0").select("doc_id", "row_key", "at", "n")
+    whole = split_join(light, first.where("d0 < d1").select("anchor", "seg", "d0", "c"), ["anchor", "seg"], "c").where("doc_id > d0").select("doc_id", "row_key", "at", "n")
     # 2: windows of the smallest document of each segment, where an anchor has several segments
     several = first.groupBy("anchor").agg(F.count("*").alias("k"), F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("k > 1 and lo < hi").select("anchor")
     heads = first.join(several, "anchor", "left_semi").select("anchor", "seg", F.col("d0").alias("doc_id"))
     open_ = stored(opened(seg.join(heads, ["anchor", "seg", "doc_id"], "left_semi")), "windows")
-    least = open_.groupBy("anchor", "window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("anchor", "window", "d0")
-    single = open_.join(least, ["anchor", "window"]).where("doc_id > d0").select("doc_id", "row_key", "at", F.lit(1).alias("n"))
+    least = open_.groupBy("anchor", "window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("c")).where("d0 < d1").select("anchor", "window", "d0", "c")
+    single = split_join(open_, stored(least, "least"), ["anchor", "window"], "c").where("doc_id > d0").select("doc_id", "row_key", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
@@ -196,9 +227,10 @@ def dedup_substrings(docs: DataFrame, *, width: int = 50, gram: int = 25, text:
     nothing of each other. Null texts have no words; rows with a null doc_id stay whole and
     remove nothing. Other columns are not read; an empty table gives an empty result.
     """
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text")).withColumn("row_key", F.xxhash64("text"))
     gone = repeats(rows, width=width, gram=gram).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("at", "n")).alias("gone"))
+    gone = stored(gone, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,7 +252,10 @@ def dedup_substrings(docs: DataFrame, *, width: int = 50, gram: int = 25, text:
                     texts.append(joined(data, words.start[index], words.end[index]))
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    both = rows.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
+    # only texts that lose words are shuffled whole
+    some, others = part_rows(rows, F.xxhash64("doc_id", "row_key"), gone.select(F.xxhash64("doc_id", "row_key").alias("h")))
+    none = F.lit(None).cast(gone.schema["gone"].dataType).alias("gone")
+    both = some.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone").unionByName(others.select("doc_id", "text", none))
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 

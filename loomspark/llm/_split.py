@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from loomspark.llm._store import stored
+from loomspark.llm._text import blocks
 
 #: Keys of more rows than this may be joined by broadcast, the most frequent MOST_HEAVY of them.
 HEAVY, MOST_HEAVY = 1000, 100_000
@@ -62,14 +67,33 @@ def part_rows(rows: DataFrame, hash_of: Column, keys: DataFrame, *, most_bits: i
     bits = min(most_bits, max(15, (16 * keys.count()).bit_length()))
     number = lambda h: F.pmod(h, F.lit(1 << bits)) + 1
     own = keys.select(number(F.col("h")).alias("n"))
-    table = own.groupBy(F.bitmap_bucket_number("n").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("_bits"))
-    table = F.broadcast(stored(table, "bits"))  # at most 2**(bits - 15) rows of 4 KB
+    table = own.groupBy(F.bitmap_bucket_number("n").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("m"))
+    bucket, held = free_name(rows, "bucket"), free_name(rows, "bits")
+    table = F.broadcast(stored(table.toDF(bucket, held), "bits"))  # at most 2**(bits - 15) rows of 4 KB
     n = number(hash_of)
     at = F.bitmap_bit_position(n)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    seen = rows.withColumn("_bucket", F.bitmap_bucket_number(n)).join(table, "_bucket", "left")
+    byte = F.conv(F.hex(F.substring(held, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = rows.withColumn(bucket, F.bitmap_bucket_number(n)).join(table, bucket, "left")
     hit = F.coalesce(F.call_function("getbit", byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return seen.where(hit).drop("_bucket", "_bits"), seen.where(~hit).drop("_bucket", "_bits")
+    return seen.where(hit).drop(bucket, held), seen.where(~hit).drop(bucket, held)
+
+
+def filtered(docs: DataFrame, seen: list[Column], names: list[str], keep) -> DataFrame:  # noqa: ANN001
+    """The rows of docs, with columns of any names, for which keep(blocks of seen) is true; seen (named names, the text among them) is read by keep only."""
+    n = len(docs.columns)
+    both = docs.select("*", *[c.alias(free_name(docs, f"seen{i}")) for i, c in enumerate(seen)])
+    plain = both.toDF(*[f"c{i}" for i in range(n + len(seen))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = pa.RecordBatch.from_arrays(b.columns[:n], names=[f"c{i}" for i in range(n)])
+            at = 0
+            for block in blocks(pa.RecordBatch.from_arrays(b.columns[n:], names=names)):
+                yield own.slice(at, len(block)).filter(pa.array(keep(block), pa.bool_()))
+                at += len(block)
+
+    kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
+    return plain.mapInArrow(run, kinds).toDF(*docs.columns)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._split import HEAVY, bit_table, column, free_name, maybe
+from loomspark.llm._split import HEAVY, bit_table, column, filtered, free_name, maybe
 from loomspark.llm._store import stored
 from loomspark.llm._text import _W, FOLDED, blocks, longs, mix, split
 
@@ -328,15 +328,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, s
         bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
         return docs.withColumn(key, F.md5(clean)).join(bad, key, "left_anti").select(*map(column, names))
     held = docs.sparkSession.sparkContext.broadcast(Items.of(items.dropDuplicates().toArrow(), seed, share))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = pa.RecordBatch.from_arrays(b.columns[:-1], names=names)
-            seen = pa.RecordBatch.from_arrays(b.columns[-1:], names=["text"])
-            at = 0
-            for block in blocks(seen):
-                found = _found(block, held.value, seed, share)
-                yield own.slice(at, len(block)).filter(pa.array([c == 0 for _, c in found], pa.bool_()))
-                at += len(block)
-
-    return docs.select("*", clean.alias(free_name(docs, "seen"))).mapInArrow(run, docs.schema)
+    return filtered(docs, [clean], ["text"], lambda block: [c == 0 for _, c in _found(block, held.value, seed, share)])

@@ -1,9 +1,9 @@
 """Document quality by co-training two views.
 
 The content view sees statistics of the text, the metadata view only language,
-source and recorded length. Each round, each view labels an unlabelled pool and gives
-its most confident pseudo-labels to the other view's training set. Both are
-then calibrated on held-out labels, and a regression over their calibrated
+source and recorded length. Each round, each view scores every unlabelled document, and
+a bounded number of those it is sure of become pseudo-labels in the other view's training set. Both are
+then calibrated on labels that they were not fitted on, and a regression over their calibrated
 log odds scores every document.
 """
 
@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm._fit import logistic, score, sigmoid
+from loomspark.llm._split import column, filtered
+from loomspark.llm._store import stored
 from loomspark.llm._text import BYTES, blocks, split
 
 SOURCES = 64
@@ -52,7 +54,7 @@ def content_view(block: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([x, x**2])
 
 
-def metadata_view(block: pa.RecordBatch) -> np.ndarray:
+def metadata_view(block: pa.RecordBatch | pa.Table) -> np.ndarray:
     """Hashed language and source, and the recorded length; nulls have their own place."""
     x = np.zeros((len(block), SOURCES + 16 + 3))
     for i, (lang, source, size) in enumerate(zip(*(block.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)):
@@ -71,6 +73,7 @@ class CoModel:
     joint: np.ndarray
     mean: np.ndarray
     std: np.ndarray
+    learned: tuple[int, int] = (0, 0)  # pseudo-labels that the content and the metadata view were given
 
     def views(self, c: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Calibrated log odds of both views."""
@@ -81,75 +84,133 @@ class CoModel:
         return score(self.views(c, m), self.joint)
 
 
-def co_train(c: np.ndarray, m: np.ndarray, y: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, *, rounds: int = 4, share: float = 0.1, sure: float = 0.95) -> CoModel:
-    """Views c and m of labelled rows, labels y (1: good), and both views of the unlabelled pool."""
-    if not len(y):  # nothing known: every document is as good as the next
-        return CoModel(np.zeros(c.shape[1] + 1), np.zeros(m.shape[1] + 1), np.array([[1.0, 0], [1.0, 0]]), np.array([0.0, 0, 3.0]), np.zeros(c.shape[1]), np.ones(c.shape[1]))
-    held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.ones(len(y), bool)
-    fit = ~held if len(y) >= 50 else held
-    mean, std = c[fit].mean(axis=0), c[fit].std(axis=0) + 1e-6
-    view = {"c": ((c - mean) / std, (pool_c - mean) / std), "m": (m, pool_m)}
-    given: dict[str, dict[int, int]] = {"c": {}, "m": {}}  # pool row: pseudo-label, by the view that learns from it
-    weights = {}
-    for turn in range(rounds + 1):
-        for v, (x, pool) in view.items():
-            rows = np.array(sorted(given[v]), int)
-            xs = np.concatenate([x[fit], pool[rows]])
-            ys = np.concatenate([y[fit], [given[v][r] for r in rows.tolist()]])
-            weights[v] = logistic(xs, ys)
-        if turn == rounds:
-            break
-        for v, to in (("c", "m"), ("m", "c")):
-            pool = view[v][1]
-            if not len(pool):
-                continue
-            # confidence is read off held-out labels, so a view that knows nothing passes nothing on
-            odds = score(view[v][0][held], weights[v])
-            slope = logistic(odds[:, None], y[held])
-            p = sigmoid(score(score(pool, weights[v])[:, None], slope))
-            for label, chance in ((1, p), (0, 1 - p)):
-                quota = int(share * len(pool) * (y[fit].mean() if label else 1 - y[fit].mean()))
-                best = [r for r in np.argsort(-chance, kind="stable")[: 4 * quota + 8].tolist() if chance[r] >= sure and r not in given[to]][:quota]
-                given[to].update(dict.fromkeys(best, label))
-    scale = np.array([logistic(score(view[v][0][held], weights[v])[:, None], y[held]) for v in ("c", "m")])
-    model = CoModel(weights["c"], weights["m"], scale, np.zeros(3), mean, std)
-    model.joint = logistic(model.views(c[held], m[held]), y[held])
-    return model
-
-
-_VIEWS = "row_id long, quality int, c array<double>, m array<double>"
-
-
-def _seen(docs: DataFrame, text: str) -> list:
+FOLDS = 5
+
+
+@dataclass
+class Learner:
+    """Both views of labelled rows with labels y (1: good), and the pseudo-labelled rows that each view has been given."""
+
+    c: np.ndarray
+    m: np.ndarray
+    y: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.mean, self.std = self.c.mean(axis=0), self.c.std(axis=0) + 1e-6
+        self.fold = np.arange(len(self.y)) % FOLDS
+        self.given: dict[str, dict[str, tuple[np.ndarray, int]]] = {"c": {}, "m": {}}  # row: its features, pseudo-label
+
+    def shaped(self, view: str, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.std if view == "c" else x
+
+    def fit(self, view: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights, calibration (slope and offset) and held-out log odds of the labelled rows: each fold is scored by weights from the others."""
+        x = self.shaped(view, self.c if view == "c" else self.m)
+        extra = [self.given[view][k] for k in sorted(self.given[view])]
+        more = self.shaped(view, np.array([f for f, _ in extra]).reshape(len(extra), x.shape[1]))
+        labels = np.array([label for _, label in extra], float)
+        fitted = lambda rows: logistic(np.concatenate([x[rows], more]), np.concatenate([self.y[rows], labels]))
+        odds = np.zeros(len(self.y))
+        for k in range(FOLDS):
+            here = self.fold == k
+            if here.any():
+                odds[here] = score(x[here], fitted(~here))
+        return fitted(np.ones(len(self.y), bool)), logistic(odds[:, None], self.y), odds
+
+    def model(self) -> CoModel:
+        fits = {v: self.fit(v) for v in ("c", "m")}
+        scale = np.array([fits[v][1] for v in ("c", "m")])
+        views = np.column_stack([fits[v][2] * fits[v][1][0] + fits[v][1][1] for v in ("c", "m")])
+        return CoModel(fits["c"][0], fits["m"][0], scale, logistic(views, self.y), self.mean, self.std, (len(self.given["c"]), len(self.given["m"])))
+
+
+def co_train(learner: Learner, ask, *, rounds: int, give: int) -> CoModel:  # noqa: ANN001
+    """rounds times, each view gives the other up to `give` rows. ask(model, view, label, most) finds unlabelled rows that the view is sure of, as {row: (features of the other view, label)}."""
+    for _ in range(rounds):
+        model = learner.model()
+        for view, to in (("c", "m"), ("m", "c")):
+            share = float(learner.y.mean())
+            for label, part in ((1, share), (0, 1 - share)):
+                found = ask(model, view, label, int(give * part))
+                learner.given[to].update({k: v for k, v in found.items() if k not in learner.given[to]})
+    return learner.model()
+
+
+def no_labels() -> CoModel:
+    """Every document is as good as the next."""
+    c, m = 2 * 13, SOURCES + 16 + 3
+    return CoModel(np.zeros(c + 1), np.zeros(m + 1), np.array([[1.0, 0], [1.0, 0]]), np.array([0.0, 0, 3.0]), np.zeros(c), np.ones(c))
+
+
+_FEATURES = "doc_id long, lang string, source string, n_chars long, c array<double>"
+
+
+def _seen(docs: DataFrame, text: str) -> list[Column]:
     """The columns both views read; missing metadata is null."""
     kinds = (("lang", "string"), ("source", "string"), ("n_chars", "long"))
     extra = [F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in kinds]
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *extra]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(column(text).cast("string"), F.lit("")).alias("text"), *extra]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, pool: int = 10_000, text: str = "text") -> CoModel:
-    """Fits on at most `most` labelled documents (doc_id, quality 0 or 1) and `pool` others, both those of the smallest hash of doc_id."""
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, the columns of the metadata view and c, the statistics of the content view: about a twentieth of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in blocks(b):
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("quality"), pa.array(content_view(block).tolist(), pa.list_(pa.float64())), pa.array(metadata_view(block).tolist(), pa.list_(pa.float64()))], ["row_id", "quality", "c", "m"])
+                c = content_view(block)[:, :13]
+                yield pa.RecordBatch.from_arrays([*(block.column(x) for x in ("doc_id", "lang", "source", "n_chars")), _rows_of(c)], ["doc_id", "lang", "source", "n_chars", "c"])
 
-    rows = docs.select(*_seen(docs, text))
+    return docs.select(*_seen(docs, text)).mapInArrow(run, _FEATURES)
+
+
+def _rows_of(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _views_of(table: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    cells = table.column("c")
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    c = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(table), 13)
+    return np.column_stack([c, c**2]), metadata_view(table)
+
+
+def _by_hash(*names: str) -> list[Column]:
+    """The order in which bounded samples are taken: of a hash of doc_id, then of all that tells rows apart."""
+    return [F.xxhash64("doc_id"), F.col("doc_id"), *map(F.col, names), F.xxhash64("c", "lang", "source", "n_chars")]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, rounds: int = 4, give: int = 2_000, sure: float = 0.95, text: str = "text") -> CoModel:
+    """Co-trains on labels (doc_id, quality 0 or 1) and all documents without one.
+
+    Fits see at most `most` labelled documents and, each round, `give` pseudo-labelled ones for each view, so at most
+    most + rounds * give rows come to the driver. Both bounds take the smallest hashes of doc_id; pseudo-labels are
+    chosen among all unlabelled documents of which the giving view is sure (calibrated on held-out labels). The statistics of the
+    texts are computed once and stored. Null doc_ids get no label; no labels at all: every document is kept.
+    """
+    rows = stored(features(docs, text), "features")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-    by = (F.xxhash64("doc_id"), F.col("doc_id"))
-    few = known.orderBy(*by).limit(most)
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(*by).limit(pool)
-    picked = few.unionByName(rest.withColumn("quality", F.lit(None).cast("int")))
-    got = rows.join(F.broadcast(picked), "doc_id").mapInArrow(run, _VIEWS).toArrow()  # at most most + pool ids
-    flat = lambda name, width: got.column(name).combine_chunks().flatten().to_numpy().reshape(len(got), width)
-    c, m = flat("c", 26), flat("m", SOURCES + 19)
-    q = got.column("quality").fill_null(-1).to_numpy()
-    ids = got.column("row_id").to_numpy()
-    mixed = np.array([zlib.crc32(str(i).encode()) for i in ids.tolist()])
-    order = np.lexsort((c.sum(axis=1), ids, mixed))
-    c, m, q = c[order], m[order], q[order]
-    return co_train(c[q >= 0], m[q >= 0], q[q >= 0].astype(float), c[q < 0], m[q < 0])
+    known = stored(known, "labels")
+    few = rows.join(known, "doc_id").orderBy(*_by_hash()).limit(most).toArrow()
+    if not len(few):
+        return no_labels()
+    c, m = _views_of(few)
+    learner = Learner(c, m, few.column("quality").to_numpy().astype(float))
+    rest = stored(rows.join(known, "doc_id", "left_anti"), "unlabelled")
+
+    def ask(model: CoModel, view: str, label: int, n: int) -> dict[str, tuple[np.ndarray, int]]:
+        held = rest.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = sigmoid(held.value.views(*_views_of(b))[:, "cm".index(view)])
+                yield b.filter(pa.array((p if label else 1 - p) >= sure))
+
+        got = rest.mapInArrow(run, _FEATURES).orderBy(*_by_hash()).limit(n).toArrow()
+        x = _views_of(got)["cm".index(view) ^ 1] if len(got) else []
+        return {repr(r): (f, label) for r, f in zip(zip(*(got.column(k).to_pylist() for k in ("doc_id", "lang", "source", "n_chars")), strict=True), x, strict=True)}
+
+    return co_train(learner, ask, rounds=rounds, give=give)
 
 
 def score_quality(docs: DataFrame, model: CoModel, *, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -176,17 +237,5 @@ def score_quality(docs: DataFrame, model: CoModel, *, text: str = "text", least:
 def keep_good(docs: DataFrame, model: CoModel, *, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score_quality keeps. Scored in place: no join, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names)
-            seen = pa.RecordBatch.from_arrays(b.columns[len(names) :], names=["doc_id", "text", "lang", "source", "n_chars"])
-            at = 0
-            for block in blocks(seen):
-                keep = sigmoid(held.value.odds(content_view(block), metadata_view(block))) >= least
-                yield own.slice(at, len(block)).filter(pa.array(keep))
-                at += len(block)
-
-    both = docs.select("*", *[c.alias(f"_seen_{i}") for i, c in enumerate(_seen(docs, text))])
-    return both.mapInArrow(run, docs.schema)
+    keep = lambda block: sigmoid(held.value.odds(content_view(block), metadata_view(block))) >= least
+    return filtered(docs, _seen(docs, text), ["doc_id", "text", "lang", "source", "n_chars"], keep)

@@ -58,13 +58,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_labels(labels: DataFrame) -> DataFrame:
-    """Grades of the labels: 0 not toxic, 1 toxic, 2 toxic in a document of low quality."""
-    return labels.select("doc_id", F.expr("toxic + case when toxic = 1 and quality = 0 then 1 else 0 end").alias("grade"))
+    """The grades that the table has: 0 not toxic, 1 toxic. The operator takes as many as a table holds."""
+    return labels.select("doc_id", F.col("toxic").alias("grade"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir)
-    model = toxicity.train(docs, severity_labels(table(spark, sf_dir, "labels")), grades=[0, 1, 2])
+    model = toxicity.train(docs, severity_labels(table(spark, sf_dir, "labels")))
     return toxicity.score_toxicity(docs, model)
 
 

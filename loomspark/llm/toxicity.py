@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 10_000, text: str =
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *, text: str = "text", flag: float = 0.3) -> DataFrame:
-    """One row per row of docs: doc_id, severity (expected grade steps), p_toxic = P(grade > lowest), grade (most likely), toxic.
+    """One row per row of docs: doc_id, severity (expected grade steps), p_toxic = P(grade > lowest), grade (most likely; the lower of equals), toxic.
 
     toxic means p_toxic >= flag. Null and empty texts have no features and get the base rate; null
     doc_ids stay; repeated rows repeat; other columns are not read; an empty table gives an empty

@@ -26,13 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once and read again: its lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables stored() has written and remove() has not removed."""
+    return len(_made)
+
+
+def remove(spark: SparkSession, first: int, stop: int) -> None:
+    """Deletes the tables that stored() wrote from number first to stop; nothing may read them any more."""
+    for path in _made[first:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _made[first:stop]
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

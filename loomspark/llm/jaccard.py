@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm._split import bit_table, column, maybe, split_join
+from loomspark.llm._split import bit_table, column, free_name, maybe, part_rows, split_join
 from loomspark.llm._store import stored
 from loomspark.llm._text import FOLDED, Words, blocks, longs, mix, split
 from loomspark.llm.components import components
@@ -242,6 +242,26 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of which each group that links reach keeps one, that of the smallest doc_id.
+
+    Groups are those of shingle_components. Rows that share a doc_id, or have none, are told apart: they
+    are numbered in the order of doc_id (nulls last) and of the hashes of their texts and other columns. Null and empty texts
+    stay; so does one of several equal rows, if it has words. Only texts near a removed one's hash are shuffled.
+    """
+    key = free_name(docs, "row_number")
+    doc_id = column("doc_id").cast("long")
+    if docs.groupBy(doc_id.alias("d")).count().where("count > 1 or d is null").isEmpty():
+        rows = docs.withColumn(key, doc_id)
+    else:
+        order = docs.orderBy(doc_id.asc_nulls_last(), F.xxhash64(column(text)), F.xxhash64(*map(column, docs.columns)))
+        rows = stored(order.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = shingle_components(rows.select(column(key).alias("doc_id"), column(text).alias("text")), size=size, part=part, whole=whole)
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "copies")
+    some, others = part_rows(rows, F.xxhash64(key), gone.select(F.xxhash64(key).alias("h")))
+    return some.join(gone, key, "left_anti").unionByName(others).select(*map(column, docs.columns))
+
+
 def _sets(rows: DataFrame, member: DataFrame, size: int) -> DataFrame:
     """member with the shingle hashes of its texts; a bit table keeps the other texts out of the shuffle."""
     held = rows.sparkSession.sparkContext.broadcast(bit_table(member.select(F.xxhash64("row_key").alias("h")), "h"))  # 64 MB at most

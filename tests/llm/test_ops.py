@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomspark.llm import _split, decontamination, fingerprints, jaccard, lines, mixing, quality, secrets, substrings, tokens, toxicity
@@ -58,8 +59,10 @@ def test_tokens(docs, empty):
     assert all((r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), len(t.encode(texts[r.doc_id], add_special_tokens=False).ids)) and r.over_limit == (r.n_tokens > 1024) for r in got)
 
 
-@pytest.mark.parametrize("width", [50, 7])
-def test_substrings(docs, empty, width):
+@pytest.mark.parametrize("width,most", [(50, 1 << 28), (7, 1 << 28), (50, 0), (7, 0)])
+def test_substrings(docs, empty, monkeypatch, width, most):
+    monkeypatch.setattr(substrings, "MOST_CELLS", most)  # 0: the sketch is a table
+    monkeypatch.setattr(_split, "HEAVY", 3)
     rows = [r for r in docs.collect()]
     first = {}
     for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
@@ -192,6 +195,18 @@ def test_fingerprint_clash(spark, monkeypatch):
     assert fingerprints.suffixes(rows, found).count() in (1, 2)  # b differs from a and A, whichever heads the bucket
 
 
+def test_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    names = ["_no_text", "_row_key", "_seen", "row", "gone", "no_text", "lines", "n_removed_lines", "a.b", "k"]
+    d = spark.createDataFrame([(1, "x\ny\nz", *range(10)), (2, "x\ny\nz\nw", *range(10))], f"doc_id long, text string, {', '.join(f'`{n}` int' for n in names)}")
+    b = spark.createDataFrame([(1, "some thing else here at all")], "item_id long, text string")
+    assert [c for c in lines.dedup_lines(d).columns if c not in ("n_lines", "n_removed_lines")] == [c for c in d.columns if c != "n_removed_lines"]
+    for out in (lines.dedup_lines(d, every_pair=True, counts=False), corpus_pipeline.without_repeated_lines(spark, d, ""), corpus_pipeline.without_near_copies(spark, d, ""), decontamination.drop_contaminated(d, b)):
+        assert out.columns == d.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(10))}
+    assert mixing.mix(d.withColumns({"lang": F.lit("en"), "source": F.lit("s1")}), tree()).count() >= 0
+
+
 def test_lines(spark, docs, empty):
     passage = "\n".join(f"shared line {i}" for i in range(40))
     d = spark.createDataFrame([(1, f"x\n{passage}\ny"), (2, f"p\nq\n{passage}"), (3, None), (4, ""), (5, "alone"), (None, passage)], "doc_id long, text string")

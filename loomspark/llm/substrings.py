@@ -210,8 +210,8 @@ def repeats(docs: DataFrame, *, width: int = 50, gram: int = 25) -> DataFrame:
     # 1: a whole segment that a smaller document has too
     whole = split_join(light, first.where("d0 < d1").select("anchor", "seg", "d0", "c"), ["anchor", "seg"], "c").where("doc_id > d0").select("doc_id", "row_key", "at", "n")
     # 2: windows of the smallest document of each segment, where an anchor has several segments
-    several = first.groupBy("anchor").agg(F.count("*").alias("k"), F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("k > 1 and lo < hi").select("anchor")
-    heads = first.join(several, "anchor", "left_semi").select("anchor", "seg", F.col("d0").alias("doc_id"))
+    several = first.groupBy("anchor").agg(F.count("*").alias("k"), F.min("d0").alias("lo"), F.max("d0").alias("hi")).where("k > 1 and lo < hi").select("anchor", "k")
+    heads = split_join(first, stored(several, "several"), ["anchor"], "k").select("anchor", "seg", F.col("d0").alias("doc_id"))
     open_ = stored(opened(seg.join(heads, ["anchor", "seg", "doc_id"], "left_semi")), "windows")
     least = open_.groupBy("anchor", "window").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.count("*").alias("c")).where("d0 < d1").select("anchor", "window", "d0", "c")
     single = split_join(open_, stored(least, "least"), ["anchor", "window"], "c").where("doc_id > d0").select("doc_id", "row_key", "at", F.lit(1).alias("n"))

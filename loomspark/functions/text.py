@@ -33,18 +33,30 @@ def severity_weight(x: Column) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown severity: "), F.coalesce(x, F.lit("null")))).cast("int"))
 
 
+# The replacements that make an id, in order.
+_SPACES = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+KEBAB = [("([a-z0-9])([A-Z])", "$1-$2"), ("([A-Z]+)([A-Z][a-z0-9])", "$1-$2"), (f"[_{_SPACES}.]+", "-")]
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space of any script at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(x, F.lit("")), f"^[{_SPACES}]+|[{_SPACES}]+$", "")
+
+
 def kebab(x: Column) -> Column:
-    """Words split at case changes and other characters, lower-cased and joined by hyphens; 'candidate' if none is left."""
-    y = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1-$2")
-    y = F.regexp_replace(y, "([a-z0-9])([A-Z])", "$1-$2")
-    y = F.regexp_replace(y, "[^A-Za-z0-9]+", "-")
-    y = F.lower(F.regexp_replace(y, "^-+|-+$", ""))
-    return F.when(F.coalesce(y, F.lit("")) == "", "candidate").otherwise(y)
+    """Words split at case changes, underscores, white space and dots, lower-cased and joined by hyphens; 'candidate' for an empty name."""
+    y = x
+    for pattern, to in KEBAB:
+        y = F.regexp_replace(y, pattern, to)
+    y = F.regexp_replace(F.lower(y), "^-+|-+$", "")
+    return F.when(F.coalesce(x, F.lit("")) == "", "candidate").otherwise(y)
 
 
 def slug_rule(x: Column) -> Column:
+    """A model's rule id: lower-cased, other characters as hyphens, under ai/ once."""
     y = F.regexp_replace(F.lower(x), "[^a-z0-9/-]", "-")
-    return F.when(y.startswith("ai/"), y).otherwise(F.concat(F.lit("ai/"), y))
+    rest = F.regexp_replace(F.regexp_replace(y, "^ai-?", ""), "^-+", "")
+    return F.when(y.startswith("ai/"), y).otherwise(F.concat(F.lit("ai/"), F.when(rest == "", "issue").otherwise(rest)))
 
 
 def prop_name(x: Column) -> Column:
@@ -69,12 +81,16 @@ def hunks(diff: Column) -> Column:
     return F.transform(F.filter(pairs, lambda h: h["n"] > 0), lambda h: F.struct(h["start"].alias("start"), (h["start"] + h["n"] - 1).alias("end")))
 
 
+# What is masked, in order, and the mask.
+SECRETS = ["sk-[a-zA-Z0-9_-]{20,}", "gsk_[a-zA-Z0-9_-]{20,}", r"(?i)bearer\s+[a-zA-Z0-9_\-.]+", r"(?i)key=[a-zA-Z0-9_\-.]+"]
+MASK = "[REDACTED_API_KEY]"
+
+
 def redact(x: Column) -> Column:
-    """Keys, bearer tokens and assigned secrets masked."""
-    y = F.regexp_replace(x, r"sk-[A-Za-z0-9_-]{20,}", "[REDACTED]")
-    y = F.regexp_replace(y, r"gsk_[A-Za-z0-9_-]{20,}", "[REDACTED]")
-    y = F.regexp_replace(y, r"(?i)bearer\s+[A-Za-z0-9._-]+", "Bearer [REDACTED]")
-    return F.regexp_replace(y, r"(?i)(api_?key|token|secret|password)(\s*[=:]\s*)[^\s,;]+", "$1$2[REDACTED]")
+    """Keys, bearer tokens and assigned keys masked."""
+    for pattern in SECRETS:
+        x = F.regexp_replace(x, pattern, MASK)
+    return x
 
 
 def no_angles(x: Column) -> Column:
@@ -97,13 +113,21 @@ def is_constant(x: Column) -> Column:
     return x.rlike("^[A-Z_0-9]{3,}$")
 
 
-def error_kind(status: Column, message: Column) -> Column:
-    """Provider errors in the order they are told apart."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(status.isin(401, 403) | m.rlike("api key|unauthorized"), "authentication").when((status == 429) | m.rlike("rate limit"), "rate-limit").when((status == 408) | m.rlike("timed? ?out"), "timeout")
-        .when(m.rlike("econn|enotfound|network"), "network").when(m.rlike("json|parse|schema"), "invalid-response").otherwise("provider-error")
-    )
+# How provider errors are told apart, in order: kind, status codes, error names, words of the message.
+ERRORS = [
+    ("authentication", [401, 403], ["AuthenticationError", "PermissionDeniedError"], "incorrect api key|invalid api key|unauthorized|authentication"),
+    ("rate-limit", [429], ["RateLimitError"], "rate limit|quota exceeded|too many requests"),
+    ("timeout", [], ["APIConnectionTimeoutError", "TimeoutError"], "timed? ?out"),
+    ("network", [], ["APIConnectionError"], "fetch failed|network|econnrefused|econnreset|enotfound|socket hang up"),
+    ("invalid-response", [], ["ZodError", "LengthFinishReasonError", "ContentFilterFinishReasonError"], "did not match schema|invalid response|failed to parse"),
+]
+
+
+def error_kind(status: Column, name: Column, message: Column) -> Column:
+    """The kind of a provider's error; the first of ERRORS that its status, name or message shows."""
+    said = F.coalesce(message, F.lit(""))
+    kinds = [F.when(F.coalesce(status.isin(codes) if codes else F.lit(False), F.lit(False)) | F.coalesce(name.isin(names), F.lit(False)) | said.rlike(f"(?i){words}"), kind) for kind, codes, names, words in ERRORS]
+    return F.coalesce(*kinds, F.lit("provider-error"))
 
 
 def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

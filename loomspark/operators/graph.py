@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +30,31 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     first = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
     if starts is not None:
         first = first.join(starts.select("start"), "start", "left_semi")
-    front = seen = written(first, "front")
-    while not front.isEmpty():
+    rounds = [written(first.distinct(), "front")]
+    while not rounds[-1].isEmpty():
+        front = rounds[-1]
         step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = written(step.join(seen, ["start", "node"], "left_anti"), "front")
-        seen = written(seen.unionByName(front), "seen")
-    return seen
+        for seen in rounds:  # each round is written once and read as it is
+            step = step.join(seen, ["start", "node"], "left_anti")
+        rounds.append(written(step, "front"))
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that remain once nodes without predecessors or without successors are taken away, again and again: those on cycles and between them."""
+    e = written(edges.select("src", "dst").distinct(), "edges")
+    n = e.count()
+    while n:
+        e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+        if (left := e.count()) == n:
+            break
+        n = left
+    return e
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    return closure(edges).where("start = node").select(F.col("start").alias("node"))
+    """Nodes on a cycle: only what trimming leaves is searched."""
+    return closure(trimmed(edges)).where("start = node").select(F.col("start").alias("node"))
 
 
 def exclusive(edges: DataFrame, moved: DataFrame) -> DataFrame:

@@ -25,20 +25,35 @@ def evicted(df: DataFrame, keep: int, key: str, written: str) -> DataFrame:
     return df.join(newest, key, "left_anti")
 
 
+#: Rows of a group that a fold appends to one by one; larger groups are folded in such blocks.
+FOLD = 256
+
+
 def budget_gate(df: DataFrame, group: str, order: str, *, max_requests: int, max_cost: float, max_tokens: int, tokens: str, cost: str) -> DataFrame:
-    """Each row with decision: accepted, token-limit (not sticky), max-requests-reached or max-cost-exceeded (sticky).
+    """Each row with decision: accepted, or in the order they are checked max-requests-reached (sticky), chunk-exceeds-max-tokens (not sticky), max-cost-exceeded (sticky).
 
-    A sequential fold over each group's ordered array; rejected rows accrue nothing.
+    A sequential fold over each group's ordered array, block by block; rejected rows accrue nothing, and a row
+    without a known cost is never stopped by cost.
     """
-    state = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("c"), F.lit(None).cast("string").alias("stop"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
+    state = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("c"), F.lit(None).cast("string").alias("stop"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        over = F.coalesce(acc["stop"], F.when(acc["n"] >= max_requests, "max-requests-reached").when(acc["c"] + x["cost"] > max_cost, "max-cost-exceeded"))
-        big = acc["stop"].isNull() & (x["tokens"] > max_tokens)
-        said = F.when(big, "token-limit").otherwise(F.coalesce(over, F.lit("accepted")))
+        over = F.coalesce(acc["stop"], F.when(acc["n"] >= max_requests, "max-requests-reached"))
+        big = F.when(x["tokens"] > max_tokens, "chunk-exceeds-max-tokens")
+        dear = F.when(acc["c"] + x["cost"] > max_cost, "max-cost-exceeded")
+        said = F.coalesce(over, big, dear, F.lit("accepted"))
         ok = said == "accepted"
-        return F.struct((acc["n"] + ok.cast("int")).alias("n"), (acc["c"] + F.when(ok, x["cost"]).otherwise(0.0)).alias("c"), F.when(big, acc["stop"]).otherwise(over).alias("stop"), F.concat(acc["out"], F.array(said)).alias("out"))
-
-    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("tokens"), F.col(cost).alias("cost")))).alias("xs"))
-    told = rows.select(group, F.explode(F.arrays_zip("xs", F.aggregate("xs", state, step, lambda a: a["out"]).alias("said"))).alias("z"))
+        stop = F.coalesce(over, F.when(big.isNull(), dear))
+        return F.struct((acc["n"] + ok.cast("int")).alias("n"), (acc["c"] + F.when(ok, F.coalesce(x["cost"], F.lit(0.0))).otherwise(0.0)).alias("c"), stop.alias("stop"), F.concat(acc["out"], F.array(said)).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        begin = F.struct(acc["n"].alias("n"), acc["c"].alias("c"), acc["stop"].alias("stop"), none.alias("out"))
+        done = F.aggregate(F.slice(F.col("xs"), k * FOLD + 1, F.lit(FOLD)), begin, step)
+        joined = F.transform(F.array(done), lambda d: F.struct(d["n"].alias("n"), d["c"].alias("c"), d["stop"].alias("stop"), F.concat(acc["out"], d["out"]).alias("out")))
+        return F.get(joined, F.lit(0))
+
+    rows = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).alias("tokens"), F.col(cost).cast("double").alias("cost")))).alias("xs"))
+    blocks = F.sequence(F.lit(0), F.ceil(F.size("xs") / FOLD).cast("int") - 1)
+    told = rows.select(group, F.explode(F.arrays_zip("xs", F.aggregate(blocks, state, block, lambda a: a["out"]).alias("said"))).alias("z"))
     return told.select(group, F.col("z.xs.o").alias(order), F.col("z.said").alias("decision"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG, SHOUT = 200, 20
@@ -14,10 +14,10 @@ def lines(texts: DataFrame) -> DataFrame:
 
 
 def findings(texts: DataFrame) -> DataFrame:
-    """One pass over the lines: each line carries the array of its findings, so rules share the scan."""
-    base = lines(texts).withColumn("n", F.length("line"))
-    repeat = F.lag("line").over(Window.partitionBy("rel_path").orderBy("line_start"))
-    base = base.withColumn("again", F.coalesce((repeat == F.col("line")) & (F.col("n") > 0), F.lit(False)))
+    """One pass over the lines, without a shuffle: each line carries the array of its findings, so rules share the scan, and meets the line before inside its text's array."""
+    split = F.split(F.coalesce("source_text", F.lit("")), "\n", -1)
+    beside = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_start"), x.alias("line"), F.coalesce((i > 0) & (F.get("lines", i - 1) == x) & (x != ""), F.lit(False)).alias("again")))
+    base = texts.select("rel_path", split.alias("lines")).select("rel_path", F.explode(beside).alias("x")).select("rel_path", "x.*", F.length("x.line").alias("n"))
     made = lambda ord_, source, rule, severity, category, message: F.struct(F.lit(ord_).alias("emit_ord"), F.lit(source).alias("source"), F.lit(rule).alias("rule_id"), severity.alias("severity"), F.lit(category).alias("category"), message.alias("message"))
     long_ = F.when(F.col("n") > LONG, made(2, "complexity", "text/long-line", F.when(F.col("n") >= 2 * LONG, "high").otherwise("medium"), "maintainability", F.concat(F.lit("Line has "), F.col("n").cast("string"), F.lit(" characters"))))
     again = F.when(F.col("again"), made(1, "eslint", "text/repeated-line", F.lit("low"), "maintainability", F.lit("Line repeats the one before")))

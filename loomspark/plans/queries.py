@@ -52,7 +52,7 @@ WEIGHT = "case severity when 'low' then 1 when 'medium' then 2 when 'high' then
 
 @query(f"with {LINES} select s.severity, count(found.severity)::bigint as n from (values ('low'), ('medium'), ('high'), ('critical')) s(severity) left join found using (severity) group by 1")
 def severity_counts(spark, d):
-    return O.dense_counts(_found(spark, d), "severity", list(T.SEVERITIES))
+    return O.dense_counts(_found(spark, d), "severity", list(T.SEVERITIES), strict=True)
 
 
 @query(f"with {LINES} select s.source, count(found.source)::bigint as n from (values ('eslint'), ('complexity'), ('react'), ('ai')) s(source) left join found using (source) group by 1")
@@ -70,13 +70,14 @@ def threshold_exists(spark, d):
     return O.any_at_least(_found(spark, d), "critical")
 
 
-@query(f"""with {LINES}, every as (select *, 0 as pass from found union all select source, rule_id, severity, category, '  ' || replace(message, ' ', '   '), rel_path, line_start, emit_ord, 1 from found),
+@query(f"""with {LINES}, every as (select *, 0 as pass from found union all select *, 0 from found union all select source, rule_id, severity, category, '  ' || replace(message, ' ', '   '), rel_path, line_start, emit_ord, 1 from found),
 r as (select *, row_number() over (partition by source, rule_id, rel_path, line_start, trim(regexp_replace(message, '\\s+', ' ', 'g')) order by pass, emit_ord) as k from every)
 select rel_path, line_start, rule_id, pass, sha256(concat_ws(':', source, rule_id, rel_path, line_start, 1, trim(regexp_replace(message, '\\s+', ' ', 'g')))) as fingerprint from r where k = 1""")
 def finding_dedupe(spark, d):
+    """Every finding twice, and once more with other white space: one of each is left."""
     f = _found(spark, d)
     again = f.withColumn("message", F.concat(F.lit("  "), F.replace(F.col("message"), F.lit(" "), F.lit("   "))))
-    every = f.withColumn("pass", F.lit(0)).unionByName(again.withColumn("pass", F.lit(1)))
+    every = f.unionByName(f).withColumn("pass", F.lit(0)).unionByName(again.withColumn("pass", F.lit(1)))
     return O.first_of_each(every, "pass", "emit_ord").select("rel_path", "line_start", "rule_id", "pass", T.sha(F.col("fingerprint")).alias("fingerprint"))
 
 
@@ -161,17 +162,17 @@ def model_cost(spark, d):
     return out.select("conv_id", "turn", "role", "tokens", T.cost(F.col("tokens"), F.lit(0), F.col("p_in"), F.col("p_out")).alias("usd"))
 
 
-@query("""with recursive m as (select conv_id, turn, ceil(length(text) / 3)::bigint as tokens, ceil(length(text) / 3)::double as cost, row_number() over (partition by conv_id order by turn) as k from conversations),
+@query("""with recursive m as (select conv_id, turn, ceil(length(text) / 3)::bigint as tokens, case when role <> 'system' then ceil(length(text) / 3)::double end as cost, row_number() over (partition by conv_id order by turn) as k from conversations),
 s(conv_id, turn, k, n, c, stop, decision) as (
-  select conv_id, turn, k, (tokens <= 300 and cost <= 900)::int, case when tokens <= 300 and cost <= 900 then cost else 0 end, case when tokens > 300 then null when cost > 900 then 'max-cost-exceeded' end,
-    case when tokens > 300 then 'token-limit' when cost > 900 then 'max-cost-exceeded' else 'accepted' end from m where k = 1
+  select conv_id, turn, 0::bigint, 0, 0::double, null::varchar, null::varchar from m where k = 1
   union all
-  select m.conv_id, m.turn, m.k, s.n + (x.said = 'accepted')::int, s.c + case when x.said = 'accepted' then m.cost else 0 end, case when x.said in ('max-requests-reached', 'max-cost-exceeded') then x.said else s.stop end, x.said
-  from s join m on m.conv_id = s.conv_id and m.k = s.k + 1, lateral (select case when s.stop is not null then s.stop when m.tokens > 300 then 'token-limit' when s.n >= 3 then 'max-requests-reached' when s.c + m.cost > 900 then 'max-cost-exceeded' else 'accepted' end as said) x)
-select conv_id, turn, decision from s""")
+  select m.conv_id, m.turn, m.k, s.n + (x.said = 'accepted')::int, s.c + case when x.said = 'accepted' then coalesce(m.cost, 0) else 0 end, case when x.said in ('max-requests-reached', 'max-cost-exceeded') then x.said else s.stop end, x.said
+  from s join m on m.conv_id = s.conv_id and m.k = s.k + 1, lateral (select case when s.stop is not null then s.stop when s.n >= 3 then 'max-requests-reached' when m.tokens > 300 then 'chunk-exceeds-max-tokens' when s.c + m.cost > 500 then 'max-cost-exceeded' else 'accepted' end as said) x)
+select conv_id, turn, decision from s where k > 0""")
 def budget_gate(spark, d):
-    rows = _t(spark, d, "conversations").withColumn("tokens", T.token_estimate(F.col("text"))).withColumn("cost", F.col("tokens").cast("double"))
-    return R.budget_gate(rows, "conv_id", "turn", max_requests=3, max_cost=900.0, max_tokens=300, tokens="tokens", cost="cost")
+    tokens = T.token_estimate(F.col("text"))
+    rows = _t(spark, d, "conversations").withColumn("tokens", tokens).withColumn("cost", F.when(F.col("role") != "system", F.col("tokens").cast("double")))
+    return R.budget_gate(rows, "conv_id", "turn", max_requests=3, max_cost=500.0, max_tokens=300, tokens="tokens", cost="cost")
 
 
 SPANS = 's as (select l_orderkey, l_linenumber as start, l_linenumber + floor(l_quantity / 25)::int as "end" from lineitem)'
@@ -208,11 +209,11 @@ def cache_eviction(spark, d):
     return R.evicted(_t(spark, d, "orders").select("o_orderkey", "o_orderdate"), 500, "o_orderkey", "o_orderdate").select("o_orderkey")
 
 
-EDGES = "e as (select distinct l_partkey % 50 as src, l_suppkey % 50 as dst from lineitem)"
+EDGES = "e as (select distinct l_partkey as src, l_suppkey as dst from lineitem)"
 
 
 def _edges(spark, d):
-    return _t(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst")).distinct()
+    return _t(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
 @query(f"with {EDGES} select dst as node, array_to_string(list_sort(list(distinct src)), ',') as dependents from (select distinct src, dst from e) group by 1")
@@ -225,40 +226,43 @@ def mutual_edges(spark, d):
     return G.mutual(_edges(spark, d))
 
 
-SPARSE = "e as (select distinct o_custkey % 97 as src, (o_custkey % 97 + length(o_orderpriority)) % 97 as dst from orders)"
+OWNERS = """e as (select o_orderkey * 4 as src, o_custkey * 4 + 1 as dst from orders union select c_custkey * 4 + 1, c_nationkey * 4 + 2 from customer union select n_nationkey * 4 + 2, n_regionkey * 4 + 3 from nation)"""
 
 
-def _sparse(spark, d):
-    src = F.col("o_custkey") % 97
-    return _t(spark, d, "orders").select(src.alias("src"), ((src + F.length("o_orderpriority")) % 97).alias("dst")).distinct()
+def _owners(spark, d):
+    """Orders depend on customers, these on nations, these on regions; ids of one kind are congruent modulo 4."""
+    o, c, n = (_t(spark, d, t) for t in ("orders", "customer", "nation"))
+    edge = lambda df, a, i, b, k: df.select((F.col(a).cast("long") * 4 + i).alias("src"), (F.col(b).cast("long") * 4 + k).alias("dst"))
+    return edge(o, "o_orderkey", 0, "o_custkey", 1).unionByName(edge(c, "c_custkey", 1, "c_nationkey", 2)).unionByName(edge(n, "n_nationkey", 2, "n_regionkey", 3))
 
 
-CLOSURE = f"with recursive {SPARSE}, c(start, node) as (select src, dst from e union select c.start, e.dst from c join e on c.node = e.src)"
-
-
-@query(f"{CLOSURE} select start, node from c")
+@query(f"with recursive {OWNERS}, c(start, node) as (select src, dst from e union select c.start, e.dst from c join e on c.node = e.src) select start, node from c")
 def module_closure(spark, d):
-    return G.closure(_sparse(spark, d))
-
+    return G.closure(_owners(spark, d))
 
-TREE = "e as (select distinct c_nationkey as src, (c_nationkey * 3 + length(c_mktsegment)) % 25 as dst from customer where c_acctbal < 0)"
 
-
-@query(f"with recursive {TREE}, c(start, node) as (select src, dst from e union select c.start, e.dst from c join e on c.node = e.src) select start::bigint as node from c where start = node")
+@query(f"with recursive {EDGES}, c(start, node) as (select src, dst from e union select c.start, e.dst from c join e on c.node = e.src) select start as node from c where start = node")
 def cycle_nodes(spark, d):
-    e = _t(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_nationkey").cast("long").alias("src"), ((F.col("c_nationkey") * 3 + F.length("c_mktsegment")) % 25).cast("long").alias("dst"))
-    return G.on_cycles(e)
+    return G.on_cycles(_edges(spark, d))
 
 
-@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{20,}', '[REDACTED]', 'g'), 'gsk_[A-Za-z0-9_-]{20,}', '[REDACTED]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'), '(?i)(api_?key|token|secret|password)(\s*[=:]\s*)[^\s,;]+', '\1\2[REDACTED]', 'g')) as redacted from documents""")
+@query(r"""with t as (select doc_id, coalesce(text, '') || case doc_id % 5 when 0 then ' key=abc.12-' || doc_id when 1 then ' Authorization: BEARER  a.b-c_' || doc_id when 2 then ' sk-' || repeat('aB3_-', 4) when 3 then ' gsk_' || repeat('x9', 10) else ' sk-short api_key: none' end as text from documents)
+select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[a-zA-Z0-9_-]{20,}', '[REDACTED_API_KEY]', 'g'), 'gsk_[a-zA-Z0-9_-]{20,}', '[REDACTED_API_KEY]', 'g'), '(?i)bearer\s+[a-zA-Z0-9_\-.]+', '[REDACTED_API_KEY]', 'g'), '(?i)key=[a-zA-Z0-9_\-.]+', '[REDACTED_API_KEY]', 'g')) as redacted from t""")
 def redact_secrets(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.sha(T.redact(F.col("text"))).alias("redacted"))
+    i, k = F.col("doc_id"), F.col("doc_id") % 5
+    more = F.when(k == 0, F.concat(F.lit(" key=abc.12-"), i.cast("string"))).when(k == 1, F.concat(F.lit(" Authorization: BEARER  a.b-c_"), i.cast("string"))).when(k == 2, " sk-" + "aB3_-" * 4).when(k == 3, " gsk_" + "x9" * 10).otherwise(" sk-short api_key: none")
+    return _t(spark, d, "documents").select("doc_id", T.sha(T.redact(F.concat(F.coalesce("text", F.lit("")), more))).alias("redacted"))
+
+
+NAMES = ["UserCard", "useHTTPServer2Client", "PRODUCT_STATUS", "$store", "ABC1", "XMLHttpRequest", "a.b c", "_private_", "$$", "", "__"]
 
 
-@query(r"""with a as (select p_partkey, p_type || 'X' || p_name as x from part), b as (select p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '([A-Z]+)([A-Z][a-z])', '\1-\2', 'g'), '([a-z0-9])([A-Z])', '\1-\2', 'g'), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as y from a)
-select p_partkey, case when y = '' then 'candidate' else y end as kebab from b""")
+@query(rf"""with a as (select p_partkey, case when p_partkey % 12 < 11 then {NAMES}[p_partkey % 12 + 1] else p_type || 'X' || p_name end as x from part)
+select p_partkey, case when x = '' then 'candidate' else regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(x, '([a-z0-9])([A-Z])', '\1-\2', 'g'), '([A-Z]+)([A-Z][a-z0-9])', '\1-\2', 'g'), '[_\s.]+', '-', 'g')), '^-+|-+$', '', 'g') end as kebab from a""")
 def kebab_id(spark, d):
-    return _t(spark, d, "part").select("p_partkey", T.kebab(F.concat("p_type", F.lit("X"), "p_name")).alias("kebab"))
+    at = (F.col("p_partkey") % 12).cast("int")
+    name = F.when(at < 11, F.get(F.array(*map(F.lit, NAMES)), at)).otherwise(F.concat("p_type", F.lit("X"), "p_name"))
+    return _t(spark, d, "part").select("p_partkey", T.kebab(name).alias("kebab"))
 
 
 @query(r"select page_id, regexp_replace(regexp_replace('./' || url, '\\', '/', 'g'), '^(\./|/)+', '') as path from pages")
@@ -280,17 +284,30 @@ def line_and_token_counts(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.line_count(F.col("text")).alias("n_lines"), T.token_estimate(F.col("text")).alias("tokens"))
 
 
-RAW = """raw as (select event_id as row_id, event_type as rule, case event_type when 'error' then 'critical' when 'click' then 'low' else 'medium' end as severity, event_type as category, null as title, 'Value is ' || (props->>'$.k') as message, (props->>'$.k')::double / 80 as confidence from events),
-s as (select row_id, 'ai/' || regexp_replace(lower(rule), '[^a-z0-9/-]', '-', 'g') as rule_id, case when severity in ('low', 'medium', 'high') then severity else 'medium' end as severity, 'correctness' as category, message[:60] as title, message, least(greatest(coalesce(confidence, 0.85), 0), 1) as confidence from raw)"""
+RAW = r"""raw as (select event_id as row_id, event_id % 7 as m, event_type, (props->>'$.k')::int as k from events),
+r as (select row_id, m, k, case m when 0 then 'ai-null-deref' when 1 then 'AI/Race Condition' when 2 then '' when 3 then null when 4 then '--x' else event_type end as rule_id, case when m = 3 and k % 2 = 0 then 'Old:Rule' end as rule, case m when 3 then 'kind' end as type,
+  case event_type when 'error' then 'critical' when 'click' then 'low' else 'high' end as severity, case when m < 4 then 'security' else event_type end as category, case m when 0 then '  Title  ' when 1 then ' ' end as title,
+  case m when 2 then '   ' when 5 then null else '  Value is ' || k || repeat(' and on', 12) || ' ' end as message, case when k % 2 = 1 then ' said otherwise ' end as description,
+  case when m = 4 then 0 when m = 5 then k end as line, case when m < 3 then k end as line_start, case when m = 0 then k + 2 end as line_end, case when m = 1 then ' fix it ' when m = 2 then '' end as suggestion, case when m = 6 then null else k::double / 80 end as confidence from raw),
+t as (select *, lower(coalesce(rule_id, rule, type, 'ai/code-issue')) as low from r), u as (select *, regexp_replace(low, '[^a-z0-9/-]', '-', 'g') as slug from t),
+s as (select row_id, case when slug like 'ai/%' then slug else 'ai/' || coalesce(nullif(regexp_replace(regexp_replace(slug, '^ai-?', ''), '^-+', ''), ''), 'issue') end as rule_id, case when severity in ('low', 'medium', 'high') then severity else 'medium' end as severity,
+  case when category = 'security' then category else 'correctness' end as category, coalesce(nullif(trim(title), ''), nullif(trim(message), '')[:60], 'Code Issue') as title, coalesce(nullif(trim(message), ''), nullif(trim(description), ''), 'Potential issue identified in code.') as message,
+  coalesce(line_start, nullif(line, 0), 1) as line_start, coalesce(line_end, line_start, nullif(line, 0), 1) as line_end, coalesce(nullif(trim(suggestion), ''), 'Review and update the code.') as suggestion, least(greatest(coalesce(confidence, 0.85), 0), 1) as confidence from u)"""
 
 
 def _raw(spark, d):
-    k = F.from_json("props", "k double")["k"]
-    kind = F.col("event_type")
-    return _t(spark, d, "events").select(F.col("event_id").alias("row_id"), kind.alias("rule"), F.when(kind == "error", "critical").when(kind == "click", "low").otherwise("medium").alias("severity"), kind.alias("category"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("Value is "), F.get_json_object("props", "$.k")).alias("message"), (k / 80).alias("confidence"))
-
-
-@query(f"with {RAW} select row_id, rule_id, severity, category, title, message, round(confidence, 6) as confidence from s")
+    e = _t(spark, d, "events").select(F.col("event_id").alias("row_id"), (F.col("event_id") % 7).alias("m"), F.col("event_type").alias("e"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    m, k, kind = F.col("m"), F.col("k"), F.col("e")
+    message = F.when(m == 2, "   ").when(m == 5, None).otherwise(F.concat(F.lit("  Value is "), k.cast("string"), F.lit(" and on" * 12 + " ")))
+    return e.select(
+        "row_id", F.when(m == 0, "ai-null-deref").when(m == 1, "AI/Race Condition").when(m == 2, "").when(m == 3, None).when(m == 4, "--x").otherwise(kind).alias("rule_id"), F.when((m == 3) & (k % 2 == 0), "Old:Rule").alias("rule"), F.when(m == 3, "kind").alias("type"),
+        F.when(kind == "error", "critical").when(kind == "click", "low").otherwise("high").alias("severity"), F.when(m < 4, "security").otherwise(kind).alias("category"), F.when(m == 0, "  Title  ").when(m == 1, " ").alias("title"), message.alias("message"),
+        F.when(k % 2 == 1, " said otherwise ").alias("description"), F.when(m == 4, 0).when(m == 5, k).alias("line"), F.when(m < 3, k).alias("line_start"), F.when(m == 0, k + 2).alias("line_end"), F.when(m == 1, " fix it ").when(m == 2, "").alias("suggestion"),
+        F.when(m == 6, None).otherwise(k / 80).alias("confidence"),
+    )
+
+
+@query(f"with {RAW} select * replace (round(confidence, 6) as confidence) from s")
 def ai_sanitise(spark, d):
     return O.sanitised(_raw(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
@@ -300,29 +317,52 @@ def confidence_filter(spark, d):
     return O.confident(O.sanitised(_raw(spark, d))).select("row_id", "rule_id")
 
 
-IGNORE = ["/en/", "!/en/6*", "fr/", "*.org/de/**", "!*/keep"]
+@query(f"with {RAW} select row_id, 'ai' as source, rule_id, severity, category, trim(title) as title, message, 'f' || row_id % 9 as rel_path, line_start, 1 as column_start, line_end, 1 as column_end, suggestion, false as fixable, round(confidence, 6) as confidence from s where confidence >= 0.65 and line_start >= 1 + row_id % 30 and line_end <= 60 + row_id % 30 and line_end >= line_start")
+def ai_normalise(spark, d):
+    i = F.col("row_id")
+    placed = O.sanitised(_raw(spark, d)).withColumns({"rel_path": F.concat(F.lit("f"), (i % 9).cast("string")), "chunk_line_start": 1 + i % 30, "chunk_line_end": 60 + i % 30})
+    return O.normalised(placed).withColumn("confidence", F.round("confidence", 6))
+
 
+IGNORE = ["/en/*", "!/en/6*", "FR/", "!fr/7*", "de/**", "!de/8*", "*.html", "es/?[0-4]*"]
 
-@query(r"""with p as (select page_id, regexp_replace(url, '^https?://[^/]*/', '') as path, url from pages)
-select page_id, case when regexp_matches(path, '^(?:.*/)?fr/.*$') then true when regexp_matches(path, '^en/6[^/]*(?:/.*)?$') then false when regexp_matches(path, '^en/.*$') then true else false end as ignored from p""")
+
+@query(r"""with p as (select page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[?#].*$', '') as path from pages)
+select page_id, case when regexp_matches(path, '(^|/)fr/') then true when regexp_matches(path, '(?i)\.html/?$') or regexp_matches(path, '\.html/') then true when regexp_matches(path, '^de/8[^/]*/?$') then false when regexp_matches(path, '^de/.') then true
+  when regexp_matches(path, '^en/6[^/]*(/.*)?$') then false when regexp_matches(path, '^en/[^/]') then true when regexp_matches(path, '^es/[^/][0-4][^/]*(/.*)?$') then true else false end as ignored from p""")
 def gitignore_match(spark, d):
-    pages = _t(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]*/", "").alias("path"))
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/", ""), "[?#].*$", "")
+    pages = _t(spark, d, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "./").otherwise("/"), path).alias("path"))
     return pages.select("page_id", ignore.is_ignored(F.col("path"), IGNORE).alias("ignored"))
 
 
-@query("""with b as (select doc_id, quality, toxic, 'rule' as rule from labels)
-select doc_id, coalesce(quality in (0, 1) and toxic >= 0 and doc_id + 1 > 0 and (quality::double - 0.0) between 0 and 1, false) as is_valid from b""")
+@query("""with b as (select doc_id, quality, toxic, doc_id % 11 as m from labels)
+select doc_id, coalesce(m <> 0 and m <> 1 and m <> 2 and m <> 3 and m <> 4 and m <> 5 and m <> 6, false) as is_valid from b""")
 def finding_validation(spark, d):
-    raw = _t(spark, d, "labels").select("doc_id", F.lit("ai").alias("source"), F.lit("rule").alias("rule_id"), F.lit("low").alias("severity"), F.lit("t").alias("title"), F.lit("m").alias("message"), F.lit("p").alias("rel_path"), (F.col("doc_id") + 1).alias("line_start"), F.lit(1).alias("column_start"), (F.col("doc_id") + 1 + F.col("toxic")).alias("line_end"), F.lit(1).alias("column_end"), F.col("quality").cast("double").alias("confidence"))
+    """Rows of which each of seven kinds breaks one rule: category, severity, title, order of lines, order of columns, confidence, a null."""
+    m = F.col("doc_id") % 11
+    line = (F.col("doc_id") + 1 + F.col("quality")).cast("int")
+    raw = _t(spark, d, "labels").select(
+        "doc_id", F.lit("ai").alias("source"), F.lit("rule").alias("rule_id"), F.when(m == 1, "info").otherwise("low").alias("severity"), F.when(m == 0, "style").otherwise("security").alias("category"), F.when(m == 2, "").otherwise("t").alias("title"), F.lit("m").alias("message"), F.when(m == 6, None).otherwise("p").alias("rel_path"),
+        line.alias("line_start"), F.when(m == 4, 5).otherwise(1).alias("column_start"), F.when(m == 3, line - 1).otherwise(line).alias("line_end"), F.lit(2).alias("column_end"), F.lit(False).alias("fixable"), F.when(m == 5, 1.5).when(m == 7, None).otherwise(0.5).alias("confidence"),
+    )
     return raw.select("doc_id", O.is_valid().alias("is_valid"))
 
 
-@query("select conv_id, turn, case when text ilike '%api key%' or turn % 7 = 1 then 'authentication' when turn % 7 = 2 then 'rate-limit' when turn % 7 = 3 then 'timeout' when turn % 7 = 4 then 'network' when turn % 7 = 5 then 'invalid-response' else 'provider-error' end as kind from conversations")
+SAID = ["Incorrect API key provided", "Quota exceeded for org", "Too Many Requests", "request TIME OUT", "socket hang up", "fetch failed", "did not match schema", "Failed to parse", "bad JSON", "getaddrinfo ENOTFOUND", "timed out", "api key", "rate limit"]
+NAMED = ["ZodError", "APIConnectionError", "TimeoutError", "RateLimitError", "PermissionDeniedError", "Error"]
+
+
+@query(f"""with r as (select conv_id, turn, {SAID}[(conv_id + turn) % 13 + 1] as said, case when (conv_id + 3 * turn) % 11 < 6 then {NAMED}[(conv_id + 3 * turn) % 11 + 1] end as named, case (conv_id + 5 * turn) % 17 when 0 then 401 when 1 then 403 when 2 then 429 when 3 then 408 when 4 then 500 end as status from conversations)
+select conv_id, turn, case when coalesce(status in (401, 403), false) or coalesce(named = 'PermissionDeniedError', false) or said = 'Incorrect API key provided' then 'authentication'
+  when coalesce(status = 429, false) or coalesce(named = 'RateLimitError', false) or said in ('Quota exceeded for org', 'Too Many Requests', 'rate limit') then 'rate-limit' when coalesce(named = 'TimeoutError', false) or said in ('request TIME OUT', 'timed out') then 'timeout'
+  when coalesce(named = 'APIConnectionError', false) or said in ('socket hang up', 'fetch failed', 'getaddrinfo ENOTFOUND') then 'network' when coalesce(named = 'ZodError', false) or said in ('did not match schema', 'Failed to parse') then 'invalid-response' else 'provider-error' end as kind from r""")
 def error_kinds(spark, d):
-    k = F.col("turn") % 7
-    status = F.when(k == 1, 401).when(k == 2, 429).when(k == 3, 408).otherwise(500)
-    said = F.when(F.lower("text").contains("api key"), "api key").when(k == 4, "ECONNRESET").when(k == 5, "bad JSON").otherwise("x")
-    return _t(spark, d, "conversations").select("conv_id", "turn", T.error_kind(status, said).alias("kind"))
+    i, t = F.col("conv_id"), F.col("turn")
+    said = F.get(F.array(*map(F.lit, SAID)), ((i + t) % 13).cast("int"))
+    named = F.get(F.array(*map(F.lit, NAMED)), ((i + 3 * t) % 11).cast("int"))
+    status = F.get(F.array(*map(F.lit, (401, 403, 429, 408, 500))), ((i + 5 * t) % 17).cast("int"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.error_kind(status, named, said).alias("kind"))
 
 
 @query("select o_orderstatus, o_orderpriority, count(*) as n from (select o_orderstatus, o_orderpriority from orders where o_totalprice > 100000 union all select o_orderstatus, o_orderpriority from orders where o_orderdate < '1995-01-01') group by 1, 2")
@@ -332,9 +372,9 @@ def union_all_groups(spark, d):
     return both.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("with a as (select distinct l_suppkey % 50 as node from lineitem where l_returnflag = 'R'), b as (select distinct c_nationkey::bigint as node from customer) select node, 'except' as kind from (select node from a except select node from b) union all select node, 'both' from (select node from a intersect select node from b)")
+@query("with a as (select distinct l_suppkey as node from lineitem), b as (select distinct c_nationkey::bigint as node from customer) select node, 'except' as kind from (select node from a except select node from b) union all select node, 'both' from (select node from a intersect select node from b)")
 def difference_and_intersection(spark, d):
-    a = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select((F.col("l_suppkey") % 50).alias("node"))
+    a = _t(spark, d, "lineitem").select(F.col("l_suppkey").alias("node"))
     b = _t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("node"))
     return a.subtract(b).withColumn("kind", F.lit("except")).unionByName(a.intersect(b).withColumn("kind", F.lit("both")))
 

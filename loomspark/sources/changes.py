@@ -17,21 +17,27 @@ def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True).stdout
 
 
+def _against(root: str, base: str | None) -> list[str]:
+    """What a diff compares: the merge base and HEAD, or HEAD (of a repository without commits the empty tree) and the working tree."""
+    if base:
+        return [git(root, "merge-base", base, "HEAD").strip(), "HEAD"]
+    born = subprocess.run(["git", "-C", root, "rev-parse", "--verify", "-q", "HEAD"], capture_output=True, check=False).returncode == 0
+    return ["HEAD"] if born else [git(root, "hash-object", "-t", "tree", "/dev/null").strip()]
+
+
 def changed_files(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
-    """rel_path, status: against the merge base with base, or the working tree with untracked files; first of each path, by path."""
-    against = git(root, "merge-base", base, "HEAD").strip() if base else "HEAD"
-    rows = [line.split("\t") for line in git(root, "diff", "--name-status", "--no-renames", *([against, "HEAD"] if base else [against])).splitlines()]
-    found = {r[-1]: STATUS.get(r[0][:1], "modified") for r in reversed(rows)}
+    """rel_path (from root, which may be a folder of the repository), status: against the merge base with base, or the working tree with untracked files; first of each path, by path."""
+    cells = git(root, "diff", "--name-status", "--no-renames", "--relative", "-z", *_against(root, base)).split("\0")
+    found = {path: STATUS.get(status[:1], "modified") for status, path in reversed(list(zip(cells[::2], cells[1::2], strict=False)))}
     if not base:
-        found |= {p: "added" for p in git(root, "ls-files", "--others", "--exclude-standard").splitlines() if p not in found}
+        found |= {p: "added" for p in git(root, "ls-files", "--others", "--exclude-standard", "-z").split("\0") if p and p not in found}
     return spark.createDataFrame(sorted(found.items()), "rel_path string, status string").where(~F.col("rel_path").startswith(".."))
 
 
 def diffs(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
     """rel_path, diff (without context lines) of every tracked file that changed, from one call of git."""
-    against = [git(root, "merge-base", base, "HEAD").strip(), "HEAD"] if base else ["HEAD"]
     found = {}
-    for part in git(root, "diff", "--unified=0", "--no-renames", "--no-color", "--no-ext-diff", "--relative", *against).split("\ndiff --git "):
+    for part in git(root, "-c", "core.quotePath=false", "diff", "--unified=0", "--no-renames", "--no-color", "--no-ext-diff", "--relative", *_against(root, base)).split("\ndiff --git "):
         named = [line[6:] for line in part.splitlines()[:8] if line.startswith("+++ b/")]
         if named:
             found[named[0].rstrip("\t")] = part

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import normal_path
+
 
 def glob(pattern: str) -> str:
     """Regular expression of a glob: ** crosses folders, * and ? stay inside one, [..] and {a,b} as usual."""
@@ -17,7 +19,10 @@ def glob(pattern: str) -> str:
             out, i = out + "(?:.*/)?", i + 3
             continue
         if pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
+            out, i = out + (".+" if pattern[i - 1 : i] == "/" else ".*"), i + 2  # what is inside, not the folder itself
+            continue
+        if c == "*" and pattern[i - 1 : i] in ("", "/") and pattern[i + 1 : i + 2] in ("", "/"):
+            out, i = out + "[^/]+", i + 1  # a whole name
             continue
         if c == "[" and "]" in pattern[i + 1 :]:
             end = pattern.index("]", i + 1)
@@ -36,7 +41,7 @@ def glob(pattern: str) -> str:
 
 
 def rule(line: str) -> tuple[str, bool] | None:
-    """(expression, negated) of one line; blank lines and comments have none."""
+    """(expression, negated) of one line; blank lines and comments have none. Folders' paths end in a slash; case does not count."""
     line = line.rstrip("\r\n")
     line = re.sub(r"(?<!\\)\s+$", "", line)
     if not line or line.startswith("#"):
@@ -47,16 +52,27 @@ def rule(line: str) -> tuple[str, bool] | None:
     body = body.rstrip("/")
     anchored = "/" in body
     body = body.removeprefix("/")
-    return ("^" + ("" if anchored else "(?:.*/)?") + glob(body) + ("/.*$" if folder else "(?:/.*)?$"), negated)
+    return ("(?i)^" + ("" if anchored else "(?:.*/)?") + glob(body) + ("/$" if folder else "/?$"), negated)
 
 
 def is_ignored(path: Column, lines: list[str]) -> Column:
-    """The last matching rule decides; '' and '.' are never ignored, paths that leave the root always are."""
-    out = F.lit(False)
-    for found in filter(None, map(rule, lines)):
-        out = F.when(path.rlike(found[0]), F.lit(not found[1])).otherwise(out)
-    clean = F.coalesce(path, F.lit(""))
-    return F.when(clean.isin("", "."), False).when(clean.rlike(r"^(?:/|\.\.(?:/|$))|/\.\.(?:/|$)"), True).otherwise(out)
+    """Whether the rules leave out a path, or a folder above it: nothing below an ignored folder comes back.
+
+    For each of them the last matching rule decides. Back slashes and leading ./ and / are normalised away;
+    '' and '.' are never ignored, paths that leave the root always are.
+    """
+    rules = list(filter(None, map(rule, lines)))
+
+    def decided(p: Column) -> Column:
+        out = F.lit(False)
+        for expression, negated in rules:
+            out = F.when(p.rlike(expression), F.lit(not negated)).otherwise(out)
+        return out
+
+    clean = normal_path(F.coalesce(path, F.lit("")))
+    parts = F.split(clean, "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.when(n < F.size(parts), "/").otherwise("")))
+    return F.when(clean.isin("", "."), False).when(clean.rlike(r"^\.\.(?:/|$)"), True).otherwise(F.exists(above, decided))
 
 
 def is_included(path: Column, patterns: list[str]) -> Column:

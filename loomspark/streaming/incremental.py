@@ -22,16 +22,18 @@ def unseen(df: DataFrame, cache: DataFrame) -> DataFrame:
 def review_stream(texts: DataFrame, path: str, checkpoint: str, *, options: str = "") -> Callable:
     """Starts a query over a stream of (rel_path, source_text): each batch appends the findings of texts whose key the store lacks.
 
-    A batch that is run again finds its keys stored and adds nothing.
+    Findings and keys of a batch stand in folders named after the query and the batch, which are overwritten whole: a batch that is
+    run again, even after a crash between both writes, leaves what one run leaves. Read them with their parent folders.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
+        own = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'query'}-{number}"
         keyed = cache_key(df, options).dropDuplicates(["key"])
-        seen = spark.read.schema("key string").parquet(f"{path}/keys") if _exists(spark, f"{path}/keys") else spark.createDataFrame([], "key string")
+        seen = spark.read.schema("key string, batch string").parquet(f"{path}/keys").where(F.col("batch") != own) if _exists(spark, f"{path}/keys") else spark.createDataFrame([], "key string")
         new = unseen(keyed, seen)
-        line_rules.findings(new).write.mode("append").parquet(f"{path}/findings")
-        new.select("key").write.mode("append").parquet(f"{path}/keys")
+        line_rules.findings(new).write.mode("overwrite").parquet(f"{path}/findings/batch={own}")
+        new.select("key").write.mode("overwrite").parquet(f"{path}/keys/batch={own}")
 
     return texts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.frontend.javascript import JavaScriptError, Node, Parser, parse
+from loomspark.frontend.notes import flags_of
 
 FUNCTIONS = {
     "FunctionDeclaration": "function-declaration", "FunctionExpression": "function-expression", "ArrowFunctionExpression": "arrow-function",
@@ -83,7 +84,7 @@ class _Flat:
     """One file's rows; see SCHEMA."""
 
     def __init__(self, rel_path: str, root: Node, parser: Parser):
-        self.rel_path, self.parser, self.rows, self.refs = rel_path, parser, [], []
+        self.rel_path, self.parser, self.rows, self.refs, self.memo = rel_path, parser, [], [], {}
         self.scope = _Scope(None, True)
         self.visit(root, None, "", 0, {"depth": 0, "fn": None, "class": None, "top": None, "nesting": 0, "body": True, "else_if": False, "head": None}, self.scope, None)
         for row, name, scope in self.refs:
@@ -101,6 +102,7 @@ class _Flat:
     def visit(self, n: Node, up: dict | None, role: str, idx: int, c: dict, scope: _Scope, target: str | None, parents: tuple = ()) -> int:
         """target: how identifiers here are used: None (read), 'w', 'rw' or the kind of binding they declare."""
         parent = parents[-1] if parents else None
+        n.flags |= flags_of(n, parent, self.parser.s, self.memo)
         line, col = self.parser.position(n.start)
         end_line, end_col = self.parser.position(n.end)
         row = dict.fromkeys(_NAMES) | {

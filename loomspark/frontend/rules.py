@@ -178,7 +178,7 @@ def react_findings(nodes: DataFrame, limits: dict[str, int] = REACT_LIMITS) -> D
     return union(out)
 
 
-#: The lint rules that are implemented, in full or in the form that their docstrings in lint_findings name.
+# Severity, category and title of each lint rule. Where a rule has a narrower form than its name says, lint_findings says so.
 LINT = {
     "no-undef": ("high", "correctness", "Undefined identifier"), "no-unreachable": ("high", "correctness", "Unreachable code"), "no-dupe-keys": ("high", "correctness", "Duplicate object key"),
     "no-dupe-args": ("high", "correctness", "Duplicate function argument"), "no-dupe-else-if": ("high", "correctness", "Duplicate condition in if-else"), "no-duplicate-case": ("high", "correctness", "Duplicate case label"),
@@ -187,6 +187,11 @@ LINT = {
     "no-cond-assign": ("high", "correctness", "Assignment in condition"), "eqeqeq": ("medium", "correctness", "Suspicious equality"), "no-unused-vars": ("medium", "maintainability", "Unused variable"),
     "no-empty-pattern": ("medium", "correctness", "Empty destructuring pattern"), "no-func-assign": ("high", "correctness", "Reassignment of function declaration"), "no-import-assign": ("high", "correctness", "Assignment to imported binding"),
     "no-setter-return": ("high", "correctness", "Return from setter"), "no-constructor-return": ("high", "correctness", "Return in constructor"),
+    "no-unsafe-finally": ("high", "correctness", "Unsafe finally block"), "no-fallthrough": ("medium", "correctness", "Switch case fallthrough"), "no-invalid-regexp": ("high", "correctness", "Invalid regular expression"),
+    "no-control-regex": ("medium", "correctness", "Control character in regular expression"), "no-unexpected-multiline": ("high", "correctness", "Unexpected multiline expression"),
+    "no-constant-binary-expression": ("medium", "correctness", "Constant binary expression"), "no-loss-of-precision": ("medium", "correctness", "Loss of precision"),
+    "no-unmodified-loop-condition": ("medium", "correctness", "Unmodified loop condition"), "react-hooks/rules-of-hooks": ("high", "correctness", "Invalid React Hook usage"),
+    "react-hooks/exhaustive-deps": ("medium", "correctness", "Incomplete React Hook dependencies"),
 }
 
 
@@ -200,17 +205,19 @@ def _pairs(nodes: DataFrame, parents: DataFrame, a: str, b: str) -> DataFrame:
 def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
     """Findings of the lint rules (all of LINT if none are named).
 
-    no-unreachable sees statements after a return, throw, break or continue of the same
-    block, not all control flow; no-dupe-else-if and no-self-assign compare whole
+    no-unreachable sees the statement after one that never completes (jumps, branches, loops
+    without end, switches, try), not single expressions; no-dupe-else-if and no-self-assign compare whole
     conditions and targets by their trees; no-constant-condition takes literals, functions,
-    objects and arrays for constant.
+    objects and arrays for constant. no-invalid-regexp checks structure and flags; no-constant-binary-expression
+    compares operands by their kind, not their value; no-unmodified-loop-condition skips tests with calls or members; the Hook
+    rules follow the enclosing branches, loops and returns of a call, and exhaustive-deps dotted paths.
     """
     made = {}
     n = nodes.where("type <> '#failure'")
     say = lambda fmt, *c: F.format_string(fmt, *c)
     unknown = n.where("access is not null and access <> 'd' and binding_id is null and not array_contains(flags, 'typeof')").where(~F.col("name").isin(*GLOBALS))
     made["no-undef"] = unknown, say("'%s' is not defined.", F.col("name"))
-    jumps = n.where("type in ('ReturnStatement', 'ThrowStatement', 'BreakStatement', 'ContinueStatement') and role in ('body', 'consequent') and parent_type in ('BlockStatement', 'Program', 'SwitchCase')").groupBy("rel_path", "parent_id", "role").agg(F.min("idx").alias("jump"))
+    jumps = n.where("array_contains(flags, 'abrupt') and role in ('body', 'consequent') and parent_type in ('BlockStatement', 'Program', 'SwitchCase')").groupBy("rel_path", "parent_id", "role").agg(F.min("idx").alias("jump"))
     after = n.join(jumps, ["rel_path", "parent_id", "role"]).where("idx = jump + 1 and type <> 'FunctionDeclaration' and not (type = 'VariableDeclaration' and op = 'var')")
     made["no-unreachable"] = after, F.lit("Unreachable code.")
     again = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy("rel_path", *by).orderBy("node_id"))).where("nth > 1")
@@ -246,6 +253,7 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame
     owned = returns.join(owner, ["rel_path", "fn_id"])
     made["no-setter-return"] = owned.where("owner = 'set'"), F.lit("Setter cannot return a value.")
     made["no-constructor-return"] = owned.where("owner = 'constructor'"), F.lit("Unexpected return statement in constructor.")
+    made |= _more_lint(n, sides)
     made["no-unused-vars"] = _unused(n), F.when(F.col("written"), say("'%s' is assigned a value but never used.", F.col("name"))).otherwise(say("'%s' is defined but never used.", F.col("name")))
     parts = []
     for rule in rules if rules is not None else LINT:
@@ -255,6 +263,168 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame
     return union(parts)
 
 
+def _inside(inner: DataFrame, outer: DataFrame, *, how: str = "left_semi") -> DataFrame:
+    """inner joined with the rows of outer (rel_path, o_id, o_last, perhaps o_fn) that enclose its node_id, of the same function where o_fn is given."""
+    within = (F.col("i.rel_path") == F.col("o.rel_path")) & (F.col("o.o_id") < F.col("i.node_id")) & (F.col("i.node_id") <= F.col("o.o_last"))
+    if "o_fn" in outer.columns:
+        within = within & F.col("o.o_fn").eqNullSafe(F.col("i.fn_id"))
+    return inner.alias("i").join(outer.alias("o"), within, how)
+
+
+def _spans(df: DataFrame, *more: Column) -> DataFrame:
+    return df.select("rel_path", F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), *more)
+
+
+def _flag(prefix: str) -> Column:
+    """What follows prefix in a node's flags, or null."""
+    return F.get(F.transform(F.filter("flags", lambda f: f.startswith(prefix)), lambda f: F.substring(f, len(prefix) + 1, 1_000_000)), F.lit(0))
+
+
+def _more_lint(n: DataFrame, sides: DataFrame) -> dict[str, tuple[DataFrame, Column]]:
+    """Rules on jumps, literals, constant operands and loop conditions, and the Hook rules: what is reported and how."""
+    made = {}
+    fn = F.col("fn_id").alias("o_fn")
+    # a jump that leaves a finally block: of its own function, and not to a loop, switch or label inside the block
+    jumps = n.where("type in ('ReturnStatement', 'ThrowStatement', 'BreakStatement', 'ContinueStatement')")
+    finals = _spans(n.where("role = 'finalizer'"), fn)
+    kept = jumps.where("type in ('BreakStatement', 'ContinueStatement')").select("rel_path", "node_id", "fn_id", "type", F.col("name").alias("label"))
+    taker = n.where(F.col("type").isin(*LOOPS, "SwitchStatement", "LabeledStatement"))
+    taker = _inside(taker.select("rel_path", "node_id", "last_id", "fn_id", "type", "name"), finals).select("rel_path", F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), F.col("fn_id").alias("o_fn"), F.col("type").alias("o_type"), F.col("name").alias("o_name"))
+    taken = _inside(kept, taker, how="inner").where(F.when(F.col("label").isNotNull(), (F.col("o_type") == "LabeledStatement") & (F.col("o_name") == F.col("label"))).when(F.col("type") == "BreakStatement", F.col("o_type") != "LabeledStatement").otherwise(F.col("o_type").isin(*LOOPS)))
+    taken = taken.select("i.rel_path", "i.node_id").distinct()
+    made["no-unsafe-finally"] = _inside(jumps, finals).join(taken, ["rel_path", "node_id"], "left_anti"), F.format_string("Unsafe usage of %s.", F.col("type"))
+    tests = n.where("role = 'test' and parent_type = 'SwitchCase'").select("rel_path", F.col("parent_id").alias("node_id"), F.lit(True).alias("has_test"))
+    made["no-fallthrough"] = n.where("type = 'SwitchCase' and array_contains(flags, 'fallen-into')").join(tests, ["rel_path", "node_id"], "left"), F.concat(F.lit("Expected a 'break' statement before '"), F.when(F.col("has_test"), "case").otherwise("default"), F.lit("'."))
+    said = lambda prefix: n.withColumn("said", _flag(prefix)).where("said is not null")
+    made["no-invalid-regexp"] = said("regex:"), F.concat("said", F.lit("."))
+    made["no-control-regex"] = said("control:"), F.concat(F.lit("Unexpected control character(s) in regular expression: "), "said", F.lit("."))
+    made["no-unexpected-multiline"] = said("newline:"), F.concat(F.lit("Unexpected newline "), "said", F.lit("."))
+    made["no-loss-of-precision"] = n.where("array_contains(flags, 'imprecise')"), F.lit("This number literal will lose precision at runtime.")
+    made["no-constant-binary-expression"] = _constant_operands(n, sides)
+    made["no-unmodified-loop-condition"] = _unmodified(n), F.format_string("'%s' is not modified in this loop.", F.col("name"))
+    made["react-hooks/rules-of-hooks"] = _hook_calls(n)
+    made["react-hooks/exhaustive-deps"] = _hook_dependencies(n)
+    return made
+
+
+NEW = ("ObjectExpression", "ArrayExpression", "ArrowFunctionExpression", "FunctionExpression", "ClassExpression", "NewExpression", "RegExpLiteral")
+PLAIN = ("StringLiteral", "NumericLiteral", "BooleanLiteral", "BigIntLiteral")
+
+
+def _constant_operands(n: DataFrame, sides: DataFrame) -> tuple[DataFrame, Column]:
+    logical = _pairs(n, n.where("type = 'LogicalExpression'"), "left", "right")
+    kind, op = F.col("a.type"), F.col("op")
+    nullish = lambda s: (F.col(f"{s}.type") == "NullLiteral") | (F.col(f"{s}.path") == "undefined") | (F.col(f"{s}.type") == "UnaryExpression") & (F.col(f"{s}.op") == "void")
+    never_null = lambda s: F.col(f"{s}.type").isin(*NEW, *PLAIN, "TemplateLiteral", "BinaryExpression", "UpdateExpression") | (F.col(f"{s}.type") == "UnaryExpression")
+    truth = kind.isin(*NEW, *PLAIN, "NullLiteral") | (F.col("a.path") == "undefined") | (kind == "UnaryExpression") & F.col("a.op").isin("typeof", "void")
+    short = F.when(op.isin("&&", "||") & truth, "truthiness").when((op == "??") & (nullish("a") | never_null("a")), "nullishness")
+    left = logical.withColumn("said", F.format_string("Unexpected constant %s on the left-hand side of a `%s` expression.", short, op)).where(short.isNotNull())
+    new = lambda s: F.coalesce(F.col(f"{s}.type").isin(*NEW), F.lit(False))
+    other = F.when(nullish("a") & (nullish("b") | never_null("b")), "left").when(nullish("b") & never_null("a"), "right")
+    told = (
+        F.when(op.isin("==", "!=") & new("a") & new("b") | op.isin("===", "!==") & new("a") & new("b"), "Unexpected comparison of two newly constructed objects. These two values can never be equal.")
+        .when(other.isNotNull(), F.format_string("Unexpected constant binary expression. Compares constantly with the %s-hand side of the `%s`.", other, op)).when(op.isin("===", "!==") & (new("a") | new("b")), "Unexpected comparison to newly constructed object. These two values can never be equal.")
+    )
+    compared = sides.where("type = 'BinaryExpression' and op in ('==', '!=', '===', '!==')").withColumn("said", told).where("said is not null")
+    return left.unionByName(compared), F.col("said")
+
+
+def _unmodified(n: DataFrame) -> DataFrame:
+    """Names in the tests of while, do and for loops that nothing in the loop writes, nor a function that the loop calls; one written operand of a comparison clears the others."""
+    loops = n.where("type in ('WhileStatement', 'DoWhileStatement', 'ForStatement')").select("rel_path", F.col("node_id").alias("loop"), F.col("last_id").alias("loop_last"))
+    tests = n.where("role = 'test' and parent_type in ('WhileStatement', 'DoWhileStatement', 'ForStatement')").select("rel_path", F.col("node_id").alias("t"), F.col("last_id").alias("t_last"), F.col("parent_id").alias("loop"))
+    inside = lambda df, a, z: (F.col("node_id") >= F.col(a)) & (F.col("node_id") <= F.col(z))
+    parts = n.select("rel_path", "node_id", "type", "name", "access", "binding_id", "parent_id", "parent_type").join(tests, "rel_path").where(inside(n, "t", "t_last"))
+    live = parts.where(F.col("type").isin("CallExpression", "NewExpression", "MemberExpression", "OptionalMemberExpression", "OptionalCallExpression", "TaggedTemplateExpression", "YieldExpression", "AwaitExpression", "UpdateExpression", "AssignmentExpression")).select("rel_path", "t").distinct()
+    names = parts.where("access = 'r' and binding_id is not null").join(live, ["rel_path", "t"], "left_anti").join(loops, ["rel_path", "loop"])
+    names = names.withColumn("held", F.when(F.col("parent_type") == "BinaryExpression", F.col("parent_id")).otherwise(F.col("node_id")))
+    writes = n.where("access in ('w', 'rw') and binding_id is not null").select("rel_path", "binding_id", F.col("node_id").alias("w"), F.col("fn_id").alias("w_fn"))
+    direct = names.join(writes, ["rel_path", "binding_id"]).where("w between loop and loop_last")
+    # writes in a declared function that the loop names
+    own = n.where("access = 'd' and binding_kind = 'function' and role = 'id'").select("rel_path", F.col("node_id").alias("f"), F.col("parent_id").alias("w_fn"))
+    called = n.where("access = 'r' and binding_kind = 'function'").select("rel_path", F.col("binding_id").alias("f"), F.col("node_id").alias("call_id"))
+    through = names.join(writes.join(own, ["rel_path", "w_fn"]).join(called, ["rel_path", "f"]), ["rel_path", "binding_id"]).where("call_id between loop and loop_last")
+    fine = direct.select("rel_path", "loop", "held").unionByName(through.select("rel_path", "loop", "held")).distinct()
+    hit = names.join(fine, ["rel_path", "loop", "held"], "left_anti").select("rel_path", "node_id").distinct()
+    return n.join(hit, ["rel_path", "node_id"], "left_semi")
+
+
+def _hook_calls(n: DataFrame) -> tuple[DataFrame, Column]:
+    calls = n.where("type = 'CallExpression'").where(F.col("path").rlike(r"^(?:[A-Z]\w*\.)?(?:use[A-Z0-9]\w*|use)$"))
+    callee = n.where("role = 'callee' and parent_type = 'CallExpression'").select("rel_path", F.col("parent_id").alias("node_id"), *[F.col(c).alias(f"c_{c}") for c in ("line_start", "col_start", "line_end", "col_end")])
+    calls = calls.select("rel_path", "node_id", "fn_id", "class_id", "path").join(callee, ["rel_path", "node_id"])
+    owner = n.where(F.col("type").isin(*FUNCTIONS)).select("rel_path", F.col("node_id").alias("fn_id"), F.col("label").alias("fn_name"), F.col("role").alias("fn_role"), F.array_contains("flags", "async").alias("fn_async"), F.col("type").alias("fn_type"), F.col("parent_type").alias("fn_parent"), F.col("parent_id").alias("fn_up"))
+    wraps = n.where("type = 'CallExpression' and path in ('memo', 'React.memo', 'forwardRef', 'React.forwardRef')").select("rel_path", F.col("node_id").alias("fn_up"), F.lit(True).alias("wrapped"))
+    calls = calls.join(owner.join(wraps, ["rel_path", "fn_up"], "left"), ["rel_path", "fn_id"], "left")
+    around = lambda df, name: _inside(calls, _spans(df, F.col("fn_id").alias("o_fn")), how="inner").select("i.rel_path", "i.node_id", F.lit(True).alias(name)).distinct()
+    branch = n.where("role in ('consequent', 'alternate') and parent_type in ('IfStatement', 'ConditionalExpression') or role = 'right' and parent_type = 'LogicalExpression' or role = 'consequent' and parent_type = 'SwitchCase'")
+    # a branch or loop part may be the call itself
+    own = branch.where("type = 'CallExpression'").select("rel_path", "node_id", F.lit(True).alias("branched"))
+    branched = around(branch, "branched").unionByName(own).distinct()
+    looped = around(n.where(F.col("type").isin(*LOOPS)), "looped")
+    returns = n.where("type = 'ReturnStatement' and fn_id is not null and parent_type <> 'ArrowFunctionExpression'")
+    bodies = n.where(F.col("parent_type").isin(*FUNCTIONS) & (F.col("role") == "body")).select("rel_path", F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
+    early = returns.join(bodies, ["rel_path", "parent_id"], "left").where("top is null").groupBy("rel_path", "fn_id").agg(F.min("node_id").alias("return_id"))
+    calls = calls.join(branched, ["rel_path", "node_id"], "left").join(looped, ["rel_path", "node_id"], "left").join(early, ["rel_path", "fn_id"], "left")
+    hook, name = F.concat(F.lit('React Hook "'), F.col("path"), F.lit('" ')), F.col("fn_name")
+    must = "React Hooks must be called in a React function component or a custom React Hook function."
+    order = "React Hooks must be called in the exact same order in every component render."
+    known = name.rlike(r"^(?:[A-Z]|use[A-Z0-9]|use$)") & ~F.col("fn_type").isin("ClassMethod", "ClassPrivateMethod", "ObjectMethod") | F.coalesce(F.col("wrapped"), F.lit(False))
+    anonymous = name.startswith("<")
+    use = F.col("path").rlike(r"(?:^|\.)use$")
+    said = (
+        F.when(F.col("class_id").isNotNull() & F.coalesce(F.col("fn_type").isin("ClassMethod", "ClassPrivateMethod"), F.lit(True)), F.concat(hook, F.lit(f"cannot be called in a class component. {must}"))).when(F.col("fn_id").isNull(), F.concat(hook, F.lit(f"cannot be called at the top level. {must}")))
+        .when(known & F.col("fn_async"), F.concat(hook, F.lit("cannot be called in an async function."))).when(known & F.col("looped") & ~use, F.concat(hook, F.lit(f"may be executed more than once. Possibly because it is called in a loop. {order}")))
+        .when(known & F.col("branched") & ~use, F.concat(hook, F.lit(f"is called conditionally. {order}"))).when(known & (F.col("return_id") < F.col("node_id")) & ~use, F.concat(hook, F.lit(f"is called conditionally. {order} Did you accidentally call a React Hook after an early return?")))
+        .when(~known & (anonymous | (F.col("fn_role") == "argument")), F.concat(hook, F.lit(f"cannot be called inside a callback. {must}")))
+        .when(~known, F.concat(hook, F.lit('is called in function "'), name, F.lit('" that is neither a React function component nor a custom React Hook function. React component names must start with an uppercase letter. React Hook names must start with the word "use".')))
+    )
+    out = calls.withColumn("said", said).where("said is not null")
+    return out.select("rel_path", "said", *[F.col(f"c_{c}").alias(c) for c in ("line_start", "col_start", "line_end", "col_end")]), F.col("said")
+
+
+def _hook_dependencies(n: DataFrame) -> tuple[DataFrame, Column]:
+    """For each Hook with a callback and a list of dependencies written in place: outer names that the callback reads and the list lacks."""
+    hooks = n.where("type = 'CallExpression'").where(F.col("path").rlike(r"^(?:React\.)?use(?:Effect|LayoutEffect|InsertionEffect|Callback|Memo)$"))
+    hooks = hooks.select("rel_path", F.col("node_id").alias("hook"), F.regexp_replace("path", "^React[.]", "").alias("hook_name"), F.col("fn_id").alias("hook_fn"))
+    callback = n.where("role = 'argument' and idx = 0 and type in ('FunctionExpression', 'ArrowFunctionExpression')").select("rel_path", F.col("parent_id").alias("hook"), F.col("node_id").alias("cb"), F.col("last_id").alias("cb_last"))
+    lists = n.where("role = 'argument' and idx = 1 and type = 'ArrayExpression'").select("rel_path", F.col("parent_id").alias("hook"), F.col("node_id").alias("list"), *[F.col(c) for c in ("line_start", "col_start", "line_end", "col_end")])
+    hooks = hooks.join(callback, ["rel_path", "hook"]).join(lists, ["rel_path", "hook"]).where("hook_fn is not null")
+    given = n.where("role = 'element' and parent_type = 'ArrayExpression' and path is not null").select("rel_path", F.col("parent_id").alias("list"), F.col("path").alias("dep"))
+    given = given.groupBy("rel_path", "list").agg(F.collect_set("dep").alias("deps"))
+    # names that stay the same: setters, dispatchers and refs, and constants with plain values
+    calls = n.where("role = 'init' and type = 'CallExpression'").select("rel_path", F.col("parent_id").alias("declarator"), F.regexp_replace("path", "^React[.]", "").alias("made_by"))
+    element = n.where("parent_type = 'ArrayPattern' and role = 'element' and idx = 1").select("rel_path", F.col("node_id").alias("binding_id"), F.col("grand_id").alias("declarator")).join(calls.where("made_by in ('useState', 'useReducer', 'useTransition', 'useActionState')"), ["rel_path", "declarator"])
+    whole = n.where("parent_type = 'VariableDeclarator' and role = 'id' and type = 'Identifier'").select("rel_path", F.col("node_id").alias("binding_id"), F.col("parent_id").alias("declarator"), F.col("grand_id").alias("declaration"))
+    refs = whole.join(calls.where("made_by in ('useRef', 'useEffectEvent')"), ["rel_path", "declarator"])
+    const = n.where("type = 'VariableDeclaration' and op = 'const'").select("rel_path", F.col("node_id").alias("declaration"))
+    plain = n.where("role = 'init'").where(F.col("type").isin("StringLiteral", "NumericLiteral", "NullLiteral")).select("rel_path", F.col("parent_id").alias("declarator"))
+    stable = element.select("rel_path", "binding_id").unionByName(refs.select("rel_path", "binding_id")).unionByName(whole.join(const, ["rel_path", "declaration"], "left_semi").join(plain, ["rel_path", "declarator"], "left_semi").select("rel_path", "binding_id")).distinct()
+    bound = n.where("access = 'd'").select("rel_path", F.col("node_id").alias("binding_id"), F.col("fn_id").alias("bound_fn"), F.col("binding_kind").alias("kind"), F.col("role").alias("bound_role"), F.col("parent_id").alias("bound_parent")).where("kind <> 'import'")
+    # a function's own name belongs to the function around it
+    around = n.where(F.col("type").isin(*FUNCTIONS)).select("rel_path", F.col("node_id").alias("bound_parent"), F.col("fn_id").alias("outer_fn"))
+    bound = bound.join(around, ["rel_path", "bound_parent"], "left").withColumn("bound_fn", F.when((F.col("kind") == "function") & (F.col("bound_role") == "id"), F.col("outer_fn")).otherwise(F.col("bound_fn")))
+    reads = n.where("access in ('r', 'rw') and binding_id is not null").select("rel_path", "node_id", "name", "binding_id", "chain_id")
+    used = reads.join(hooks.select("rel_path", "hook", "hook_fn", "cb", "cb_last"), "rel_path").where("node_id between cb and cb_last").join(bound, ["rel_path", "binding_id"]).where("bound_fn is not null and (bound_fn <= hook_fn) and not (binding_id between cb and cb_last)")
+    used = used.join(stable, ["rel_path", "binding_id"], "left_anti")
+    chain = n.select("rel_path", F.col("node_id").alias("chain_id"), F.col("path").alias("chain_path"), F.col("role").alias("chain_role"), F.col("type").alias("chain_type"))
+    used = used.join(chain, ["rel_path", "chain_id"], "left")
+    dotted = F.coalesce("chain_path", "name")
+    need = F.when((F.col("chain_role") == "callee") & dotted.contains("."), F.regexp_replace(dotted, r"\.[^.]*$", "")).otherwise(dotted)
+    need = F.regexp_replace(need, r"\.current$", "")
+    needed = used.groupBy("rel_path", "hook").agg(F.collect_set(need).alias("needed"))
+    out = hooks.join(needed, ["rel_path", "hook"]).join(given, ["rel_path", "list"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    covered = lambda p, among: F.exists(among, lambda d: (p == d) | p.startswith(F.concat(d, F.lit("."))))
+    missing = F.filter("needed", lambda p: ~covered(p, F.col("deps")))
+    missing = F.array_sort(F.filter(missing, lambda p: ~F.exists(missing, lambda d: p.startswith(F.concat(d, F.lit("."))))))
+    out = out.withColumn("missing", missing).where(F.size("missing") > 0)
+    quoted = F.transform("missing", lambda p: F.concat(F.lit("'"), p, F.lit("'")))
+    many = F.size("missing") > 1
+    listed = F.when(many, F.concat(F.array_join(F.slice(quoted, F.lit(1), F.size(quoted) - 1), ", "), F.when(F.size(quoted) > 2, ", and ").otherwise(" and "), F.element_at(quoted, -1))).otherwise(F.get(quoted, F.lit(0)))
+    said = F.concat(F.lit("React Hook "), "hook_name", F.when(many, " has missing dependencies: ").otherwise(" has a missing dependency: "), listed, F.lit(". Either include "), F.when(many, "them").otherwise("it"), F.lit(" or remove the dependency array."))
+    return out.withColumn("said", said), F.col("said")
+
+
 def _unused(n: DataFrame) -> DataFrame:
     """Bindings without a read outside of themselves. Parameters count only after the last one in use; exported names are used."""
     read = n.where("binding_id is not null and access <> 'd'")

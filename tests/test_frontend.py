@@ -109,9 +109,45 @@ LINT = [
         ("no-unused-vars", "const a = 1; function f(p, q) { return p }", "let a = 1; a; export function f(p, q) { return q } export const b = 2"), ("no-empty-pattern", "const {} = a", "const { b } = a; [] = a; x = {}"),
         ("no-func-assign", "function f() {} f = 1", "let f = function () {}; f = 1"), ("no-import-assign", "import a from 'a'; a = 1", "import a from 'a'; a.b = 1"),
         ("no-setter-return", "class A { set x(v) { return 1 } }", "class A { set x(v) { return } get x() { return 1 } }"), ("no-constructor-return", "class A { constructor() { return {} } }", "class A { constructor() { f(() => { return 1 }) } }"),
+        ("no-unsafe-finally", "function f() { try { a() } catch (e) { b() } finally { return 1 } }", "function f() { try { a() } finally { for (;;) { break } (() => { return 1 })() } }"),
+        ("no-fallthrough", "switch (a) { case 1: b(); case 2: c() }", "switch (a) { case 1: case 2: b(); break; case 3: if (c) { return } else { throw d } case 4: e(); // falls through\n case 5: f() }"),
+        ("no-invalid-regexp", "new RegExp('[')", "new RegExp('[a-z]+', 'gi'); RegExp(a)"), ("no-control-regex", r"a = /\x1f\u0002/", r"a = /\x20\t\n/"),
+        ("no-unexpected-multiline", "a = b\n(c || d).e()", "a = b;\n(c || d).e(); f(\n1)"), ("no-constant-binary-expression", "a = {} || b", "a = b || {}; c = b ?? 1"),
+        ("no-loss-of-precision", "a = 9007199254740993", "a = 9007199254740992; b = 0.1; c = 1e21; d = 5123000000000000000000; e = 0x1FFFFFFFFFFFFF"),
+        ("no-unmodified-loop-condition", "let a = 1; while (a) { b() }", "let a = 1, c = 2; while (a < c) { a++ } for (let i = 0; i < c; i++) {} while (c.d) {} let q = 1; function g() { q = 0 } while (q) { g() }"),
+        ("react-hooks/rules-of-hooks", "function App() { if (a) { useState(1) } }", "function App() { const [a] = useState(1); useCustom(a); return null }"),
+        ("react-hooks/exhaustive-deps", "function App({ a }) { useEffect(() => { b(a) }, []) }", "function App({ a, p }) { const [s, set] = useState(0); const r = useRef(); useEffect(() => { set(a + p.x.y + r.current) }, [a, p.x]); useMemo(() => s, [s]) }"),
     ]
 
 
+HOOKS = [
+    ("function App() { for (;;) { useA() } }", "may be executed more than once"), ("function App() { if (a) return null; useA() }", "after an early return"), ("function helper() { useA() }", "neither a React function component"),
+    ("useA()", "at the top level"), ("class K { render() { useA() } }", "in a class component"), ("function App() { a.map(() => { useA() }) }", "inside a callback"), ("async function App() { useA() }", "in an async function"),
+    ("const App = () => { const x = a && useA() }", "is called conditionally"), ("const App = memo(() => { useA(); return null })", None), ("function useB() { return useA() }", None), ("function App() { const y = use(a ? b : c) }", None),
+]
+
+
+def test_hooks(spark):
+    t = tree(spark, *[s for s, _ in HOOKS])
+    got = {r.rel_path: r.message for r in rules.lint_findings(t, ["react-hooks/rules-of-hooks"]).collect()}
+    for i, (source, said) in enumerate(HOOKS):
+        assert (said is None and f"f{i}.js" not in got) or (said and said in got[f"f{i}.js"]), (source, got.get(f"f{i}.js"))
+
+
+def test_hook_dependencies(spark):
+    source = "function App({ a, b, c }) { const k = 1; const f = () => 1; useCallback(() => { f(); b.go(); c.x.y; k; let z = a; function own() {} own() }, []) }"
+    got = rules.lint_findings(tree(spark, source), ["react-hooks/exhaustive-deps"]).collect()
+    assert [r.message for r in got] == ["React Hook useCallback has missing dependencies: 'a', 'b', 'c.x.y', and 'f'. Either include them or remove the dependency array."]
+
+
+def test_literals():
+    from loomspark.frontend import notes
+
+    assert all(notes.regex_fault(x, f) for x, f in [("(", ""), (")", ""), ("*a", ""), ("a{2,1}", ""), ("[a", ""), ("a\\", ""), ("a", "gg"), ("a", "z"), ("(?<1a>b)", ""), ("(?<n>a)(?<n>b)", ""), ("(?x)", "")])
+    assert not any(notes.regex_fault(x, f) for x, f in [("a{2,3}?", ""), ("[\\]]", ""), ("(?:a|b)*", "gimsuy"), ("(?<n>a)\\k<n>", "u"), ("^a$", ""), ("a{", ""), ("(?<=a)b(?!c)", "")])
+    assert [notes.loses_precision(x) for x in ("5e-324", "1.0000000000000001", "123456789012345678", "0b11", "100000000000000000000000", "0x20000000000001", "1e400", "0.0", "3.14")] == [False, True, True, False, False, True, True, False, False]
+
+
 def test_lint(spark):
     t = tree(spark, *[source for _, bad, good in LINT for source in (bad, good)])
     found = {(r.rule_id, r.rel_path): r.n for r in rules.lint_findings(t).groupBy("rule_id", "rel_path").agg(F.count("*").alias("n")).collect()}

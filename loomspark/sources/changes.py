@@ -17,6 +17,12 @@ def git(root: str, *args: str) -> str:
     return subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=True).stdout
 
 
+def git_root(folder: str) -> str | None:
+    """The top folder of the repository that holds folder; None outside of one."""
+    told = subprocess.run(["git", "-C", folder, "rev-parse", "--show-toplevel"], capture_output=True, text=True, check=False)
+    return told.stdout.strip() if told.returncode == 0 else None
+
+
 def _against(root: str, base: str | None) -> list[str]:
     """What a diff compares: the merge base and HEAD, or HEAD (of a repository without commits the empty tree) and the working tree."""
     if base:

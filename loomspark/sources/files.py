@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.sources import ignore
@@ -16,6 +18,18 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(rel.alias("rel_path"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), "size_bytes")
 
 
+def single(spark: SparkSession, path: str) -> DataFrame:
+    """The listing of one file. It is reviewed whatever the ignore and include rules say; only the size limit holds."""
+    file = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size_bytes"))
+    return file.select(F.regexp_extract("path", "([^/]+)$", 1).alias("rel_path"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), "size_bytes")
+
+
+def without_links(files: DataFrame, links: list[str]) -> DataFrame:
+    """files without those that are symbolic links or stand below one. links: all of a local root; other storage has none."""
+    below = [F.col("rel_path").startswith(f"{link}/") for link in links]
+    return files.where(~reduce(Column.__or__, below, F.col("rel_path").isin(links))) if links else files
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 

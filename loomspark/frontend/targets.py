@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from loomspark.frontend.dependencies import joined_path
 
-# Endings that a file's name loses, names that say nothing, what a symbol's name loses at both ends, and endings of the target by kind.
+# Endings that a file's name loses, names that say nothing, what a symbol's name loses at both ends, endings of the target by kind, and names of kinds for people.
 LOST = "(?i)(?:[-_.]?(?:page|view|screen|container|component))+$"
 SAYS_NOTHING = ["index", "main", "app", "mod", "module"]
 VERBS = "(?i)^(fetch|get|post|put|delete|update|handle|use|format|calc|calculate)"
 NOUNS = "(?i)(Service|Utils|Constants|Labels|Config|Data|State|Status)$"
 ENDINGS = {"service": ".service.js", "utility": ".utils.js", "constant-group": ".constants.js"}
-KIND_NAMES = {"react-component": "React component", "custom-hook": "Custom hook", "service": "Service", "utility": "Utility", "constant-group": "Constants"}
+KIND_NAMES = {"react-component": "React component", "custom-hook": "custom hook", "service": "service", "utility": "utility", "constant-group": "constant group"}
 
 
 def stem(path: Column) -> Column:

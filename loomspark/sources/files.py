@@ -48,10 +48,10 @@ def skip_counters(found: DataFrame, max_files: int) -> DataFrame:
     return found.agg(F.count_if(F.col("status") == "ignored").alias("ignored"), F.count_if(F.col("status") == "too-large").alias("too_large"), F.greatest(F.count_if(F.col("status") == "ok") - max_files, F.lit(0)).alias("limited"))
 
 
-def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """rel_path, source_text of the ok files; binary is true and the text null where a NUL byte occurs."""
+def contents(spark: SparkSession, root: str, files: DataFrame, only: str | None = None) -> DataFrame:
+    """rel_path, source_text of the ok files; binary is true and the text null where a NUL byte occurs. only: the one file to read."""
     base = root.rstrip("/")
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    read = spark.read.format("binaryFile").load(f"{base}/{only}") if only else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     rel = F.regexp_replace("path", "^.*?" + _quoted(base.split(":", 1)[-1].lstrip("/")) + "/", "")
     text = F.decode("content", "UTF-8")
     rows = read.select(rel.alias("rel_path"), text.alias("t")).join(files.where("status = 'ok'").select("rel_path"), "rel_path", "left_semi")

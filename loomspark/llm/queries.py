@@ -1,11 +1,11 @@
-"""The ten queries with production parameters, and their SQL where SQL can express them."""
+"""The thirteen queries with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import decontamination, fingerprints, jaccard, lines, mixing, quality, secrets, substrings, tokens, toxicity
+from loomspark.llm import conversations, decontamination, fingerprints, jaccard, lines, merkle, mixing, quality, secrets, sharding, substrings, tokens, toxicity
 from loomspark.llm._store import documents as table
 
 
@@ -72,6 +72,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(turns, conversations.damaged(turns))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    out = sharding.shuffle_shards(table(spark, sf_dir), size=F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col(c) for c in merkle.DOCUMENT]
+    changed = merkle.leaf([merkle.lower(c) if n == "text" else c for n, c in zip(merkle.DOCUMENT, columns, strict=True)])
+    made = merkle.manifest(table(spark, sf_dir), columns=merkle.DOCUMENT, other=F.when(merkle.tampered(F.col("doc_id")), changed))
+    out = merkle.proofs(made)
+    return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP1_SQL = """
 with rows as (select distinct doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i, len(string_split(text, chr(10))) as n from rows),
@@ -113,5 +132,80 @@ p as (select *, whole + (sum(tokens) over (partition by domain, language, origin
 select doc_id, domain as mix_domain, language as mix_language, origin as mix_origin, unnest(range(1, copies::bigint + 1))::int as epoch, tokens::bigint as n_tokens from p
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_secrets, op5_substring_dedup, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_decontamination)}
-SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL}
+
+def _crc32_tables(texts: str, bits: int = 21) -> str:
+    """Tables for the CRC-32 of texts (a query of one column, text) of up to 2**bits / 8 bytes: crc has text and crc.
+
+    The register is linear in the input, so that the sum (xor) of what each set bit becomes on its way is the result.
+    p0 has what a 1 becomes after k steps; each following table twice as many steps, made of the one before.
+    """
+    out = ["p0(k, v) as (select 0, 1::bigint union all select k + 1, xor(v >> 1, (v & 1) * 3988292384::bigint) from p0 where k < 64)"]
+    for j in range(6, bits):
+        old, new = f"p{j - 6}", f"p{j - 5}"
+        out.append(f"{new} as materialized (select * from {old} union all select a.k + {1 << j}, bit_xor(b.v) from {old} a, range(32) r(i) join {old} b on b.k = {1 << j} - i where a.k > 0 and (a.v >> i) & 1 = 1 group by a.k)")
+    last = f"p{bits - 6}"
+    out.append(f"bytes as (select text, string_split(hex(encode(text)), '') as h, strlen(text) as n from ({texts}))")
+    out.append("digits as (select text, n, unnest(h) as c, generate_subscripts(h, 1) - 1 as i from bytes)")
+    out.append("ones as (select text, 8 * (n - i // 2) - (j + 4 * (1 - i % 2)) as k from (select *, instr('0123456789ABCDEF', c) - 1 as d from digits), range(4) r(j) where (d >> j) & 1 = 1 union all select text, 8 * n - j from bytes, range(32) r(j) where n > 0 and 8 * n >= j)")
+    out.append(f"crc as (select b.text, coalesce(o.x, 0) as part, xor(xor(coalesce(o.x, 0), case when n = 0 then 4294967295::bigint when n < 4 then 4294967295::bigint >> (8 * n) & -2 else 0 end), 4294967295::bigint) as crc from bytes b left join (select text, bit_xor(v) as x from ones join {last} using (k) group by text) o using (text))")
+    return ",\n".join(out)
+
+
+def _draw_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15))::bigint"
+
+
+def _field_sql(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+OP12_SQL = f"""
+with recursive {_crc32_tables("select distinct coalesce(text, '') as text from documents")},
+r as (select doc_id, coalesce(text, '') as text, md5({' || '.join(map(_field_sql, ('doc_id', 'text', 'lang', 'source', 'n_chars')))}) as key from documents),
+n as (select *, row_number() over (partition by key) - 1 as nth, count(*) over () as n, sum(strlen(text)) over () as total from r),
+b as (select *, {_draw_sql("'42:bucket'", 'key', 'nth')} % greatest(1, (total + {sharding.BUCKET_BYTES} - 1) // {sharding.BUCKET_BYTES}, (n + {sharding.BUCKET_ROWS} - 1) // {sharding.BUCKET_ROWS}) as bucket from n),
+i as (select *, row_number() over (partition by bucket order by key, nth) - 1 as i from b),
+d as (select bucket, list([i::bigint, ({_draw_sql("'42:order'", 'bucket', 'i')} % (i + 1))::bigint] order by i) as steps from i group by bucket),
+f as (select bucket, list_reduce(steps, lambda a, s: case when s[1] = s[2] then a || [s[1]] else a[1:s[2]] || [s[1]] || a[s[2] + 2:] || [a[s[2] + 1]] end, []::bigint[]) as perm from d),
+o as (select bucket, unnest(perm) as i, generate_subscripts(perm, 1) as pos from f),
+p as (select i.*, row_number() over (order by bucket, pos) - 1 as place from i join o using (bucket, i)),
+s as (select *, place * 16 // n as shard from p)
+select doc_id, strlen(text)::bigint + 1 as size, crc::bigint as text_crc32, 'rows' as law, shard::int as shard, (place - (shard * n + 15) // 16)::bigint as slot, null::int as grown_shard from s join crc using (text)
+"""
+
+
+def _levels_sql(name: str, leaves: str) -> str:
+    """Tables of four levels over leaves (g, p, n, h), for up to 65,536 of a group: runs, the path of each p, the last node."""
+    out = [f"{name}0 as ({leaves})"]
+    for k in range(4):
+        out.append(f"{name}r{k} as (select g, p // 16 as q, list(h order by p) as run, any_value(n) as n from {name}{k} group by all)")
+        out.append(f"{name}{k + 1} as (select g, q as p, (n + 15) // 16 as n, case when n = 1 then run[1] else sha256(array_to_string(run, '')) end as h from {name}r{k})")
+    side = ", ".join(f"case when r{k}.n > 1 then struct_pack(l := array_to_string(r{k}.run[1:(x.p >> {4 * k}) % 16], ''), r := array_to_string(r{k}.run[(x.p >> {4 * k}) % 16 + 2:], '')) end" for k in range(4))
+    joins = " ".join(f"join {name}r{k} r{k} on r{k}.g = x.g and r{k}.q = x.p >> {4 * k + 4}" for k in range(4))
+    out.append(f"{name}paths as (select x.g, x.p, [{side}] as path from {name}0 x {joins})")
+    return ",\n".join(out)
+
+
+def _fold_sql(start: str, path: str) -> str:
+    for k in range(8):
+        s = f"{path}[{k + 1}]"
+        start = f"(select case when {s} is null then h else sha256({s}.l || h || {s}.r) end from (select {start} as h))"
+    return start
+
+
+OP13_SQL = f"""
+with recursive {_crc32_tables("select distinct doc_id::varchar as text from documents where doc_id is not null", 8)},
+d as (select doc_id, coalesce('s' || source, '') as g, sha256({' || '.join(map(_field_sql, ['documents.text' if c == 'text' else c for c in merkle.DOCUMENT]))}) as h,
+  case when crc % 5 = 0 then sha256({' || '.join(map(_field_sql, [*merkle.DOCUMENT[:-1], "translate(documents.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"]))} ) end as other from documents left join crc on crc.text = doc_id::varchar),
+l as (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as p, count(*) over (partition by g) as n from d),
+{_levels_sql('a', 'select g, p, n, h from l')},
+{_levels_sql('b', "select '' as g, row_number() over (order by g) - 1 as p, count(*) over () as n, h from a4")},
+o as (select g, row_number() over (order by g) - 1 as p from a4),
+f as (select l.doc_id, l.h as leaf, coalesce(l.other, l.h) as other, a4.h as subroot, b4.h as root, apaths.path || bpaths.path as path
+  from l join apaths using (g, p) join a4 on a4.g = l.g join o on o.g = l.g join bpaths on bpaths.p = o.p, b4),
+e as (select *, {_fold_sql('f.other', 'f.path')} as folded_root from f)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) as proof_sha256, folded_root, folded_root = root as verified from e
+"""
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_secrets, op5_substring_dedup, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_decontamination, op11_conversations, op12_sharding, op13_merkle)}
+SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op12_sharding": OP12_SQL, "op13_merkle": OP13_SQL}

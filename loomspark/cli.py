@@ -96,7 +96,7 @@ def run(spark: SparkSession, root: str, settings: dict, *, changed: bool = False
     stopped = False
     if provider is not None:
         chunks = written(code.chunks(todo, out.nodes, ranges, max_tokens=settings["ai.maxInputTokensPerChunk"]), "chunks")
-        told = model_review.review(chunks, out.findings, provider, ranges, max_requests=settings["ai.maxRequests"], max_cost=settings["ai.maxEstimatedCostUsd"], max_output_tokens=settings["ai.maxOutputTokens"])
+        told = model_review.review(chunks, out.findings, provider, ranges, model=settings["ai.model"], max_requests=settings["ai.maxRequests"], max_cost=settings["ai.maxEstimatedCostUsd"], max_output_tokens=settings["ai.maxOutputTokens"])
         findings, failures, said = findings.unionByName(told.findings.select(*rules.FINDING)), failures.unionByName(told.failures), told.totals.first().asDict()
         stopped = chunks.where("reason is null").count() > said["reviewed"] + said["failed"]
     elif kept.enabled:

@@ -10,7 +10,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.frontend import conditions
 from loomspark.frontend.nodes import FUNCTIONS, LOOPS
+from loomspark.frontend.spans import enclosing
+from loomspark.plans.store import written
 
 DECISIONS = ("IfStatement", "ConditionalExpression", *LOOPS, "CatchClause")
 NESTING = (*LOOPS, "IfStatement", "SwitchStatement", "TryStatement")
@@ -26,7 +29,20 @@ URL URLSearchParams Headers Request Response FormData Blob File FileReader Abort
 window document self navigator location history screen localStorage sessionStorage alert confirm prompt open close print performance crypto atob btoa requestAnimationFrame cancelAnimationFrame requestIdleCallback
 addEventListener removeEventListener dispatchEvent postMessage getComputedStyle matchMedia scrollTo innerWidth innerHeight name event parent top origin Image Audio Node Element HTMLElement DocumentFragment
 MutationObserver IntersectionObserver ResizeObserver DOMParser IndexedDB indexedDB caches customElements
+scrollX scrollY scroll scrollBy pageXOffset pageYOffset outerWidth outerHeight screenX screenY screenLeft screenTop devicePixelRatio visualViewport frames frameElement length opener closed status focus blur stop find
+moveTo moveBy resizeTo resizeBy getSelection createImageBitmap reportError isSecureContext crossOriginIsolated scheduler trustedTypes speechSynthesis cookieStore navigation menubar toolbar statusbar scrollbars
+personalbar locationbar external clientInformation styleMedia launchQueue sharedStorage documentPictureInPicture showOpenFilePicker showSaveFilePicker showDirectoryPicker queryLocalFonts getScreenDetails
+Option Range Selection Text Comment Attr Document DOMException Lock LockManager Cache CacheStorage Clipboard ClipboardItem Notification Plugin Profiler Highlight HighlightRegistry Iterator
+AsyncDisposableStack DisposableStack SuppressedError Scheduler Subscriber Observable Ink Sanitizer Viewport Origin CloseEvent CloseWatcher ErrorEvent HashChangeEvent PopStateEvent
 """.split()
+# How the interfaces of browsers and of the runtime are named; and handlers of the window.
+INTERFACES = r"""^(?:AbsoluteOrientation|Accelerometer|Ambient|Analyser|Animation|Attribution|Audio|Authenticator|Background|BarProp|Barcode|BaseAudio|Battery|BeforeInstall|BeforeUnload|Biquad|BlobEvent|Bluetooth|Broadcast|Browser
+|ByteLength|CSS|Canvas|Capture|Channel|Character|Clipboard|Close|Composition|Compression|Constant|ContentVisibility|Convolver|Cookie|Count|Credential|Crop|Crypto|Custom|DOM|Data|Decompression|Delay|Delegated|Device|Document|Drag|Dynamics
+|EditContext|Element|Encoded|Event|External|EyeDropper|FeaturePolicy|Federated|Fence|Fetch|File|Focus|Font|Form|Fragment|GPU|Gain|Gamepad|Geolocation|Gravity|Gyroscope|HID|HTML|Hash|Headers|History|IDB|IIR|Identity|Idle|Image|Input|Intersection
+|Keyboard|Keyframe|Largest|Launch|Layout|Linear|Location|MIDI|Magnetometer|Math|Media|Message|Metadata|Mime|Mouse|Mutation|NamedNode|Navigate|Navigation|Navigator|Network|Node|NotRestored|OTP|Offline|Offscreen|Orientation|Oscillator|Overconstrained
+|Page|Paint|Panner|Password|Path2D|Payment|Performance|Periodic|Permission|Picture|Plugin|Pointer|Presentation|Processing|Progress|Promise|Protected|Public|Push|RTC|Radio|Readable|Relative|Remote|Report|Resize|SVG|Screen|Script|Scroll|Security|Sensor
+|Serial|Service|Shadow|Shared|Snap|Source|Speech|Static|Stereo|Storage|Style|Submit|Sync|Task|Text|Time|Toggle|Touch|Track|Transform|Transition|Tree|Trusted|UI|URL|USB|User|VTT|Validity|Video|View|Virtual|Visibility|Visual|WGSL|Wake|Wave|Web|Wheel|Window
+|Worklet|Writable|XML|XPath|XR|XSLT)(?:[A-Z0-9]\w*|Source|List|)$|^on[a-z]{3,}$|^webkit[A-Z]\w*$""".replace("\n", "")
 FINDING = ["source", "rule_id", "severity", "category", "title", "message", "rel_path", "line_start", "column_start", "line_end", "column_end", "suggestion", "fixable"]
 COMPLEXITY_LIMITS = {"lines": 80, "params": 5, "cyclomatic": 10, "nesting": 4}
 REACT_LIMITS = {"component": 200, "effect": 50}
@@ -202,23 +218,28 @@ def _pairs(nodes: DataFrame, parents: DataFrame, a: str, b: str) -> DataFrame:
     return parents.join(kids, ["rel_path", "node_id"])
 
 
-def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame:
+def lint_findings(nodes: DataFrame, rules: list[str] | None = None, known: tuple[str, ...] = ()) -> DataFrame:
     """Findings of the lint rules (all of LINT if none are named).
 
-    no-unreachable sees the statement after one that never completes (jumps, branches, loops
-    without end, switches, try), not single expressions; no-dupe-else-if and no-self-assign compare whole
-    conditions and targets by their trees; no-constant-condition takes literals, functions,
-    objects and arrays for constant. no-invalid-regexp checks structure and flags; no-constant-binary-expression
+    known: names that exist besides GLOBALS and what is named like an interface of a browser (INTERFACES, a rule, so that it lets
+    some names through that no browser has). no-unreachable sees the first of each run of statements after one that never completes (jumps, branches, loops
+    without end, switches, try), not single expressions; no-dupe-else-if compares conditions as sets of conjuncts, no-self-assign patterns three levels
+    deep, both by their trees; no-constant-condition folds conditions from their leaves. no-invalid-regexp checks structure and flags; no-constant-binary-expression
     compares operands by their kind, not their value; no-unmodified-loop-condition skips tests with calls or members; the Hook
     rules follow the enclosing branches, loops and returns of a call, and exhaustive-deps dotted paths.
     """
     made = {}
     n = nodes.where("type <> '#failure'")
+    around = _around(n)
     say = lambda fmt, *c: F.format_string(fmt, *c)
-    unknown = n.where("access is not null and access <> 'd' and binding_id is null and not array_contains(flags, 'typeof')").where(~F.col("name").isin(*GLOBALS))
+    unknown = n.where("access is not null and access <> 'd' and binding_id is null and not array_contains(flags, 'typeof')").where(~F.col("name").isin(*GLOBALS, *known) & ~F.col("name").rlike(INTERFACES))
     made["no-undef"] = unknown, say("'%s' is not defined.", F.col("name"))
     jumps = n.where("array_contains(flags, 'abrupt') and role in ('body', 'consequent') and parent_type in ('BlockStatement', 'Program', 'SwitchCase')").groupBy("rel_path", "parent_id", "role").agg(F.min("idx").alias("jump"))
-    after = n.join(jumps, ["rel_path", "parent_id", "role"]).where("idx = jump + 1 and type <> 'FunctionDeclaration' and not (type = 'VariableDeclaration' and op = 'var')")
+    filled = n.where("role = 'init' and parent_type = 'VariableDeclarator'").select("rel_path", F.col("grand_id").alias("node_id"), F.lit(True).alias("filled")).distinct()
+    after = n.join(jumps, ["rel_path", "parent_id", "role"]).where("idx > jump and type not in ('FunctionDeclaration', 'EmptyStatement')").join(filled, ["rel_path", "node_id"], "left")
+    after = after.where("type <> 'VariableDeclaration' or op <> 'var' or filled")
+    follows = F.lag("idx").over(Window.partitionBy("rel_path", "parent_id", "role").orderBy("idx"))
+    after = after.withColumn("follows", follows).where("follows is null or follows < idx - 1")
     made["no-unreachable"] = after, F.lit("Unreachable code.")
     again = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy("rel_path", *by).orderBy("node_id"))).where("nth > 1")
     keys = n.where("type in ('ObjectProperty', 'ObjectMethod') and parent_type = 'ObjectExpression' and name is not null and not (name = '__proto__' and type = 'ObjectProperty')")
@@ -227,20 +248,24 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame
     made["no-dupe-args"] = again(n.where("access = 'd' and binding_kind = 'param'"), "fn_id", "name").where("fn_id is not null"), say("Duplicate param '%s'.", F.col("name"))
     cases = again(n.where("role = 'test' and parent_type = 'SwitchCase'"), "grand_id", "shape").select("rel_path", F.col("parent_id").alias("node_id"))
     made["no-duplicate-case"] = n.join(cases, ["rel_path", "node_id"]), F.lit("Duplicate case label.")
-    dupes = again(n.where("if_head is not null"), "if_head", "shape")
-    made["no-dupe-else-if"] = dupes, F.lit("This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.")
+    made["no-dupe-else-if"] = n.join(conditions.covered(n, around), ["rel_path", "node_id"], "left_semi"), F.lit("This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.")
     sides = _pairs(n, n.where("type = 'AssignmentExpression' and op = '=' or type = 'BinaryExpression'"), "left", "right")
-    made["no-self-assign"] = sides.where("type = 'AssignmentExpression' and a.shape = b.shape and a.path is not null"), say("'%s' is assigned to itself.", F.col("a.path"))
+    made["no-self-assign"] = _self_assigned(n), say("'%s' is assigned to itself.", F.col("said"))
     compare = sides.where("type = 'BinaryExpression' and op in ('==', '!=', '===', '!==', '<', '>', '<=', '>=')")
     made["no-self-compare"] = compare.where("a.shape = b.shape"), F.lit("Comparing to itself is potentially pointless.")
-    made["use-isnan"] = compare.where("a.path in ('NaN', 'Number.NaN') or b.path in ('NaN', 'Number.NaN')"), F.lit("Use the isNaN function to compare with NaN.")
+    nan = n.where("path in ('NaN', 'Number.NaN') and type in ('Identifier', 'MemberExpression')")
+    # Messages.
+    in_switch = F.when((F.col("role") == "discriminant") & (F.col("parent_type") == "SwitchStatement"), "'switch(NaN)' can never match a case clause. Use Number.isNaN instead of the switch.").when((F.col("role") == "test") & (F.col("parent_type") == "SwitchCase"), "'case NaN' can never match. Use Number.isNaN before the switch.")
+    switched = n.join(nan.select("rel_path", F.col("parent_id").alias("node_id"), in_switch.alias("said")).where("said is not null"), ["rel_path", "node_id"])
+    compared = compare.where("a.path in ('NaN', 'Number.NaN') or b.path in ('NaN', 'Number.NaN')").select(*n.columns, F.lit("Use the isNaN function to compare with NaN.").alias("said"))
+    made["use-isnan"] = compared.unionByName(switched.select(*n.columns, "said")), F.col("said")
     literal = lambda s, o: (F.col(f"{s}.type") == "UnaryExpression") & (F.col(f"{s}.op") == "typeof") & (F.col(f"{o}.type") == "StringLiteral") & ~F.col(f"{o}.value").isin(*TYPEOF)
     made["valid-typeof"] = compare.where("op in ('==', '!=', '===', '!==')").where(literal("a", "b") | literal("b", "a")), F.lit("Invalid typeof comparison value.")
     made["eqeqeq"] = compare.where("op in ('==', '!=')"), say("Expected '%s=' and instead saw '%s'.", F.col("op"), F.col("op"))
     test = (F.col("role") == "test") & F.col("parent_type").isin("IfStatement", "ConditionalExpression", "WhileStatement", "DoWhileStatement", "ForStatement")
-    constant = F.col("type").isin("StringLiteral", "NumericLiteral", "BooleanLiteral", "NullLiteral", "BigIntLiteral", "RegExpLiteral", "ObjectExpression", "ArrayExpression", "ArrowFunctionExpression", "FunctionExpression", "ClassExpression")
     # a loop over the literal true is a usual idiom
-    made["no-constant-condition"] = n.where(test & constant & ~((F.col("value") == "true") & F.col("parent_type").isin("WhileStatement", "DoWhileStatement", "ForStatement") & (F.col("type") == "BooleanLiteral"))), F.lit("Unexpected constant condition.")
+    usual = (F.col("value") == "true") & (F.col("type") == "BooleanLiteral") & F.col("parent_type").isin("WhileStatement", "DoWhileStatement", "ForStatement")
+    made["no-constant-condition"] = n.where(test & ~usual).join(conditions.constant(n, around), ["rel_path", "node_id"], "left_semi"), F.lit("Unexpected constant condition.")
     made["no-cond-assign"] = n.where(test & (F.col("type") == "AssignmentExpression") & ~F.array_contains("flags", "paren")), F.lit("Expected a conditional expression and instead saw an assignment.")
     holes = n.where("type = 'Hole' and parent_type = 'ArrayExpression'").select("rel_path", F.col("parent_id").alias("node_id")).distinct()
     made["no-sparse-arrays"] = n.join(holes, ["rel_path", "node_id"]), F.lit("Unexpected comma in middle of array.")
@@ -253,7 +278,7 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame
     owned = returns.join(owner, ["rel_path", "fn_id"])
     made["no-setter-return"] = owned.where("owner = 'set'"), F.lit("Setter cannot return a value.")
     made["no-constructor-return"] = owned.where("owner = 'constructor'"), F.lit("Unexpected return statement in constructor.")
-    made |= _more_lint(n, sides)
+    made |= _more_lint(n, sides, around)
     made["no-unused-vars"] = _unused(n), F.when(F.col("written"), say("'%s' is assigned a value but never used.", F.col("name"))).otherwise(say("'%s' is defined but never used.", F.col("name")))
     parts = []
     for rule in rules if rules is not None else LINT:
@@ -263,16 +288,40 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None) -> DataFrame
     return union(parts)
 
 
-def _inside(inner: DataFrame, outer: DataFrame, *, how: str = "left_semi") -> DataFrame:
-    """inner joined with the rows of outer (rel_path, o_id, o_last, perhaps o_fn) that enclose its node_id, of the same function where o_fn is given."""
-    within = (F.col("i.rel_path") == F.col("o.rel_path")) & (F.col("o.o_id") < F.col("i.node_id")) & (F.col("i.node_id") <= F.col("o.o_last"))
-    if "o_fn" in outer.columns:
-        within = within & F.col("o.o_fn").eqNullSafe(F.col("i.fn_id"))
-    return inner.alias("i").join(outer.alias("o"), within, how)
-
-
-def _spans(df: DataFrame, *more: Column) -> DataFrame:
-    return df.select("rel_path", F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), *more)
+def _around(n: DataFrame) -> DataFrame:
+    """Stored: the enclosing nodes that the rules ask for (see spans.enclosing)."""
+    role, kind, up = F.col("role"), F.col("type"), F.col("parent_type")
+    marks = {
+        "finals": role == "finalizer", "loops": kind.isin(*LOOPS), "switches": kind == "SwitchStatement", "labels": kind == "LabeledStatement",
+        "branches": role.isin("consequent", "alternate") & up.isin("IfStatement", "ConditionalExpression") | (role == "right") & (up == "LogicalExpression") | (role == "consequent") & (up == "SwitchCase"),
+        "tests": (role == "test") & up.isin("IfStatement", "ConditionalExpression", "WhileStatement", "DoWhileStatement", "ForStatement"),
+        "callbacks": (role == "argument") & (F.col("idx") == 0) & kind.isin("FunctionExpression", "ArrowFunctionExpression"),
+    }
+    return written(enclosing(n, {k: F.coalesce(m, F.lit(False)) for k, m in marks.items()}, ("finals", "loops", "switches", "labels", "branches")), "around")
+
+
+def _self_assigned(n: DataFrame) -> DataFrame:
+    """Targets of assignments (said: their path) that stand at the same place of the assigned value."""
+    held = ["node_id", "type", "path", "shape", "line_start", "col_start", "line_end", "col_end"]
+    side = lambda df, s, *by: df.select("rel_path", *by, *[F.col(c).alias(f"{s}_{c}") for c in held])
+    whole = n.where("type = 'AssignmentExpression' and op in ('=', '&&=', '||=', '??=')").select("rel_path", F.col("node_id").alias("of"))
+    child = lambda role, s: side(n.where((F.col("role") == role) & (F.col("parent_type") == "AssignmentExpression")), s, F.col("parent_id").alias("of"))
+    pairs = whole.join(child("left", "a"), ["rel_path", "of"]).join(child("right", "b"), ["rel_path", "of"]).drop("of")
+    # elements by their place, properties by their name; behind a spread places and names are open
+    spread = n.where("type = 'SpreadElement'").groupBy("rel_path", F.col("parent_id").alias("up")).agg(F.min("idx").alias("first_spread"), F.max("node_id").alias("last_spread"))
+    element = n.where("role = 'element' and parent_type in ('ArrayPattern', 'ArrayExpression')").select("*", F.concat(F.lit("#"), F.col("idx").cast("string")).alias("place"), F.col("parent_id").alias("up"), F.col("idx").alias("nth"))
+    names = n.where("type = 'ObjectProperty' and name is not null and not array_contains(flags, 'computed')").select("rel_path", F.col("node_id").alias("parent_id"), F.concat(F.lit("."), "name").alias("place"), F.col("parent_id").alias("up"))
+    value = n.where("role = 'value' and parent_type = 'ObjectProperty'").join(names, ["rel_path", "parent_id"]).withColumn("nth", F.lit(-1))
+    inner = element.unionByName(value.select(element.columns)).join(spread, ["rel_path", "up"], "left").where("nth < 0 and (last_spread is null or node_id > last_spread) or nth >= 0 and (first_spread is null or nth < first_spread)")
+    out = pairs
+    for _ in range(3):
+        left = side(inner, "x", F.col("up").alias("a_node_id"), "place")
+        right = side(inner, "y", F.col("up").alias("b_node_id"), "place")
+        fits = pairs.where("a_type = 'ArrayPattern' and b_type = 'ArrayExpression' or a_type = 'ObjectPattern' and b_type = 'ObjectExpression'").select("rel_path", "a_node_id", "b_node_id")
+        pairs = fits.join(left, ["rel_path", "a_node_id"]).join(right, ["rel_path", "b_node_id", "place"])
+        pairs = pairs.select("rel_path", *[F.col(f"{x}_{c}").alias(f"{s}_{c}") for s, x in (("a", "x"), ("b", "y")) for c in held])
+        out = out.unionByName(pairs)
+    return out.where("a_shape = b_shape and a_path is not null").select("rel_path", F.col("a_path").alias("said"), *[F.col(f"b_{c}").alias(c) for c in ("line_start", "col_start", "line_end", "col_end")])
 
 
 def _flag(prefix: str) -> Column:
@@ -280,19 +329,16 @@ def _flag(prefix: str) -> Column:
     return F.get(F.transform(F.filter("flags", lambda f: f.startswith(prefix)), lambda f: F.substring(f, len(prefix) + 1, 1_000_000)), F.lit(0))
 
 
-def _more_lint(n: DataFrame, sides: DataFrame) -> dict[str, tuple[DataFrame, Column]]:
+def _more_lint(n: DataFrame, sides: DataFrame, around: DataFrame) -> dict[str, tuple[DataFrame, Column]]:
     """Rules on jumps, literals, constant operands and loop conditions, and the Hook rules: what is reported and how."""
     made = {}
-    fn = F.col("fn_id").alias("o_fn")
     # a jump that leaves a finally block: of its own function, and not to a loop, switch or label inside the block
-    jumps = n.where("type in ('ReturnStatement', 'ThrowStatement', 'BreakStatement', 'ContinueStatement')")
-    finals = _spans(n.where("role = 'finalizer'"), fn)
-    kept = jumps.where("type in ('BreakStatement', 'ContinueStatement')").select("rel_path", "node_id", "fn_id", "type", F.col("name").alias("label"))
-    taker = n.where(F.col("type").isin(*LOOPS, "SwitchStatement", "LabeledStatement"))
-    taker = _inside(taker.select("rel_path", "node_id", "last_id", "fn_id", "type", "name"), finals).select("rel_path", F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), F.col("fn_id").alias("o_fn"), F.col("type").alias("o_type"), F.col("name").alias("o_name"))
-    taken = _inside(kept, taker, how="inner").where(F.when(F.col("label").isNotNull(), (F.col("o_type") == "LabeledStatement") & (F.col("o_name") == F.col("label"))).when(F.col("type") == "BreakStatement", F.col("o_type") != "LabeledStatement").otherwise(F.col("o_type").isin(*LOOPS)))
-    taken = taken.select("i.rel_path", "i.node_id").distinct()
-    made["no-unsafe-finally"] = _inside(jumps, finals).join(taken, ["rel_path", "node_id"], "left_anti"), F.format_string("Unsafe usage of %s.", F.col("type"))
+    jumps = n.where("type in ('ReturnStatement', 'ThrowStatement', 'BreakStatement', 'ContinueStatement')").join(around.where(F.size("finals") > 0).select("rel_path", "node_id", "finals", "loops", "switches", "labels"), ["rel_path", "node_id"])
+    beyond = lambda c: F.filter(c, lambda x: x > F.element_at("finals", -1))
+    stays = F.col("name").isNull() & (F.col("type").isin("BreakStatement", "ContinueStatement") & (F.size(beyond("loops")) > 0) | (F.col("type") == "BreakStatement") & (F.size(beyond("switches")) > 0))
+    label = n.where("type = 'LabeledStatement'").select("rel_path", F.col("node_id").alias("label_id"), "name")
+    named = jumps.where("name is not null").select("rel_path", "node_id", "name", F.explode(beyond("labels")).alias("label_id")).join(label, ["rel_path", "label_id", "name"])
+    made["no-unsafe-finally"] = jumps.where(~stays).join(named.select("rel_path", "node_id"), ["rel_path", "node_id"], "left_anti"), F.format_string("Unsafe usage of %s.", F.col("type"))
     tests = n.where("role = 'test' and parent_type = 'SwitchCase'").select("rel_path", F.col("parent_id").alias("node_id"), F.lit(True).alias("has_test"))
     made["no-fallthrough"] = n.where("type = 'SwitchCase' and array_contains(flags, 'fallen-into')").join(tests, ["rel_path", "node_id"], "left"), F.concat(F.lit("Expected a 'break' statement before '"), F.when(F.col("has_test"), "case").otherwise("default"), F.lit("'."))
     said = lambda prefix: n.withColumn("said", _flag(prefix)).where("said is not null")
@@ -301,9 +347,9 @@ def _more_lint(n: DataFrame, sides: DataFrame) -> dict[str, tuple[DataFrame, Col
     made["no-unexpected-multiline"] = said("newline:"), F.concat(F.lit("Unexpected newline "), "said", F.lit("."))
     made["no-loss-of-precision"] = n.where("array_contains(flags, 'imprecise')"), F.lit("This number literal will lose precision at runtime.")
     made["no-constant-binary-expression"] = _constant_operands(n, sides)
-    made["no-unmodified-loop-condition"] = _unmodified(n), F.format_string("'%s' is not modified in this loop.", F.col("name"))
-    made["react-hooks/rules-of-hooks"] = _hook_calls(n)
-    made["react-hooks/exhaustive-deps"] = _hook_dependencies(n)
+    made["no-unmodified-loop-condition"] = _unmodified(n, around), F.format_string("'%s' is not modified in this loop.", F.col("name"))
+    made["react-hooks/rules-of-hooks"] = _hook_calls(n, around)
+    made["react-hooks/exhaustive-deps"] = _hook_dependencies(n, around)
     return made
 
 
@@ -329,12 +375,11 @@ def _constant_operands(n: DataFrame, sides: DataFrame) -> tuple[DataFrame, Colum
     return left.unionByName(compared), F.col("said")
 
 
-def _unmodified(n: DataFrame) -> DataFrame:
+def _unmodified(n: DataFrame, around: DataFrame) -> DataFrame:
     """Names in the tests of while, do and for loops that nothing in the loop writes, nor a function that the loop calls; one written operand of a comparison clears the others."""
     loops = n.where("type in ('WhileStatement', 'DoWhileStatement', 'ForStatement')").select("rel_path", F.col("node_id").alias("loop"), F.col("last_id").alias("loop_last"))
-    tests = n.where("role = 'test' and parent_type in ('WhileStatement', 'DoWhileStatement', 'ForStatement')").select("rel_path", F.col("node_id").alias("t"), F.col("last_id").alias("t_last"), F.col("parent_id").alias("loop"))
-    inside = lambda df, a, z: (F.col("node_id") >= F.col(a)) & (F.col("node_id") <= F.col(z))
-    parts = n.select("rel_path", "node_id", "type", "name", "access", "binding_id", "parent_id", "parent_type").join(tests, "rel_path").where(inside(n, "t", "t_last"))
+    tests = n.where("role = 'test' and parent_type in ('WhileStatement', 'DoWhileStatement', 'ForStatement')").select("rel_path", F.col("node_id").alias("t"), F.col("parent_id").alias("loop"))
+    parts = n.select("rel_path", "node_id", "type", "name", "access", "binding_id", "parent_id", "parent_type").join(around.select("rel_path", "node_id", F.explode("tests").alias("t")), ["rel_path", "node_id"]).join(tests, ["rel_path", "t"])
     live = parts.where(F.col("type").isin("CallExpression", "NewExpression", "MemberExpression", "OptionalMemberExpression", "OptionalCallExpression", "TaggedTemplateExpression", "YieldExpression", "AwaitExpression", "UpdateExpression", "AssignmentExpression")).select("rel_path", "t").distinct()
     names = parts.where("access = 'r' and binding_id is not null").join(live, ["rel_path", "t"], "left_anti").join(loops, ["rel_path", "loop"])
     names = names.withColumn("held", F.when(F.col("parent_type") == "BinaryExpression", F.col("parent_id")).otherwise(F.col("node_id")))
@@ -349,23 +394,19 @@ def _unmodified(n: DataFrame) -> DataFrame:
     return n.join(hit, ["rel_path", "node_id"], "left_semi")
 
 
-def _hook_calls(n: DataFrame) -> tuple[DataFrame, Column]:
+def _hook_calls(n: DataFrame, around: DataFrame) -> tuple[DataFrame, Column]:
     calls = n.where("type = 'CallExpression'").where(F.col("path").rlike(r"^(?:[A-Z]\w*\.)?(?:use[A-Z0-9]\w*|use)$"))
     callee = n.where("role = 'callee' and parent_type = 'CallExpression'").select("rel_path", F.col("parent_id").alias("node_id"), *[F.col(c).alias(f"c_{c}") for c in ("line_start", "col_start", "line_end", "col_end")])
     calls = calls.select("rel_path", "node_id", "fn_id", "class_id", "path").join(callee, ["rel_path", "node_id"])
     owner = n.where(F.col("type").isin(*FUNCTIONS)).select("rel_path", F.col("node_id").alias("fn_id"), F.col("label").alias("fn_name"), F.col("role").alias("fn_role"), F.array_contains("flags", "async").alias("fn_async"), F.col("type").alias("fn_type"), F.col("parent_type").alias("fn_parent"), F.col("parent_id").alias("fn_up"))
     wraps = n.where("type = 'CallExpression' and path in ('memo', 'React.memo', 'forwardRef', 'React.forwardRef')").select("rel_path", F.col("node_id").alias("fn_up"), F.lit(True).alias("wrapped"))
     calls = calls.join(owner.join(wraps, ["rel_path", "fn_up"], "left"), ["rel_path", "fn_id"], "left")
-    around = lambda df, name: _inside(calls, _spans(df, F.col("fn_id").alias("o_fn")), how="inner").select("i.rel_path", "i.node_id", F.lit(True).alias(name)).distinct()
-    branch = n.where("role in ('consequent', 'alternate') and parent_type in ('IfStatement', 'ConditionalExpression') or role = 'right' and parent_type = 'LogicalExpression' or role = 'consequent' and parent_type = 'SwitchCase'")
-    # a branch or loop part may be the call itself
-    own = branch.where("type = 'CallExpression'").select("rel_path", "node_id", F.lit(True).alias("branched"))
-    branched = around(branch, "branched").unionByName(own).distinct()
-    looped = around(n.where(F.col("type").isin(*LOOPS)), "looped")
+    # a branch may be the call itself
+    calls = calls.join(around.select("rel_path", "node_id", (F.size("branches") > 0).alias("branched"), (F.size("loops") > 0).alias("looped")), ["rel_path", "node_id"], "left")
     returns = n.where("type = 'ReturnStatement' and fn_id is not null and parent_type <> 'ArrowFunctionExpression'")
     bodies = n.where(F.col("parent_type").isin(*FUNCTIONS) & (F.col("role") == "body")).select("rel_path", F.col("node_id").alias("parent_id"), F.lit(True).alias("top"))
     early = returns.join(bodies, ["rel_path", "parent_id"], "left").where("top is null").groupBy("rel_path", "fn_id").agg(F.min("node_id").alias("return_id"))
-    calls = calls.join(branched, ["rel_path", "node_id"], "left").join(looped, ["rel_path", "node_id"], "left").join(early, ["rel_path", "fn_id"], "left")
+    calls = calls.join(early, ["rel_path", "fn_id"], "left")
     hook, name = F.concat(F.lit('React Hook "'), F.col("path"), F.lit('" ')), F.col("fn_name")
     must = "React Hooks must be called in a React function component or a custom React Hook function."
     order = "React Hooks must be called in the exact same order in every component render."
@@ -383,7 +424,7 @@ def _hook_calls(n: DataFrame) -> tuple[DataFrame, Column]:
     return out.select("rel_path", "said", *[F.col(f"c_{c}").alias(c) for c in ("line_start", "col_start", "line_end", "col_end")]), F.col("said")
 
 
-def _hook_dependencies(n: DataFrame) -> tuple[DataFrame, Column]:
+def _hook_dependencies(n: DataFrame, around: DataFrame) -> tuple[DataFrame, Column]:
     """For each Hook with a callback and a list of dependencies written in place: outer names that the callback reads and the list lacks."""
     hooks = n.where("type = 'CallExpression'").where(F.col("path").rlike(r"^(?:React\.)?use(?:Effect|LayoutEffect|InsertionEffect|Callback|Memo)$"))
     hooks = hooks.select("rel_path", F.col("node_id").alias("hook"), F.regexp_replace("path", "^React[.]", "").alias("hook_name"), F.col("fn_id").alias("hook_fn"))
@@ -402,10 +443,10 @@ def _hook_dependencies(n: DataFrame) -> tuple[DataFrame, Column]:
     stable = element.select("rel_path", "binding_id").unionByName(refs.select("rel_path", "binding_id")).unionByName(whole.join(const, ["rel_path", "declaration"], "left_semi").join(plain, ["rel_path", "declarator"], "left_semi").select("rel_path", "binding_id")).distinct()
     bound = n.where("access = 'd'").select("rel_path", F.col("node_id").alias("binding_id"), F.col("fn_id").alias("bound_fn"), F.col("binding_kind").alias("kind"), F.col("role").alias("bound_role"), F.col("parent_id").alias("bound_parent")).where("kind <> 'import'")
     # a function's own name belongs to the function around it
-    around = n.where(F.col("type").isin(*FUNCTIONS)).select("rel_path", F.col("node_id").alias("bound_parent"), F.col("fn_id").alias("outer_fn"))
-    bound = bound.join(around, ["rel_path", "bound_parent"], "left").withColumn("bound_fn", F.when((F.col("kind") == "function") & (F.col("bound_role") == "id"), F.col("outer_fn")).otherwise(F.col("bound_fn")))
+    outer = n.where(F.col("type").isin(*FUNCTIONS)).select("rel_path", F.col("node_id").alias("bound_parent"), F.col("fn_id").alias("outer_fn"))
+    bound = bound.join(outer, ["rel_path", "bound_parent"], "left").withColumn("bound_fn", F.when((F.col("kind") == "function") & (F.col("bound_role") == "id"), F.col("outer_fn")).otherwise(F.col("bound_fn")))
     reads = n.where("access in ('r', 'rw') and binding_id is not null").select("rel_path", "node_id", "name", "binding_id", "chain_id")
-    used = reads.join(hooks.select("rel_path", "hook", "hook_fn", "cb", "cb_last"), "rel_path").where("node_id between cb and cb_last").join(bound, ["rel_path", "binding_id"]).where("bound_fn is not null and (bound_fn <= hook_fn) and not (binding_id between cb and cb_last)")
+    used = reads.join(around.select("rel_path", "node_id", F.explode("callbacks").alias("cb")), ["rel_path", "node_id"]).join(hooks.select("rel_path", "hook", "hook_fn", "cb", "cb_last"), ["rel_path", "cb"]).join(bound, ["rel_path", "binding_id"]).where("bound_fn is not null and (bound_fn <= hook_fn) and not (binding_id between cb and cb_last)")
     used = used.join(stable, ["rel_path", "binding_id"], "left_anti")
     chain = n.select("rel_path", F.col("node_id").alias("chain_id"), F.col("path").alias("chain_path"), F.col("role").alias("chain_role"), F.col("type").alias("chain_type"))
     used = used.join(chain, ["rel_path", "chain_id"], "left")

@@ -7,8 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.operators.cycles import strong_components
 from loomspark.plans.store import written
 
+#: Tables of a search that are merged into one, so that plans stay as short in its late rounds as in its early ones.
+MERGED = 6
+
 
 def reverse_dependents(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_set("src")), lambda x: x.cast("string")), ",").alias("dependents"))
@@ -34,27 +38,17 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     while not rounds[-1].isEmpty():
         front = rounds[-1]
         step = front.join(e, front["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        for seen in rounds:  # each round is written once and read as it is
+        for seen in rounds:
             step = step.join(seen, ["start", "node"], "left_anti")
+        if len(rounds) == MERGED:
+            rounds = [written(reduce(DataFrame.unionByName, rounds), "seen")]
         rounds.append(written(step, "front"))
     return reduce(DataFrame.unionByName, rounds)
 
 
-def trimmed(edges: DataFrame) -> DataFrame:
-    """The edges that remain once nodes without predecessors or without successors are taken away, again and again: those on cycles and between them."""
-    e = written(edges.select("src", "dst").distinct(), "edges")
-    n = e.count()
-    while n:
-        e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
-        if (left := e.count()) == n:
-            break
-        n = left
-    return e
-
-
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle: only what trimming leaves is searched."""
-    return closure(trimmed(edges)).where("start = node").select(F.col("start").alias("node"))
+    """Nodes on a cycle: those of strongly connected components."""
+    return strong_components(edges).select("node")
 
 
 def exclusive(edges: DataFrame, moved: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
+from loomspark.operators import cycles as C
 from loomspark.operators import findings as O
 from loomspark.operators import graph as G
 from loomspark.operators import intervals as I
@@ -246,6 +247,28 @@ def cycle_nodes(spark, d):
     return G.on_cycles(_edges(spark, d))
 
 
+RINGS = """o as (select o_orderkey as node, o_custkey as cust, o_orderstatus = 'F' as back, row_number() over w as pos, count(*) over (partition by o_custkey) as n, min(o_orderkey) over (partition by o_custkey) as first from orders window w as (partition by o_custkey order by o_orderkey))"""
+
+
+def _rings(spark, d):
+    """Each order points to the customer's next one, the last to the first; finished orders point to the first as well. Each also points to its customer, and that one nowhere."""
+    by = Window.partitionBy("o_custkey")
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("src"), (-F.col("o_custkey")).alias("cust"), (F.col("o_orderstatus") == "F").alias("back"), F.lead("o_orderkey").over(by.orderBy("o_orderkey")).alias("next"), F.min("o_orderkey").over(by).alias("first"))
+    more = F.array_compact(F.array(F.coalesce("next", "first"), "cust", F.when(F.col("back"), F.col("first"))))
+    return o.select("src", F.explode(more).alias("dst"))
+
+
+@query(f"with {RINGS} select node, first as component from o")
+def strong_components(spark, d):
+    return C.strong_components(_rings(spark, d))
+
+
+@query(f"with {RINGS}, s as (select cust, coalesce(min(pos) filter (back), max(pos)) as stop, min(node) as first from o group by 1) select first as component, pos - 1 as step, node from o join s using (cust, first) where pos <= stop union all select first, stop, first from s")
+def cycle_walks(spark, d):
+    return C.cycle_walks(_rings(spark, d))
+
+
+
 @query(r"""with t as (select doc_id, coalesce(text, '') || case doc_id % 5 when 0 then ' key=abc.12-' || doc_id when 1 then ' Authorization: BEARER  a.b-c_' || doc_id when 2 then ' sk-' || repeat('aB3_-', 4) when 3 then ' gsk_' || repeat('x9', 10) else ' sk-short api_key: none' end as text from documents)
 select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'sk-[a-zA-Z0-9_-]{20,}', '[REDACTED_API_KEY]', 'g'), 'gsk_[a-zA-Z0-9_-]{20,}', '[REDACTED_API_KEY]', 'g'), '(?i)bearer\s+[a-zA-Z0-9_\-.]+', '[REDACTED_API_KEY]', 'g'), '(?i)key=[a-zA-Z0-9_\-.]+', '[REDACTED_API_KEY]', 'g')) as redacted from t""")
 def redact_secrets(spark, d):

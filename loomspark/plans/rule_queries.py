@@ -63,6 +63,30 @@ SCRIPTS: list[tuple[str, str, str | None, int]] = [
     ("function App() { useEffect(async () => { a(@) }); return <a/> }", "react/async-effect-callback", "The useEffect callback is async and therefore returns a Promise instead of an effect cleanup function.", 1),
     ("const App = () => <ul>{a.map((x, i_@) => <li key={i_@}/>)}</ul>", "react/array-index-key", "Array index 'i_@' is used as a React key.", 1),
     ("const App = () => <ul>{a.map((x, i_@) => <li key={x.id}/>)}</ul>", "react/array-index-key", None, 0),
+    ("new ResizeObserverEntry(MediaQueryList, CSSStyleSheet, scrollY, BroadcastChannel, ReadableStream, DOMRect, onresize, @)", "no-undef", None, 0),
+    ("function f() { return; function g() {}\n ; var v\n x_@() }", "no-unreachable", "Unreachable code.", 3),
+    ("function f() { return a_@; function g() {} var v }", "no-unreachable", None, 0),
+    ("if (a || b_@) {}\n else if (a) {}", "no-dupe-else-if", "This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.", 2),
+    ("if (a) {}\n else if (a && b_@) {}", "no-dupe-else-if", "This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.", 2),
+    ("if (a) {} else if (a || b_@) {}", "no-dupe-else-if", None, 0),
+    ("if (a && b_@) {} else if (c) {}\n else if (d && b_@ && a) {}", "no-dupe-else-if", "This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.", 2),
+    ("if (a) {} else if (b_@) {}\n else if (c && (a || b_@)) {}", "no-dupe-else-if", "This branch can never execute. Its condition is a duplicate or covered by previous conditions in the if-else-if chain.", 2),
+    ("if (a && b_@) {} else if (a || b_@) {}", "no-dupe-else-if", None, 0),
+    ("[a, b_@] = [b_@, b_@]", "no-self-assign", "'b_@' is assigned to itself.", 1),
+    ("[a, b_@] = [b_@, a]", "no-self-assign", None, 0),
+    ("({ k: [c.d_@] } = { ...e,\n k: [c.d_@] })", "no-self-assign", "'c.d_@' is assigned to itself.", 2),
+    ("if (!@) {}", "no-constant-condition", "Unexpected constant condition.", 1),
+    ("a = `x@` ? b : c", "no-constant-condition", "Unexpected constant condition.", 1),
+    ("if (a_@ || true) {}", "no-constant-condition", "Unexpected constant condition.", 1),
+    ("if (a_@ && @) {}", "no-constant-condition", None, 0),
+    ("do { a(@) }\n while (typeof b_@)", "no-constant-condition", "Unexpected constant condition.", 2),
+    ("if (!(a_@ && false)) {}", "no-constant-condition", "Unexpected constant condition.", 1),
+    ("if (a_@ || false || [b] === @) {}", "no-constant-condition", None, 0),
+    ("if ((a, b_@ = -@)) {}", "no-constant-condition", "Unexpected constant condition.", 1),
+    ("switch (a) { case @: break;\n case NaN: b() }", "use-isnan", "'case NaN' can never match. Use Number.isNaN before the switch.", 2),
+    ("switch (NaN) { case @: b() }", "use-isnan", "'switch(NaN)' can never match a case clause. Use Number.isNaN instead of the switch.", 1),
+    ("function f() { try { a(@) } finally { x: for (;;) { while (b) { break x } } } }", "no-unsafe-finally", None, 0),
+    ("function f() { x: for (;;) { try { a(@) } finally {\n break x } } }", "no-unsafe-finally", "Unsafe usage of BreakStatement.", 2),
 ]
 
 

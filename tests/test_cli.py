@@ -82,6 +82,16 @@ def test_model(spark, tmp_path):
     assert not (tmp_path / ".loom-cache").exists()
 
 
+def test_model_stops_on_cost(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.js").write_text("export const b = 1;\n")
+    (tmp_path / "b.js").write_text("export const c = 2;\n")
+    monkeypatch.setattr(cli.model_review, "provider", lambda *a, **k: Fake())
+    for limit, code, asked in (("0.0025", 2, 1), ("1", 1, 2)):
+        assert cli.main(["review", str(tmp_path), "--ai", "--max-ai-cost", limit, "--json"], spark) == code
+        said = json.loads(capsys.readouterr().out)["summary"]["ai"]
+        assert (said["reviewed"], said["stopped_by_budget"]) == (asked, code == 2) and said["cost"] > 0
+
+
 def test_small_commands(tmp_path, capsys, monkeypatch):
     assert cli.main(["init", str(tmp_path)]) == 0 and (tmp_path / cli.SETTINGS).is_file()
     assert cli.main(["init", str(tmp_path)]) == 0 and "already" in capsys.readouterr().out

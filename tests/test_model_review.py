@@ -43,7 +43,12 @@ def test_review(spark, chunks, static):
     rows = got.findings.collect()
     assert [(r.rel_path, r.line_start, r.rule_id, r.source, r.message) for r in rows] == [("a.js", 1, "ai/null-deref", "ai", "breaks"), ("a.js", 11, "ai/null-deref", "ai", "breaks")]
     assert [tuple(r) for r in got.failures.collect()] == [("b.js", "ai", 1, 1, "no answer")]
-    assert got.totals.first().asDict() == {"created": 4, "reviewed": 2, "skipped": 1, "failed": 1, "input_tokens": 20, "output_tokens": 4}
+    assert got.totals.first().asDict() == {"created": 4, "reviewed": 2, "skipped": 1, "failed": 1, "input_tokens": 20, "output_tokens": 4, "cost": 0.000024}
+
+
+def test_prices_of_models(spark, chunks, static):
+    for model, limit, reviewed in (("gpt-5.6-luna", 0.003, 1), ("gpt-5.6-luna", 0.0, 0), ("unpriced", 0.0, 2)):
+        assert M.review(chunks, static, Fake(), model=model, max_cost=limit).totals.first().reviewed == reviewed
 
 
 def test_changed_lines(spark, chunks, static):

@@ -1,8 +1,9 @@
 """Strongly connected components of edges (src, dst), and a closed walk through each, without the closure of pairs.
 
 Labels spread along edges and jump: the label of a node is a node that reaches it, so that node's own label
-reaches it too. Each round joins labels with the edges once and with themselves once; chains
-and rings need rounds in the logarithm of their length. Tables between rounds are written, so plans stay short.
+reaches it too. Each round joins labels with the edges once and with themselves once, so labels run through chains
+and rings in rounds in the logarithm of their length. Labels are ordered by a hash, which cuts what is not on a cycle into
+pieces of random size: a chain is gone after a logarithmic number of cuts. Tables between rounds are written, so plans stay short.
 """
 
 from __future__ import annotations
@@ -12,50 +13,57 @@ from pyspark.sql import functions as F
 
 from loomspark.plans.store import written
 
-#: Rounds in which nodes without predecessors or successors are taken away before labels spread.
-TRIMS = 2
+#: Nodes without predecessors or successors are taken away, again and again, while that removes at least this share of the edges.
+TRIM_SHARE = 0.1
 
 
 def least_reaching(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node from which a node is reached, itself included."""
+    """(node, label): of the nodes from which a node is reached, itself included, the first in the order of their hashes; label has its hash and the node."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    labels = written(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node")).alias("label")), "labels")
     while True:
         heard = labels.join(edges, labels["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("heard"))
         told = written(labels.join(heard, "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"), F.col("label").alias("old")), "told")
-        # labels that have a smaller one themselves; roots have none, so a label that all share is not looked up
-        moved = told.where("label < node").select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = written(told.join(moved, "label", "left").select("node", F.coalesce("further", "label").alias("label"), "old"), "labels")
+        # labels of nodes that carry another one themselves; roots have their own, so a label that all share is not looked up
+        moved = told.where(F.col("label.node") != F.col("node")).select(F.col("node").alias("at"), F.col("label").alias("further"))
+        labels = written(told.join(moved, F.col("label.node") == F.col("at"), "left").select("node", F.coalesce("further", "label").alias("label"), "old"), "labels")
         if labels.where("label < old").isEmpty():
             return labels.select("node", "label")
 
 
 def _core(edges: DataFrame) -> DataFrame:
-    """edges, of which those that cannot be on a cycle because one end has no way on are left out."""
-    for _ in range(TRIMS):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    return written(edges, "core")
+    """edges without those that cannot be on a cycle because one end has no way on, as far as that takes many away."""
+    edges = written(edges, "core")
+    n = edges.count()
+    while n:
+        less = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        edges, before = written(less, "core"), n
+        n = edges.count()
+        if before - n < TRIM_SHARE * before:
+            break
+    return edges
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on cycles; a component is named by its least node. Null ends are left out, repeated edges count once.
 
-    Each round labels nodes forward; a label and the nodes that carry it and lead back to it (labels along turned edges,
-    within the label) are a component. Edges between other nodes of one label go on to the next round.
+    Each round labels nodes along the edges, and against them within a label. A node with itself as a label and the nodes
+    that have it as both labels are a component; nodes that differ in a label are in different ones, so only edges
+    between other nodes of equal labels go on to the next round.
     """
     e = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "edges")
     found = e.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     live = _core(e.where("src <> dst"))
+    same = lambda es, labels: es.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
     while not live.isEmpty():
         ahead = least_reaching(live)
-        of = lambda end: ahead.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
-        inner = written(live.join(of("src"), "src").join(of("dst"), "dst").where("src_label = dst_label").select("src", "dst"), "inner")
+        inner = written(same(live, ahead).select("src", "dst"), "inner")
         back = least_reaching(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        whole = written(ahead.join(back, ["node", "label"]).select("node", F.col("label").alias("component")), "components")
-        wide = whole.groupBy("component").count().where("count > 1")
-        found = found.unionByName(whole.join(wide, "component", "left_semi").select("node", "component"))
+        whole = written(ahead.join(back, ["node", "label"]).select("node", "label"), "components")
+        named = whole.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(whole.join(named, "label").select("node", "component"))
         done = whole.select(F.col("node").alias("src"))
-        live = _core(inner.join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti"))
+        live = _core(same(inner, back).select("src", "dst").join(done, "src", "left_anti").join(done.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"))
     return written(found.groupBy("node").agg(F.min("component").alias("component")), "found")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontamination, jaccard, lines, mixing, quality
-from loomspark.llm._store import documents, made, remove, stored
+from loomspark.llm._split import free_name
+from loomspark.llm._store import documents, scope, stored
 from loomspark.llm.queries import tree
 
 
@@ -49,7 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents of which no benchmark item has half of its words covered by greedy tiles.
 
     Each row is judged by its own whole text; repeated rows and null doc_ids like others; null and empty texts stay, as
-    does everything if the benchmark is empty. Null and empty items, and items of under three words, match nothing.
+    does everything if the benchmark is empty. Null and empty items match nothing; items of one or two words count as whole lines or whole texts.
     """
     return decontamination.drop_contaminated(docs, documents(spark, sf_dir, "benchmark"))
 
@@ -61,8 +62,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and leaf stand or fall together; null and empty texts have no tokens and are never chosen. A document longer than what its
     leaf has left ends its prefix.
     """
-    out = mixing.mix(docs, tree())
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[c for c in ("epoch", "n_tokens") if c not in docs.columns])
+    names = docs.columns
+    clash = [c for c in names if c.lower() in ("epoch", "n_tokens") or c.lower().startswith("mix_")]
+    for c in clash:  # the operator replaces columns of its own names
+        docs = docs.withColumnRenamed(c, free_name(docs, f"own_{c}"))
+    held, out = docs.columns, mixing.mix(docs, tree())
+    own = [F.col(f"`{h}`").alias(c) for h, c in zip(held, names, strict=True)]
+    free = lambda name: next(n for n in (name, *(f"{'_' * k}{name}" for k in range(1, 1 + len(names)))) if n not in {c.lower() for c in names})
+    return out.select(*own, *[F.col(c).alias(free(c)) for c in ("epoch", "n_tokens")])
 
 
 STAGES = [("quality", good_quality), ("line dedup", without_repeated_lines), ("near copies", without_near_copies), ("decontamination", without_benchmark), ("mixing", mixed)]
@@ -71,9 +78,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage wrote is removed once the next one has read it."""
-    docs, begun = documents(spark, sf_dir), made()
+    """All stages over documents. Each runs in a scope of its own, so its step tables go when it ends or fails, and its input once the next stage has read it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-        remove(spark, begun, made() - 1)
+        with scope(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+            result = made.pop()
+            made += [before] if before else []
+        before = result
     return docs

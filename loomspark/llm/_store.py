@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_made: list[str] = []
+#: Paths that stored() wrote in the innermost scope() of this thread; none outside of one.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,21 +38,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def made() -> int:
-    """How many tables stored() has written and remove() has not removed."""
-    return len(_made)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths that stored() writes inside; those still in the list at the end, also of a run that fails, are deleted.
 
-
-def remove(spark: SparkSession, first: int, stop: int) -> None:
-    """Deletes the tables that stored() wrote from number first to stop; nothing may read them any more."""
-    for path in _made[first:stop]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _made[first:stop]
+    Scopes of other threads, and those around this one, have lists of their own. What is to stay is taken out of the list.
+    """
+    own: list[str] = []
+    token = _made.set(own)
+    try:
+        yield own
+    finally:
+        _made.reset(token)
+        for path in own:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from loomspark.llm._split import HEAVY, bit_table, column, filtered, free_name, maybe
 from loomspark.llm._store import stored
-from loomspark.llm._text import _W, FOLDED, blocks, longs, mix, split
+from loomspark.llm._text import _W, FOLDED, Words, blocks, longs, mix, split
 
 #: Benchmarks of up to so many bytes of text go to every worker; larger ones are joined by their seeds.
 BROADCAST_BYTES = 16 << 20
 #: Rows of heavy seeds, and keys of contaminated texts, that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Items of fewer words than this match nothing: they are part of ordinary prose.
-LEAST_WORDS = 3
+#: Items of fewer words than this are part of ordinary prose: they count only where they are a whole line or a whole text.
+LEAST_INSIDE = 3
 _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -137,7 +137,7 @@ class Items:
                 w = split(block.column("text"), FOLDED)
                 for i, (name, text) in enumerate(zip(block.column("item_id").to_pylist(), block.column("text").to_pylist(), strict=True)):
                     own = w.hash[w.first[i] : w.first[i + 1]]
-                    if len(own) >= LEAST_WORDS:
+                    if len(own):
                         ids.append(name)
                         words.append(own.copy())
                         texts.append(text.encode("utf-8", "surrogatepass").lower())
@@ -196,7 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, share
 
     benchmark has item_id and text. Words are lower-cased in A-Z. An item counts
     where marked words are at least share of its words; items shorter than seed words
-    must stand as a whole; those of under LEAST_WORDS words, empty or null ones
+    must stand as a whole, those of under LEAST_INSIDE words as all words of a line (up to a line feed) or of the text; items without words
     match nothing, nor do null or empty texts. Repeated rows repeat; an item repeated
     under one id counts once, null ids of items are left out of items; other columns are
     not read; an empty docs table gives an empty result, an empty benchmark no contamination. The result
@@ -218,6 +218,22 @@ def _small(items: DataFrame, limit: int | None) -> bool:
     return size <= (BROADCAST_BYTES if limit is None else limit)
 
 
+def _alone(words: Words, n: int) -> np.ndarray:
+    """For each word, whether it and the n - 1 words behind it are all words of a line or of a text."""
+    count = len(words.hash)
+    feeds = np.concatenate([[0], np.cumsum(words.data == 0x0A)])
+    edge = np.zeros(count + 1, bool)  # no word of the line stands before this one
+    edge[1:count] = feeds[words.start[1:]] > feeds[words.end[:-1]]
+    text = np.zeros(count + 1, bool)
+    text[words.first] = True
+    edge |= text
+    at = np.arange(count)
+    to = np.minimum(at + n, count)
+    within = np.concatenate([[0], np.cumsum(edge)])
+    line = edge[:count] & edge[to] & (within[to] - within[at] == 1)
+    return (line | text[:count] & text[to]) & (at + n <= count)
+
+
 def _found(block: pa.RecordBatch, items: Items, seed: int, share: float) -> list[tuple[list[int], float]]:
     """For each text the ids that count (none without ids) and the largest coverage that counts, 0 without any."""
     words = split(block.column("text"), FOLDED)
@@ -227,6 +243,8 @@ def _found(block: pa.RecordBatch, items: Items, seed: int, share: float) -> list
         at = _hits(runs, seeds)
         owner = np.searchsorted(words.first, at, "right") - 1
         inside = at + n <= words.first[owner + 1]
+        if n < LEAST_INSIDE:
+            inside &= _alone(words, n)[at]
         hit = np.unique(np.stack([owner[inside].astype(_U), runs[at[inside]]]), axis=1)  # a document's repeats count once
         for d, low, high in zip(hit[0].tolist(), np.searchsorted(seeds, hit[1], "left").tolist(), np.searchsorted(seeds, hit[1], "right").tolist(), strict=True):
             pairs[d].update(of[low:high].tolist())
@@ -260,7 +278,7 @@ def _covers(rows: DataFrame, items: DataFrame, seed: int, share: float) -> DataF
     frequent ones (see above), and each pair of texts that meets is tiled on its own row.
     """
     items = items.dropDuplicates().withColumn("item_key", F.md5(F.concat_ws(":", F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")))
-    own = stored(_seeds(items, "item_key", seed, range(LEAST_WORDS, seed + 1), None, whole=True), "item-seeds")
+    own = stored(_seeds(items, "item_key", seed, range(1, seed + 1), None, whole=True), "item-seeds")
     lengths = sorted(r[0] for r in own.select("n").distinct().collect())  # at most seed values
     theirs = stored(_seeds(rows, "row_key", seed, lengths, bit_table(own, "run")), "seeds")
     often = theirs.groupBy("n", "run").agg(F.count("*").alias("often"))
@@ -307,6 +325,8 @@ def _seeds(df: DataFrame, key: str, seed: int, lengths: list[int] | range, table
                     owner = np.searchsorted(words.first, np.arange(len(runs)), "right") - 1
                     good = np.arange(len(runs)) + n <= words.first[owner + 1]
                     good &= np.minimum(size[owner], seed) == n if whole else maybe(held.value, runs)
+                    if not whole and n < LEAST_INSIDE:
+                        good &= _alone(words, n)[: len(runs)]
                     owner, runs = owner[good], runs[good]
                     if not whole and len(runs):
                         owner, runs = np.unique(np.stack([owner.astype(_U), runs]), axis=1)

@@ -1,8 +1,8 @@
 """Removal of multi-line passages that repeat anywhere in the corpus. DataFrame functions only.
 
-Lines are hashed; a rolling hash over the last WINDOW line hashes ends a chunk
-where it is 0 modulo DIVISOR, so boundaries follow the content and survive
-insertions elsewhere. Chunks of two lines or more are grouped by a 128-bit hash;
+Lines are hashed; a chunk ends where a rolling hash over the last WINDOW line hashes is 0 modulo
+DIVISOR and that of the line before is not, so boundaries follow the content, survive
+insertions elsewhere, and are two lines apart at least. Chunks of two lines or more are grouped by a 128-bit hash;
 those whose hash repeats are fetched and compared byte by byte with the first
 occurrence, and all but that first one go. Chunk boundaries hide passages that they
 cut; with every_pair each two neighbouring lines of text take the place of a chunk,
@@ -27,13 +27,17 @@ def line_hash(line: Column) -> Column:
 
 
 def chunk_spans(lines: str, *, window: int, divisor: int) -> list[tuple[str, Column]]:
-    """Columns to add one after the other: hashes, ends, spans (start and n of each chunk, lines from 0)."""
+    """Columns to add one after the other: hashes, ends, spans (start and n of each chunk, lines from 0). No chunk of a text of several lines has one line."""
 
-    def ends_here(i: Column) -> Column:
+    def falls(i: Column) -> Column:
         roll = F.lit(0).cast("long")
         for back in range(window):
             roll = roll + F.when(i >= back, F.get("_hashes", i - back)).otherwise(0) * F.lit(31**back).cast("long")
-        return (F.pmod(roll, F.lit(divisor)) == 0) | (i == F.size("_hashes") - 1)
+        return F.pmod(roll, F.lit(divisor)) == 0
+
+    def ends_here(i: Column) -> Column:
+        last = F.size("_hashes") - 1
+        return falls(i) & ~falls(i - 1) & (i > 0) & (i < last - 1) | (i == last)
 
     return [
         ("_hashes", F.transform(lines, line_hash)),
@@ -80,6 +84,11 @@ def merged(spans: DataFrame) -> DataFrame:
     return own.groupBy("d", "k", "no").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) - F.min("start")).cast("int").alias("n")).drop("no")
 
 
+def _with_lines(text: str, f) -> Column:  # noqa: ANN001
+    """f of the lines of a text, which is split once however often f uses them."""
+    return F.get(F.transform(F.array(F.split(text, "\n", -1)), f), F.lit(0))
+
+
 def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: bool = False) -> DataFrame:
     """(d, k, start, n) of the chunks, or pairs, that go."""
     every = stored(pairs(rows) if every_pair else chunks(rows, window=window, divisor=divisor), "chunks")
@@ -91,8 +100,8 @@ def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: b
     # texts of the hits, through one shuffle of the documents that have some
     wanted = hits.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n", "h1", "h2", "c", "is_first")).alias("hits"))
     some, _ = part_rows(rows.select("d", "k", "text"), F.xxhash64("d", "k"), hits.select(F.xxhash64("d", "k").alias("h")))
-    held = some.join(wanted, ["d", "k"]).select("d", "k", F.split("text", "\n", -1).alias("lines"), F.explode("hits").alias("s"))
-    held = held.select("d", "k", "s.*", F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.n")), "\n").alias("chunk"))
+    cut = lambda s, lines: F.struct(*[s[c].alias(c) for c in ("start", "n", "h1", "h2", "c", "is_first")], F.array_join(F.slice(lines, s["start"] + 1, s["n"]), "\n").alias("chunk"))
+    held = some.join(wanted, ["d", "k"]).select("d", "k", F.inline(_with_lines("text", lambda lines: F.transform("hits", lambda s: cut(s, lines)))))
     held = stored(held, "passages")
     salts = F.floor(F.col("c") / SPREAD).cast("int")
     first = held.where("is_first").select("h1", "h2", F.col("chunk").alias("first_chunk"), F.explode(F.sequence(F.lit(0), salts)).alias("salt")).dropDuplicates(["h1", "h2", "salt"])
@@ -101,7 +110,7 @@ def repeated_chunks(rows: DataFrame, *, window: int, divisor: int, every_pair: b
     return merged(gone) if every_pair else gone
 
 
-def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pair: bool = False, text: str = "text", counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 2, every_pair: bool = False, text: str = "text", counts: bool = True) -> DataFrame:
     """The rows of docs with all their columns, the text without repeated chunks, and with counts n_lines and n_removed_lines.
 
     Of equal chunks the one of the smallest doc_id stays (then of the smallest text
@@ -119,9 +128,11 @@ def dedup_lines(docs: DataFrame, *, window: int = 2, divisor: int = 4, every_pai
     gone = repeated_chunks(rows, window=window, divisor=divisor, every_pair=every_pair)
     gone = stored(gone.groupBy("d", "k").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
     some, others = part_rows(rows, F.xxhash64("d", "k"), gone.select(F.xxhash64("d", "k").alias("h")))
-    lines = F.split("text", "\n", -1)
-    inside = lambda i: F.exists("gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["n"]))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda _, i: ~inside(i)), "\n"))
+    # what lies between the spans that go, which are apart
+    spans = F.array_sort("gone")
+    after = F.concat(F.array(F.lit(0)), F.transform(spans, lambda g: g["start"] + g["n"]))
+    between = lambda lines: F.flatten(F.zip_with(after, F.concat(F.transform(spans, lambda g: g["start"]), F.array(F.size(lines))), lambda a, z: F.slice(lines, a + 1, z - a)))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_with_lines("text", between), "\n"))
     n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_gone = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["n"]), F.lit(0)).cast("long")
     added = [n_lines.alias("n_lines"), n_gone.alias("n_removed_lines")] if counts else []

@@ -95,7 +95,8 @@ OP1_SQL = """
 with rows as (select distinct doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i, len(string_split(text, chr(10))) as n from rows),
 h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
-e as (select *, (h + coalesce(lag(h) over w, 0) * 31) % 4 = 0 or i = n - 1 as ends from h window w as (partition by doc_id, text order by i)),
+f as (select *, (h + coalesce(lag(h) over w, 0) * 31) % 2 = 0 as falls from h window w as (partition by doc_id, text order by i)),
+e as (select *, falls and not lag(falls) over w and i > 0 and i < n - 2 or i = n - 1 as ends from f window w as (partition by doc_id, text order by i)),
 c as (select *, coalesce(sum(ends::int) over (partition by doc_id, text order by i rows between unbounded preceding and 1 preceding), 0) as chunk from e),
 g as (select doc_id, text, chunk, min(i) as start, count(*) as n, string_agg(line, chr(10) order by i) as body from c group by all),
 r as (select *, row_number() over (partition by body order by doc_id, start) as nth from g where n > 1),

@@ -59,7 +59,7 @@ def cases():
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(60)] + ["É", "AB"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([3, 4, 6, 12, 30, 60])))) for i in range(25)]
-    items += [(30, "same " * 40), (31, ""), (32, None), (None, items[5][1]), items[4], (33, "two words"), (34, items[7][1])]
+    items += [(30, "same " * 40), (31, ""), (32, None), (None, items[5][1]), items[4], (33, "two Words"), (34, items[7][1]), (35, "Lone"), (36, "two\twords")]
     docs = []
     for i in range(90):
         words = rng.choices(vocab, k=rng.randint(0, 60))
@@ -70,6 +70,7 @@ def cases():
             at = rng.randint(0, len(words))
             words[at:at] = [w.upper() if rng.random() < 0.3 and w.isascii() else w for w in part]
         docs.append((i, " ".join(words), i))
+    docs += [(200 + i, x, i) for i, x in enumerate(["two words", "TWO  words\n", "so two words", "a\ntwo words \nb", "a\ntwo\nwords\nb", "two\nwords", "lone", "x\n\n LONE\ny", "lone x", "x lone", "two words lone", "lone\ntwo words"])]
     docs += [(3, docs[9][1], 100), (None, items[0][1], 101), (None, None, 102), (None, "clean", 103), docs[11], (7, "", 104), (8, "same " * 500, 105)]
     return docs, items
 
@@ -90,8 +91,10 @@ def test_contamination_by_brute_force(spark, monkeypatch, limit, share, heavy):
         cover = {}
         for k, (_, t) in enumerate(items):
             b = words(t)
-            if len(b) >= decontamination.LEAST_WORDS:
+            if len(b) > 2:
                 cover[k] = sum(n for *_, n in greedy(words(r[1]), b, 5)) / len(b)
+            elif b and b in [words(r[1]), *map(words, (r[1] or "").split("\n"))]:
+                cover[k] = 1.0
         found = {k: c for k, c in cover.items() if c >= share}
         want[r] = (sorted({items[k][0] for k in found if items[k][0] is not None}), max(found.values(), default=0.0), bool(found))
     assert sum(x[2] for x in want.values()) > 30 and sum(not x[2] for x in want.values()) > 20

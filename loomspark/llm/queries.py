@@ -141,14 +141,19 @@ def _crc32_tables(texts: str, bits: int = 21) -> str:
     p0 has what a 1 becomes after k steps; each following table twice as many steps, made of the one before.
     """
     out = ["p0(k, v) as (select 0, 1::bigint union all select k + 1, xor(v >> 1, (v & 1) * 3988292384::bigint) from p0 where k < 64)"]
+    last = f"p{bits - 6}"
     for j in range(6, bits):
         old, new = f"p{j - 6}", f"p{j - 5}"
         out.append(f"{new} as materialized (select * from {old} union all select a.k + {1 << j}, bit_xor(b.v) from {old} a, range(32) r(i) join {old} b on b.k = {1 << j} - i where a.k > 0 and (a.v >> i) & 1 = 1 group by a.k)")
     last = f"p{bits - 6}"
-    out.append(f"bytes as (select text, string_split(hex(encode(text)), '') as h, strlen(text) as n from ({texts}))")
-    out.append("digits as (select text, n, unnest(h) as c, generate_subscripts(h, 1) - 1 as i from bytes)")
-    out.append("ones as (select text, 8 * (n - i // 2) - (j + 4 * (1 - i % 2)) as k from (select *, instr('0123456789ABCDEF', c) - 1 as d from digits), range(4) r(j) where (d >> j) & 1 = 1 union all select text, 8 * n - j from bytes, range(32) r(j) where n > 0 and 8 * n >= j)")
-    out.append(f"crc as (select b.text, coalesce(o.x, 0) as part, xor(xor(coalesce(o.x, 0), case when n = 0 then 4294967295::bigint when n < 4 then 4294967295::bigint >> (8 * n) & -2 else 0 end), 4294967295::bigint) as crc from bytes b left join (select text, bit_xor(v) as x from ones join {last} using (k) group by text) o using (text))")
+    # blocks of 64 bytes, counted from the end, meet a small table of what a byte becomes until its block ends; what a block becomes until the end follows
+    out.append(f"tab as materialized (select p, printf('%02X', b) as b, bit_xor(v) as v from (select p, b, 8 * (p + 1) - j as k from range(64) s(p), range(256) t(b), range(8) u(j) where (b >> j) & 1 = 1) join {last} using (k) group by all)")
+    out.append("bytes as materialized (select text, strlen(text) as n, row_number() over () as nr from (" + texts + "))")
+    out.append("each as (select nr, unnest(h) as b, n - generate_subscripts(h, 1) as d from (select nr, n, regexp_extract_all(hex(encode(text)), '..') as h from bytes))")
+    out.append("blocks as materialized (select nr, d // 64 as q, bit_xor(v) as x from each join tab on tab.p = d % 64 and tab.b = each.b group by all)")
+    out.append(f"ways as (select nr, x as v from blocks where q = 0 union all select nr, v from (select nr, 512 * q - j as k from blocks, range(32) r(j) where q > 0 and (x >> j) & 1 = 1 union all select nr, 8 * n - j from bytes, range(32) r(j) where n > 0) join {last} using (k))")
+    out.append("sums as materialized (select nr, bit_xor(v) as x from ways group by nr)")
+    out.append("crc as (select b.text, xor(xor(coalesce(o.x, 0), case when n = 0 then 4294967295::bigint when n < 4 then 4294967295::bigint >> (8 * n) & -2 else 0 end), 4294967295::bigint) as crc from bytes b left join sums o using (nr))")
     return ",\n".join(out)
 
 

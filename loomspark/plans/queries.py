@@ -359,6 +359,21 @@ def gitignore_match(spark, d):
     return pages.select("page_id", ignore.is_ignored(F.col("path"), IGNORE).alias("ignored"))
 
 
+@query(r"""with p as (select page_id, regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '/?([?#].*)?$', '') as path from pages),
+s as (select page_id, string_split(lower(path), '/') as names from p),
+u as (select page_id, unnest(range(1, len(names) + 1)) as k, names from s), f as (select page_id, array_to_string(names[1:k], '/') as step from u),
+r as (select lower(path) as step, arg_max(page_id % 3 = 0, page_id) as negated from p group by 1),
+g as (select distinct page_id from f join r using (step) where not negated)
+select p.page_id, g.page_id is not null as ignored from p left join g using (page_id)""")
+def gitignore_table(spark, d):
+    """A rule for each page, in order of page_id: its path is left out, or brought back by every third."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/", ""), "/?([?#].*)?$", "")
+    pages = _t(spark, d, "pages").select("page_id", path.alias("path"))
+    lines = pages.select(F.col("page_id").alias("no"), F.concat(F.when(F.col("page_id") % 3 == 0, "!/").otherwise("/"), F.upper("path")).alias("line"))
+    bad = ignore.ignored_by(pages, lines).withColumn("ignored", F.lit(True))
+    return pages.join(bad, "path", "left").select("page_id", F.coalesce("ignored", F.lit(False)).alias("ignored"))
+
+
 @query("""with b as (select doc_id, quality, toxic, doc_id % 11 as m from labels)
 select doc_id, coalesce(m <> 0 and m <> 1 and m <> 2 and m <> 3 and m <> 4 and m <> 5 and m <> 6, false) as is_valid from b""")
 def finding_validation(spark, d):

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from loomspark.sources import ignore
 
+#: Ignore rules that become one expression.
+FEW_RULES = 50
+
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """rel_path, ext, size_bytes of every file below root; contents are not read (binaryFile prunes them)."""
@@ -37,11 +40,17 @@ def _quoted(text: str) -> str:
 def discovered(files: DataFrame, *, include: list[str], exclude: list[str], max_kb: int, allowed: DataFrame | None = None) -> DataFrame:
     """files with status: ok, ignored or too-large; paths that no include pattern names are dropped.
 
-    An allow-list (rel_path) takes the place of the include patterns.
+    An allow-list (rel_path) takes the place of the include patterns. Up to FEW_RULES rules are one expression, more are a table
+    that paths are joined with; the answers are the same.
     """
     kept = files.join(allowed.select("rel_path").distinct(), "rel_path", "left_semi") if allowed is not None else files.where(ignore.is_included(F.col("rel_path"), include))
-    status = F.when(ignore.is_ignored(F.col("rel_path"), exclude), "ignored").when(F.col("size_bytes") > max_kb * 1024, "too-large").otherwise("ok")
-    return kept.withColumn("status", status)
+    out = ignore.is_ignored(F.col("rel_path"), exclude if len(exclude) <= FEW_RULES else [])
+    if len(exclude) > FEW_RULES:
+        lines = files.sparkSession.createDataFrame(list(enumerate(exclude)), "no long, line string")
+        bad = ignore.ignored_by(kept.select(F.col("rel_path").alias("path")), lines)
+        kept, out = kept.join(bad.select(F.col("path").alias("rel_path"), F.lit(True).alias("out")), "rel_path", "left"), F.coalesce("out", F.lit(False))
+    status = F.when(out, "ignored").when(F.col("size_bytes") > max_kb * 1024, "too-large").otherwise("ok")
+    return kept.withColumn("status", status).drop("out")
 
 
 def skip_counters(found: DataFrame, max_files: int) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
 import subprocess
 
-from loomspark.sources import changes, files
+from pyspark.sql import functions as F
+
+from loomspark.sources import changes, files, ignore
 from loomspark.streaming import incremental
 
 
@@ -38,3 +41,25 @@ def test_stream(spark, tmp_path):
         s = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
         incremental.review_stream(s, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out/findings")).count() == 2
+
+
+def test_rules_as_a_table_say_the_same(spark):
+    rng = random.Random(3)
+    names = ["src", "lib", "a.js", "b.min.js", "Build", "x", "node_modules", ".env", "é.JS"]
+    paths = ["/".join(rng.choices(names, k=rng.randint(1, 4))) for _ in range(150)] + ["", ".", "../up", "./src/a.js", "lib\\x", "/x"]
+    parts = [*names, "*", "*.js", "*.min.*", "**", "?", "[ab].js", "{src,lib}", "s*c", "*.{js,env}"]
+    lines = ["", "# note", "\\#x", "  "]
+    for _ in range(60):
+        body = "/".join(rng.choices(parts, k=rng.choice([1, 1, 2, 3])))
+        lines.append(rng.choice(["", "", "!"]) + rng.choice(["", "", "/", "**/"]) + body + rng.choice(["", "", "/"]))
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    want = {r.path for r in df.where(ignore.is_ignored(F.col("path"), lines)).collect()}
+    got = [r.path for r in ignore.ignored_by(df, spark.createDataFrame(list(enumerate(lines)), "no long, line string")).collect()]
+    assert set(got) == want and len(got) == len(want) and 20 < len(want) < len(set(paths))
+
+
+def test_ten_thousand_rules(spark):
+    lines = [f"/gen/{i}/*.js" if i % 2 else f"name{i}.txt" for i in range(10_000)] + ["!/gen/7/keep.js"]
+    rows = [(f"gen/{i}/a.js", ".js", 1) for i in range(40)] + [("gen/7/keep.js", ".js", 1), ("deep/er/name8.txt", ".txt", 1), ("name9.txt", ".txt", 1)]
+    found = files.discovered(spark.createDataFrame(rows, "rel_path string, ext string, size_bytes long"), include=[], exclude=lines, max_kb=9)
+    assert {r.rel_path for r in found.where("status = 'ignored'").collect()} == {f"gen/{i}/a.js" for i in range(1, 40, 2)} | {"deep/er/name8.txt"} and found.columns == ["rel_path", "ext", "size_bytes", "status"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.frontend import candidates, rules, targets
 from loomspark.frontend import nodes as N
-from loomspark.frontend import rules
 from loomspark.plans.store import written
 
 #: Scripts in which @ stands for the row's key: the rule, its message and line, or no message where the rule is silent.
@@ -87,6 +87,18 @@ SCRIPTS: list[tuple[str, str, str | None, int]] = [
     ("switch (NaN) { case @: b() }", "use-isnan", "'switch(NaN)' can never match a case clause. Use Number.isNaN instead of the switch.", 1),
     ("function f() { try { a(@) } finally { x: for (;;) { while (b) { break x } } } }", "no-unsafe-finally", None, 0),
     ("function f() { x: for (;;) { try { a(@) } finally {\n break x } } }", "no-unsafe-finally", "Unsafe usage of BreakStatement.", 2),
+    ("function App_@() {" + "\n" * 210 + "return <a/> }", "react/component-too-large", "Component 'App_@' spans 211 lines, exceeding the configured maximum of 200.", 1),
+    ("\nclass Big_@ extends React.Component {" + "\n" * 201 + "render() { return <a/> } }", "react/component-too-large", "Component 'Big_@' spans 202 lines, exceeding the configured maximum of 200.", 2),
+    ("import { PureComponent as P } from 'react'; class Big_@ extends P {" + "\n" * 400 + "}", "react/component-too-large", "Component 'Big_@' spans 401 lines, exceeding the configured maximum of 200.", 1),
+    ("const Wide_@ =\n memo(() => {" + "\n" * 200 + "return <a/> })", "react/component-too-large", "Component 'Wide_@' spans 201 lines, exceeding the configured maximum of 200.", 2),
+    ("class Big_@ extends Other {" + "\n" * 300 + "} function plain() {" + "\n" * 300 + "return @ }", "react/component-too-large", None, 0),
+    ("const App = () => { const [s_@, set] = useState({});\n\n s_@.a.b = @; return <a>{set}</a> }", "react/direct-state-mutation", "React state 's_@' is mutated directly through assignment.", 3),
+    ("const App = () => { const [s_@, set] = React.useState({});\n s_@.n++; return <a>{set}</a> }", "react/direct-state-mutation", "React state 's_@' is mutated directly through an update expression.", 2),
+    ("import { useState as held } from 'react'; const App = () => { const [s_@] = held([]);\n s_@.list.sort(); return <a/> }", "react/direct-state-mutation", "React state 's_@' is mutated directly through 'sort'.", 2),
+    ("const App = () => { const [s_@, set] = useState([]); const t = [...s_@]; t.push(@); set(t); return <a/> }", "react/direct-state-mutation", None, 0),
+    ("function App() { useEffect(() => {" + "\n" * 50 + "a(@) }); return <a/> }", "react/effect-too-large", "The useEffect callback spans 51 lines, exceeding the configured maximum of 50.", 1),
+    ("import { useEffect as after } from 'react'; function App() {\n after(function () {" + "\n" * 60 + "a(@) }, []); return <a/> }", "react/effect-too-large", "The useEffect callback spans 61 lines, exceeding the configured maximum of 50.", 2),
+    ("function App() { useEffect(() => {" + "\n" * 49 + "a(@) }); useLayoutEffect(() => {" + "\n" * 90 + "}); return <a/> }", "react/effect-too-large", None, 0),
 ]
 
 
@@ -123,9 +135,25 @@ def complexity_findings(spark, sf_dir: str) -> DataFrame:
     return rules.complexity_findings(nodes).select("rel_path", "rule_id", "severity", "message", "line_start", "line_end")
 
 
-QUERIES = {"rule_findings": rule_findings, "rule_complexity": complexity_findings}
+def split_candidates(spark, sf_dir: str) -> DataFrame:
+    """What could move out of files that have a constant, a service, a Hook, a function as long as its row's p_size says and a page, and where to."""
+    k = F.col("key").cast("string")
+    head = "import axios from 'axios';\nconst LIMITS_@ = { a: 1 };\nexport async function fetchItem_@(id) {\n  return axios.get('/x/' + id);\n}\nexport const useItem_@ = () => React.useState(LIMITS_@);\nexport function sum_@(a, b) {\n"
+    tail = "  return a + b;\n}\nexport default function Page_@() { return <div>{useItem_@()}</div> }\n"
+    source = F.replace(F.concat(F.lit(head), F.repeat(F.lit("  b = a + b;\n"), F.col("size")), F.lit(tail)), F.lit("@"), k)
+    nodes = written(N.parsed(_part(spark, sf_dir).select(F.concat(F.lit("p"), k, F.lit("/orders.js")).alias("rel_path"), source.alias("source_text"))), "nodes")
+    found = targets.allocated(written(candidates.detected(nodes), "candidates"))
+    return found.select("rel_path", "kind", "symbol", "line_start", "line_end", "confidence", "safety", "target_file", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"))
+
+
+QUERIES = {"split_candidates": split_candidates, "rule_findings": rule_findings, "rule_complexity": complexity_findings}
 _TOLD = ", ".join(f"({k}, {_quoted(r)}, {_quoted(m)}, {line})" for k, (_, r, m, line) in enumerate(SCRIPTS) if m)
 SQL = {
+    "split_candidates": """with c as (select p_partkey as k, p_size::int as size from part), v(kind, name, a, b, confidence, file, needs, needed) as (values
+('constant-group', 'LIMITS_', 2, 2, 0.88, 'order.constants.js', '', 'useItem_'), ('service', 'fetchItem_', 3, 5, 0.90, 'order.service.js', '', ''), ('custom-hook', 'useItem_', 6, 6, 0.93, '@', 'LIMITS_', 'Page_'), ('utility', 'sum_', 7, 9, 0.89, 'order.utils.js', '', ''))
+select 'p' || k || '/orders.js' as rel_path, kind, name || k as symbol, a::int as line_start, (b + case kind when 'utility' then size else 0 end)::int as line_end, confidence::double as confidence, 'automatic-ready' as safety,
+  'p' || k || '/orders/' || case file when '@' then name || k || '.js' else file end as target_file, case needs when '' then '' else needs || k end as dependencies, case needed when '' then '' else needed || k end as dependents
+from c, v where kind <> 'utility' or size >= 2""",
     "rule_findings": f"select 'part/' || p_partkey as rel_path, rule_id, replace(message, '@', p_partkey::varchar) as message, line_start from part join (values {_TOLD}) v(kind, rule_id, message, line_start) on p_partkey % {len(SCRIPTS)} = kind",
     "rule_complexity": """with f as (select p_partkey as k, p_size::int * 2 + 3 as lines, p_partkey % 13 + 1 as params, p_partkey % 11 as depth, 1 + p_partkey % 11 + p_partkey % 17 as cyclomatic from part),
 m as (select k, lines, 'complexity/function-too-long' as rule_id, lines as v, 80 as most, 'has ' || lines || ' lines' as says from f union all select k, lines, 'complexity/too-many-parameters', params, 5, 'has ' || params || ' parameters' from f

@@ -34,6 +34,28 @@ def test_changes(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("f.txt", 3, 4), ("f.txt", 15, 15), ("n.txt", 1, 2)}
 
 
+def test_files_whose_diff_fails_change_as_a_whole(spark, tmp_path, monkeypatch):
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True, text=True).stdout
+    git("init", "-q")
+    for name in ("f.txt", "g.txt", "h.txt"):
+        (tmp_path / name).write_text("a\nb\nc\n")
+    git("add", "."), git("commit", "-qm", "one")
+    for name in ("f.txt", "g.txt", "h.txt"):
+        (tmp_path / name).write_text("a\nB\nc\nd\n")
+    real = changes.git
+
+    def failing(root, *args):
+        if "--unified=0" in args and (args[-1] in ("f.txt", "h.txt") or "--" not in args):
+            raise subprocess.CalledProcessError(128, "git")
+        return real(root, *args)
+
+    monkeypatch.setattr(changes, "git", failing)
+    got = changes.diffs(spark, str(tmp_path))
+    assert {r.rel_path: r.diff is None for r in got.collect()} == {"f.txt": True, "g.txt": False, "h.txt": True}
+    files = spark.createDataFrame([("f.txt", "modified", "a\nB\nc\nd\n"), ("g.txt", "modified", "a\nB\nc\nd\n"), ("h.txt", "modified", None), ("n.txt", "added", None), ("z.txt", "modified", "x")], "rel_path string, status string, source_text string")
+    assert {tuple(r) for r in changes.changed_ranges(got, files).collect()} == {("f.txt", 1, 4), ("g.txt", 2, 2), ("g.txt", 4, 4), ("n.txt", 1, 1)}
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", "AAAAAAAAAA AAAAAAAAAAAA"), ("b", "x\nx")], "rel_path string, source_text string")
     for turn in range(2):

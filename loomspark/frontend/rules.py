@@ -425,13 +425,17 @@ def _hook_calls(n: DataFrame, around: DataFrame) -> tuple[DataFrame, Column]:
 
 
 def _hook_dependencies(n: DataFrame, around: DataFrame) -> tuple[DataFrame, Column]:
-    """For each Hook with a callback and a list of dependencies written in place: outer names that the callback reads and the list lacks."""
+    """For each Hook with a callback and a list of dependencies written in place: outer names that the callback reads and the list lacks; if there are none, those that the list need not have.
+
+    An effect may list what it does not read, save for values from outside of the component and what refs hold.
+    Elements of the list that are neither names nor member chains nor literals are findings of their own.
+    """
     hooks = n.where("type = 'CallExpression'").where(F.col("path").rlike(r"^(?:React\.)?use(?:Effect|LayoutEffect|InsertionEffect|Callback|Memo)$"))
     hooks = hooks.select("rel_path", F.col("node_id").alias("hook"), F.regexp_replace("path", "^React[.]", "").alias("hook_name"), F.col("fn_id").alias("hook_fn"))
     callback = n.where("role = 'argument' and idx = 0 and type in ('FunctionExpression', 'ArrowFunctionExpression')").select("rel_path", F.col("parent_id").alias("hook"), F.col("node_id").alias("cb"), F.col("last_id").alias("cb_last"))
     lists = n.where("role = 'argument' and idx = 1 and type = 'ArrayExpression'").select("rel_path", F.col("parent_id").alias("hook"), F.col("node_id").alias("list"), *[F.col(c) for c in ("line_start", "col_start", "line_end", "col_end")])
     hooks = hooks.join(callback, ["rel_path", "hook"]).join(lists, ["rel_path", "hook"]).where("hook_fn is not null")
-    given = n.where("role = 'element' and parent_type = 'ArrayExpression' and path is not null").select("rel_path", F.col("parent_id").alias("list"), F.col("path").alias("dep"))
+    given = n.where("role = 'element' and parent_type = 'ArrayExpression' and path is not null and type in ('Identifier', 'MemberExpression')").select("rel_path", F.col("parent_id").alias("list"), F.col("path").alias("dep"))
     given = given.groupBy("rel_path", "list").agg(F.collect_set("dep").alias("deps"))
     # names that stay the same: setters, dispatchers and refs, and constants with plain values
     calls = n.where("role = 'init' and type = 'CallExpression'").select("rel_path", F.col("parent_id").alias("declarator"), F.regexp_replace("path", "^React[.]", "").alias("made_by"))
@@ -447,23 +451,41 @@ def _hook_dependencies(n: DataFrame, around: DataFrame) -> tuple[DataFrame, Colu
     bound = bound.join(outer, ["rel_path", "bound_parent"], "left").withColumn("bound_fn", F.when((F.col("kind") == "function") & (F.col("bound_role") == "id"), F.col("outer_fn")).otherwise(F.col("bound_fn")))
     reads = n.where("access in ('r', 'rw') and binding_id is not null").select("rel_path", "node_id", "name", "binding_id", "chain_id")
     used = reads.join(around.select("rel_path", "node_id", F.explode("callbacks").alias("cb")), ["rel_path", "node_id"]).join(hooks.select("rel_path", "hook", "hook_fn", "cb", "cb_last"), ["rel_path", "cb"]).join(bound, ["rel_path", "binding_id"]).where("bound_fn is not null and (bound_fn <= hook_fn) and not (binding_id between cb and cb_last)")
-    used = used.join(stable, ["rel_path", "binding_id"], "left_anti")
+    used = used.join(stable.withColumn("stays", F.lit(True)), ["rel_path", "binding_id"], "left")
     chain = n.select("rel_path", F.col("node_id").alias("chain_id"), F.col("path").alias("chain_path"), F.col("role").alias("chain_role"), F.col("type").alias("chain_type"))
     used = used.join(chain, ["rel_path", "chain_id"], "left")
     dotted = F.coalesce("chain_path", "name")
     need = F.when((F.col("chain_role") == "callee") & dotted.contains("."), F.regexp_replace(dotted, r"\.[^.]*$", "")).otherwise(dotted)
     need = F.regexp_replace(need, r"\.current$", "")
-    needed = used.groupBy("rel_path", "hook").agg(F.collect_set(need).alias("needed"))
-    out = hooks.join(needed, ["rel_path", "hook"]).join(given, ["rel_path", "list"], "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    needed = used.groupBy("rel_path", "hook").agg(F.collect_set(F.when(F.col("stays").isNull(), need)).alias("needed"), F.collect_set(dotted).alias("touched"))
+    # listed names that are bound outside of all functions, imported or not bound at all
+    listed_in = n.where("role = 'element' and parent_type = 'ArrayExpression'").select("rel_path", F.col("node_id").alias("chain_id"), F.col("parent_id").alias("list"), F.col("path").alias("dep"))
+    outside = n.where("access = 'r'").select("rel_path", "chain_id", "binding_id").join(listed_in, ["rel_path", "chain_id"]).join(bound.select("rel_path", "binding_id", "bound_fn"), ["rel_path", "binding_id"], "left").where("bound_fn is null")
+    outside = outside.groupBy("rel_path", "list").agg(F.collect_set("dep").alias("outside"))
+    out = hooks.join(needed, ["rel_path", "hook"], "left").join(given, ["rel_path", "list"], "left").join(outside, ["rel_path", "list"], "left")
+    out = out.withColumns({c: F.coalesce(c, none) for c in ("needed", "touched", "deps", "outside")})
     covered = lambda p, among: F.exists(among, lambda d: (p == d) | p.startswith(F.concat(d, F.lit("."))))
     missing = F.filter("needed", lambda p: ~covered(p, F.col("deps")))
     missing = F.array_sort(F.filter(missing, lambda p: ~F.exists(missing, lambda d: p.startswith(F.concat(d, F.lit("."))))))
-    out = out.withColumn("missing", missing).where(F.size("missing") > 0)
-    quoted = F.transform("missing", lambda p: F.concat(F.lit("'"), p, F.lit("'")))
-    many = F.size("missing") > 1
+    current = lambda d: d.endswith(".current")
+    free = F.filter("deps", lambda d: ~F.exists("touched", lambda p: (p == d) | p.startswith(F.concat(d, F.lit(".")))) & (~F.col("hook_name").endswith("Effect") | current(d) | F.array_contains("outside", d)))
+    out = out.withColumn("missing", missing).withColumn("spare", F.array_sort(free)).where("size(missing) > 0 or size(spare) > 0")
+    some = F.when(F.size("missing") > 0, F.col("missing")).otherwise(F.col("spare"))
+    quoted, many = F.transform(some, lambda p: F.concat(F.lit("'"), p, F.lit("'"))), F.size(some) > 1
     listed = F.when(many, F.concat(F.array_join(F.slice(quoted, F.lit(1), F.size(quoted) - 1), ", "), F.when(F.size(quoted) > 2, ", and ").otherwise(" and "), F.element_at(quoted, -1))).otherwise(F.get(quoted, F.lit(0)))
-    said = F.concat(F.lit("React Hook "), "hook_name", F.when(many, " has missing dependencies: ").otherwise(" has a missing dependency: "), listed, F.lit(". Either include "), F.when(many, "them").otherwise("it"), F.lit(" or remove the dependency array."))
-    return out.withColumn("said", said), F.col("said")
+    lacks = F.size("missing") > 0
+    # Messages.
+    what = F.when(lacks, F.when(many, " has missing dependencies: ").otherwise(" has a missing dependency: ")).otherwise(F.when(many, " has unnecessary dependencies: ").otherwise(" has an unnecessary dependency: "))
+    held, beyond = F.filter("spare", current), F.filter("spare", lambda d: F.array_contains("outside", d))
+    why = F.when(F.size(held) > 0, F.concat(F.lit(" Mutable values like '"), F.get(held, F.lit(0)), F.lit("'"))).when(F.size(beyond) > 0, F.concat(F.lit(" Outer scope values like '"), F.get(beyond, F.lit(0)), F.lit("'")))
+    why = F.when(~lacks, F.concat(why, F.lit(" aren't valid dependencies because mutating them doesn't re-render the component.")))
+    said = F.concat(F.lit("React Hook "), "hook_name", what, listed, F.lit(". Either "), F.when(lacks, "include ").otherwise("exclude "), F.when(many, "them").otherwise("it"), F.lit(" or remove the dependency array."), F.coalesce(why, F.lit("")))
+    place = ["line_start", "col_start", "line_end", "col_end"]
+    odd = n.where("role = 'element' and parent_type = 'ArrayExpression' and (path is null or type not in ('Identifier', 'MemberExpression')) and type not in ('Hole', 'SpreadElement')").where(~F.col("type").endswith("Literal"))
+    odd = odd.select("rel_path", F.col("parent_id").alias("list"), *place).join(hooks.select("rel_path", "list", "hook_name"), ["rel_path", "list"])
+    odd = odd.select("rel_path", *place, F.concat(F.lit("React Hook "), "hook_name", F.lit(" has a complex expression in the dependency array. Extract it to a separate variable so it can be statically checked.")).alias("said"))
+    return out.select("rel_path", *place, said.alias("said")).unionByName(odd), F.col("said")
 
 
 def _unused(n: DataFrame) -> DataFrame:

@@ -99,6 +99,12 @@ SCRIPTS: list[tuple[str, str, str | None, int]] = [
     ("function App() { useEffect(() => {" + "\n" * 50 + "a(@) }); return <a/> }", "react/effect-too-large", "The useEffect callback spans 51 lines, exceeding the configured maximum of 50.", 1),
     ("import { useEffect as after } from 'react'; function App() {\n after(function () {" + "\n" * 60 + "a(@) }, []); return <a/> }", "react/effect-too-large", "The useEffect callback spans 61 lines, exceeding the configured maximum of 50.", 2),
     ("function App() { useEffect(() => {" + "\n" * 49 + "a(@) }); useLayoutEffect(() => {" + "\n" * 90 + "}); return <a/> }", "react/effect-too-large", None, 0),
+    ("function App({ p_@, q }) { return useMemo(() => p_@,\n [p_@, q]) }", "react-hooks/exhaustive-deps", "React Hook useMemo has an unnecessary dependency: 'q'. Either exclude it or remove the dependency array.", 2),
+    ("let out_@ = 1; function App() { useEffect(() => { a(out_@) },\n [out_@]) }", "react-hooks/exhaustive-deps", "React Hook useEffect has an unnecessary dependency: 'out_@'. Either exclude it or remove the dependency array. Outer scope values like 'out_@' aren't valid dependencies because mutating them doesn't re-render the component.", 2),
+    ("function App({ p_@ }) { const r = useRef(); useEffect(() => { a(r.current) },\n [r.current]) }", "react-hooks/exhaustive-deps", None, 0),
+    ("function App({ p_@, r }) { useCallback(() => p_@.a,\n [p_@.a, r.current]) }", "react-hooks/exhaustive-deps", "React Hook useCallback has an unnecessary dependency: 'r.current'. Either exclude it or remove the dependency array. Mutable values like 'r.current' aren't valid dependencies because mutating them doesn't re-render the component.", 2),
+    ("function App({ p_@, t }) { const [s, set] = useState(0); useEffect(() => { set(p_@) }, [p_@, t, set]) }", "react-hooks/exhaustive-deps", None, 0),
+    ("function App({ p_@ }) { const x = p_@; useMemo(() => x,\n [x, p_@()]) }", "react-hooks/exhaustive-deps", "React Hook useMemo has a complex expression in the dependency array. Extract it to a separate variable so it can be statically checked.", 2),
 ]
 
 

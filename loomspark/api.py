@@ -4,15 +4,16 @@ from loomspark.cli import as_text, options_of, split_report
 from loomspark.cli import run as review_folder
 from loomspark.frontend.candidates import detected as split_candidates
 from loomspark.frontend.dependencies import graph as dependency_graph
-from loomspark.frontend.dependencies import module_edges
+from loomspark.frontend.dependencies import import_cycles, module_edges, overlaid
 from loomspark.frontend.nodes import failures, parsed
 from loomspark.frontend.outline import chunks, summaries
 from loomspark.frontend.rules import complexity_findings, lint_findings, react_findings
 from loomspark.frontend.splitting import advised, contract, exports, imports, input_problem, missing_props, placement, problems, props
 from loomspark.frontend.targets import allocated as with_targets
 from loomspark.functions.text import SEVERITIES
+from loomspark.operators.cycles import cycle_paths, cycle_walks, strong_components
 from loomspark.operators.findings import any_at_least, at_least, dense_counts, first_of_each, is_valid, ordered
-from loomspark.operators.graph import reverse_dependents
+from loomspark.operators.graph import closure, reverse_dependents
 from loomspark.operators.intervals import in_scope
 from loomspark.plans.code import Options, Review, review
 from loomspark.plans.model_review import ChatProvider, ModelReview, Provider, ProviderError, provider

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.frontend.nodes import parsed
+from loomspark.operators.cycles import cycle_paths
+from loomspark.operators.graph import closure
+from loomspark.plans.store import written
+
 # The endings tried for a relative import, in order.
 ENDINGS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 
@@ -94,3 +99,21 @@ def module_edges(nodes: DataFrame, files: DataFrame | None = None) -> DataFrame:
     return tried.join(known, "dst").groupBy("src", "value").agg(F.min_by("dst", "rank").alias("dst")).select("src", "dst").distinct()
 
 
+def overlaid(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """nodes as they would be with the files in texts (rel_path, source_text; null: the file is gone) written. Only those are parsed."""
+    kept = nodes.join(texts.select("rel_path").distinct(), "rel_path", "left_anti")
+    return kept.select(nodes.columns).unionByName(parsed(texts).select(nodes.columns))
+
+
+def import_cycles(nodes: DataFrame, texts: DataFrame | None = None, start: str | None = None) -> DataFrame:
+    """(component, path): a closed walk through each group of files that import each other; a path begins and ends with its least file.
+
+    texts: files that are about to be written (see overlaid), which imports may reach already. start: only cycles that this
+    file reaches by imports.
+    """
+    edges = written(module_edges(nodes if texts is None else overlaid(nodes, texts)), "modules")
+    if start is not None:
+        from_there = edges.sparkSession.createDataFrame([(start,)], "start string")
+        reached = closure(edges, from_there).select("node").unionByName(from_there.withColumnRenamed("start", "node")).distinct()
+        edges = edges.join(reached.withColumnRenamed("node", "src"), "src", "left_semi")
+    return cycle_paths(edges)

@@ -224,3 +224,13 @@ def test_module_edges(spark):
     files = {"src/a.js": "import './b'; import x from '../lib'; import 'react'; export * from './c.jsx'; import './none'; import '../../out'", "src/b.js": "", "src/b.jsx": "", "src/c.jsx": "import './a.js'", "lib/index.ts": "interface X {}", "top.js": "export { q } from './src/b'; import '.'", "index.js": ""}
     t = nodes.parsed(spark.createDataFrame(list(files.items()), "rel_path string, source_text string"))
     assert {tuple(r) for r in dependencies.module_edges(t).collect()} == {("src/a.js", "src/b.js"), ("src/a.js", "lib/index.ts"), ("src/a.js", "src/c.jsx"), ("src/c.jsx", "src/a.js"), ("top.js", "src/b.js"), ("top.js", "index.js")}
+
+
+def test_import_cycles_of_files_about_to_be_written(spark):
+    sources = {"a.js": "import './b'", "b.js": "import './c'", "c.js": "export const c = 1", "x.js": "import './y'", "y.js": "export * from './x'"}
+    t = nodes.parsed(spark.createDataFrame(list(sources.items()), "rel_path string, source_text string")).cache()
+    found = lambda **k: {r.component: r.path for r in dependencies.import_cycles(t, **k).collect()}
+    assert found() == {"x.js": ["x.js", "y.js", "x.js"]}
+    texts = spark.createDataFrame([("c.js", "import './new'"), ("new.js", "import './a'"), ("y.js", None)], "rel_path string, source_text string")
+    assert found(texts=texts) == {"a.js": ["a.js", "b.js", "c.js", "new.js", "a.js"]}
+    assert found(start="a.js") == {} and found(start="y.js") == {"x.js": ["x.js", "y.js", "x.js"]}

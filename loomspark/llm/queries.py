@@ -213,5 +213,36 @@ e as (select *, {_fold_sql('f.other', 'f.path')} as folded_root from f)
 select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) as proof_sha256, folded_root, folded_root = root as verified from e
 """
 
+_SPACE = r"\x20\x09-\x0D"
+_MOVES_SQL = ", ".join(f"('{m['kind']}', {m['src']}, {m['dst']}, {m['cost']}, '{m['letters']}')" for m in conversations.moves().to_pylist())
+_ENDS_SQL = ", ".join(f"({state}, {cost}, '{letters}')" for state, (cost, letters) in conversations.END.items())
+OP11_SQL = f"""
+with recursive {_crc32_tables("select distinct coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as text from conversations", 9)},
+k as (select coalesce('c' || conv_id, '') as g, turn, coalesce(role, ' ') as role, coalesce(c.text, ' ') as text, crc % 20 as kind from conversations c join crc on crc.text = coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')),
+d as (select g, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case kind when 3 then [0, 1] else [0] end) as copy from k where kind <> 0),
+p as (select *, row_number() over (partition by g order by turn nulls first, role, md5(text), copy) - 1 as pos, row_number() over (partition by g, role, text order by turn nulls first, copy) as nth from d),
+f as materialized (select *, case when not regexp_matches(text, '[^{_SPACE}]') then 'blank' when nth > 1 then 'duplicate' when not regexp_matches(text, '[.!?][{_SPACE}]*$') then 'truncated' end as fault, case when role[1] in ('s', 'u', 'a') then role[1] else 'x' end as letter from p),
+moves(kind, src, dst, cost, letters) as (values {_MOVES_SQL}),
+steps as materialized (select g, pos, src, dst, cost, letters from f join moves on kind = letter || case when fault in ('blank', 'duplicate') then 'd' when fault = 'truncated' then 't' else 'k' end),
+walk(g, pos, state, cost, audit) as (
+  select distinct g, 0::bigint, 0, 0::bigint, '' from f
+  union all select g, pos + 1, dst, best.cost, best.audit from (
+    select w.g, w.pos, s.dst, min(struct_pack(cost := w.cost + s.cost, audit := w.audit || s.letters)) as best from walk w join steps s on s.g = w.g and s.pos = w.pos and s.src = w.state group by all)),
+n as (select g, count(*) as pos, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated from f group by g),
+ends(state, more, letters) as (values {_ENDS_SQL}),
+b as materialized (select g, min(struct_pack(cost := cost + more, audit := audit || letters)) as best from walk join n using (g, pos) join ends using (state) group by g),
+e as (select g, unnest(string_split(best.audit, '')) as edit, generate_subscripts(string_split(best.audit, ''), 1) as i from b where best.audit <> ''),
+r as (select *, sum((edit <> 'I')::int) over (partition by g order by i) - 1 as pos from e),
+m as (select r.g, i, edit, f.role, f.text, f.letter, row_number() over (partition by r.g order by i) - 1 as nth from r left join f on f.g = r.g and f.pos = r.pos and edit <> 'I' where edit <> 'D'),
+t as (select *, max((nth = 0 and edit = 'K' and letter = 's')::int) over (partition by g) as led from m),
+h as (select g, sha256(string_agg(case when edit = 'K' then role when (nth - led) % 2 = 0 then 'user' else 'assistant' end || ':' || case edit when 'I' then '' else text end, chr(10) order by i)) as sha from t group by g),
+l as (select g, lag(letter) over (partition by g order by pos) || letter as pair from f),
+q as (select g, count(*) as illegal from l where pair not in ('su', 'ua', 'au') group by g),
+a as (select distinct conv_id, coalesce('c' || conv_id, '') as g from conversations)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(best.cost, 0)::bigint as cost, coalesce(best.audit, '') as audit, coalesce(sha, sha256('')) as repaired_sha256
+from a left join n using (g) left join b using (g) left join h using (g) left join q using (g)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_quality, op4_secrets, op5_substring_dedup, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_toxicity, op10_decontamination, op11_conversations, op12_sharding, op13_merkle)}
-SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op12_sharding": OP12_SQL, "op13_merkle": OP13_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op6_mixing": OP6_SQL, "op11_conversations": OP11_SQL, "op12_sharding": OP12_SQL, "op13_merkle": OP13_SQL}

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", gap: int = 1) -> DataFrame:
-    """Unions of overlapping or adjacent intervals of each key (gap: largest distance that still joins)."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
+    """Unions of overlapping or adjacent intervals of each key (gap: largest distance that still joins).
+
+    Null starts and ends come last and begin nothing: such a row belongs to what stands before it, and one before which no end is known to the first union.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
+    flagged = df.withColumn("_new", F.when(F.col(start) > reach + gap, 1).otherwise(0))
     numbered = flagged.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
@@ -41,7 +44,7 @@ def context(chunks: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(ts, "event_id")
+    order = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last(), F.col("event_id").asc_nulls_last())
     late = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(order).cast("timestamp")) > gap_seconds * 1_000_000
     numbered = df.withColumn("session", F.sum(F.when(late, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

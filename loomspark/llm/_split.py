@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomspark.llm._store import stored
 from loomspark.llm._text import blocks
@@ -78,19 +78,25 @@ def part_rows(rows: DataFrame, hash_of: Column, keys: DataFrame, *, most_bits: i
     return seen.where(hit).drop(bucket, held), seen.where(~hit).drop(bucket, held)
 
 
-def filtered(docs: DataFrame, seen: list[Column], names: list[str], keep) -> DataFrame:  # noqa: ANN001
-    """The rows of docs, with columns of any names, for which keep(blocks of seen) is true; seen (named names, the text among them) is read by keep only."""
+def filtered(docs: DataFrame, seen: list[Column], names: list[str], keep, text: str | None = None) -> DataFrame:  # noqa: ANN001
+    """The rows of docs, with columns of any names, for which keep(blocks of seen) is true; seen (named names, the text among them) is read by keep only.
+
+    text: the column of docs that seen has as "text"; if it holds strings, keep reads it there, nulls as nulls, and texts are not sent twice.
+    """
     n = len(docs.columns)
-    both = docs.select("*", *[c.alias(free_name(docs, f"seen{i}")) for i, c in enumerate(seen)])
-    plain = both.toDF(*[f"c{i}" for i in range(n + len(seen))])
+    at = docs.columns.index(text) if text in docs.columns and docs.schema[text].dataType == StringType() else None
+    more = [i for i, name in enumerate(names) if name != "text" or at is None]
+    place = [at if i not in more else n + more.index(i) for i in range(len(names))]
+    both = docs.select("*", *[seen[i].alias(free_name(docs, f"seen{i}")) for i in more])
+    plain = both.toDF(*[f"c{i}" for i in range(n + len(more))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = pa.RecordBatch.from_arrays(b.columns[:n], names=[f"c{i}" for i in range(n)])
-            at = 0
-            for block in blocks(pa.RecordBatch.from_arrays(b.columns[n:], names=names)):
-                yield own.slice(at, len(block)).filter(pa.array(keep(block), pa.bool_()))
-                at += len(block)
+            done = 0
+            for block in blocks(pa.RecordBatch.from_arrays([b.column(i) for i in place], names=names)):
+                yield own.slice(done, len(block)).filter(pa.array(keep(block), pa.bool_()))
+                done += len(block)
 
     kinds = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     return plain.mapInArrow(run, kinds).toDF(*docs.columns)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -60,5 +61,27 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stored(make(), name), without the tables that make() itself stored and the shuffles of its steps."""
+    with scope(spark) as own:
+        out = stored(make(), name)
+        path = own.pop()
+    keep([path])
+    release(spark)
+    return out
+
+
+def keep(paths: list[str]) -> None:
+    """Hands paths that were taken out of an inner scope to the one around it, if any."""
+    if (made := _made.get()) is not None:
+        made += paths
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so once the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -22,6 +22,7 @@ and tasks return spanning links only, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil, log
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._split import bit_table, column, free_name, maybe, part_rows, split_join
-from loomspark.llm._store import stored
+from loomspark.llm._store import keep, release, scope, stored, stored_alone
 from loomspark.llm._text import FOLDED, Words, blocks, longs, mix, split
 from loomspark.llm.components import components
 
@@ -41,6 +42,8 @@ COMMON_OF, COMMON_IN, COMMON_MOST = 10_000, 4, 1 << 17
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 2048
 #: Members of a family that meet one copy of its pivot in a task.
 SPREAD = 2048
+#: Passes in which sets meet by their signatures, each with its share of them, so that the shuffles of one are gone before the next.
+PASSES = 6
 _U = np.uint64
 
 
@@ -132,7 +135,7 @@ def sets(words: Words, size: int) -> list[np.ndarray]:
 
 
 def profiles(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signatures."""
+    """doc_id, n_shingles, digest of the set, signatures by pass (s0, s1 ...)."""
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))  # 1 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +144,20 @@ def profiles(docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
             for block in blocks(b):
                 found = sets(split(block.column("text"), FOLDED), size)
                 signed = [signer.signatures(s, held.value) if len(s) else s for s in found]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in signed])])
-                values = pa.array(np.concatenate(signed).view(np.int64) if len(signed) else np.empty(0, np.int64))
+                owner = np.repeat(np.arange(len(signed)), [len(s) for s in signed])
+                values = np.concatenate([*signed, np.empty(0, _U)])
+                turn = values % _U(PASSES)
+                parts = []
+                for k in range(PASSES):
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[turn == k], minlength=len(signed)))])
+                    parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), longs(values[turn == k])))
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), block.column("row_key"), pa.array([len(s) for s in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    ["doc_id", "row_key", "n_shingles", "digest", "signatures"],
+                    [block.column("doc_id"), block.column("row_key"), pa.array([len(s) for s in found], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), *parts],
+                    ["doc_id", "row_key", "n_shingles", "digest", *names],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, digest binary, signatures array<long>")
+    names = [f"s{k}" for k in range(PASSES)]
+    return docs.mapInArrow(run, "doc_id long, row_key long, n_shingles long, digest binary, " + ", ".join(f"{n} array<long>" for n in names))
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray] | None, part: int, whole: int) -> list[tuple[int, int]]:
@@ -222,8 +231,24 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     """
     clean = F.coalesce(column(text).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean.alias("text")).withColumn("row_key", F.xxhash64("text"))
-    seen = stored(profiles(rows, size, part, whole), "profiles")
-    live = seen.where("n_shingles > 0 and doc_id is not null")
+    spark = docs.sparkSession
+    with scope(spark) as made:  # signatures are dropped once families are known
+        full = stored(profiles(rows, size, part, whole), "profiles")
+        kept_from = len(made)
+        seen = stored(full.select("doc_id", "row_key", "n_shingles", "digest"), "sizes")
+        heads, twins, family = _families(full.where("n_shingles > 0 and doc_id is not null"))
+        later = made[kept_from:]
+        del made[kept_from:]
+    keep(later)
+    release(spark)
+    pairs = _links(rows, heads, family, size, part, whole)
+    # documents of one set, and one doc_id with several sets, are one node
+    roots = components(pairs.unionByName(twins))
+    return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _families(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the smallest document of each set; (a, b), a set's other documents b with that one; the families (node, root) of sets that share a signature."""
     heads = stored(live.groupBy("digest").agg(F.min(F.struct("doc_id", "row_key", "n_shingles")).alias("h")).select("digest", "h.*"), "heads")
     # copies of a set give way to its smallest document
     copies = live.groupBy("digest").agg(F.count("*").alias("c"))
@@ -232,14 +257,14 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     twins = stored(twins.where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "twins")
     # each signature's first document stands for the others; the running frame keeps one row of a hot signature in memory
     own = live.join(heads.select("doc_id", "row_key").hint("shuffle_hash"), ["doc_id", "row_key"], "left_semi")
-    signed = own.select("doc_id", F.explode("signatures").alias("sig"))
     first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    star = signed.select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-    family = stored(components(star), "families")
-    pairs = _links(rows, heads, family, size, part, whole)
-    # documents of one set, and one doc_id with several sets, are one node
-    roots = components(pairs.unionByName(twins))
-    return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    stars = []
+    for k in range(PASSES):
+        signed = own.select("doc_id", F.explode(f"s{k}").alias("sig"))
+        stars.append(stored(signed.select(first.alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), "star"))
+        release(live.sparkSession)
+    star = reduce(DataFrame.unionByName, stars)
+    return heads, twins, stored_alone(star.sparkSession, lambda: components(star), "families")
 
 
 def without_copies(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100, text: str = "text") -> DataFrame:
@@ -256,8 +281,8 @@ def without_copies(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int
     else:
         order = docs.orderBy(doc_id.asc_nulls_last(), F.xxhash64(column(text)), F.xxhash64(*map(column, docs.columns)))
         rows = stored(order.withColumn(key, F.monotonically_increasing_id()), "numbered")
-    found = shingle_components(rows.select(column(key).alias("doc_id"), column(text).alias("text")), size=size, part=part, whole=whole)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "copies")
+    found = lambda: shingle_components(rows.select(column(key).alias("doc_id"), column(text).alias("text")), size=size, part=part, whole=whole)
+    gone = stored_alone(docs.sparkSession, lambda: found().where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "copies")
     some, others = part_rows(rows, F.xxhash64(key), gone.select(F.xxhash64(key).alias("h")))
     return some.join(gone, key, "left_anti").unionByName(others).select(*map(column, docs.columns))
 
@@ -313,6 +338,7 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part
     total = member.groupBy("root").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("docs"))
     member = stored(split_join(member, stored(total, "totals"), ["root"], "docs"), "members")
     every = stored(_sets(rows, member, size), "sets")
+    release(rows.sparkSession)
     fits = (F.col("shingles") <= BLOCK_SHINGLES) & (F.col("docs") <= BLOCK_DOCS)
     verify = _verify(part, whole)
     small = every.where(fits).select("root", "doc_id", "s", F.lit(0).alias("side")).groupBy("root").applyInArrow(verify, "a long, b long")

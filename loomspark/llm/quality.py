@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, model: CoModel, *, text: str = "text", least: flo
     """The rows of docs, with all their columns, that score_quality keeps. Scored in place: no join, no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = lambda block: sigmoid(held.value.odds(content_view(block), metadata_view(block))) >= least
-    return filtered(docs, _seen(docs, text), ["doc_id", "text", "lang", "source", "n_chars"], keep)
+    return filtered(docs, _seen(docs, text), ["doc_id", "text", "lang", "source", "n_chars"], keep, text)

@@ -45,9 +45,10 @@ def bit_table(hashes: DataFrame, name: str, *, most_bits: int = MOST_BITS) -> np
     at = F.shiftrightunsigned(name, 64 - bits) + 1  # bit numbers count from 1
     parts = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    for r in parts.toLocalIterator():
-        at = (r.b - 1) << 12
-        table[at : at + 4096] = np.frombuffer(r.m, np.uint8)
+    for batch in parts.toArrow().to_batches():
+        for b, m in zip(batch.column("b").to_pylist(), batch.column("m"), strict=True):
+            at = (b - 1) << 12
+            table[at : at + 4096] = np.frombuffer(m.as_buffer(), np.uint8)
     return table
 
 

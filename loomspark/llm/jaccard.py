@@ -256,7 +256,8 @@ def _families(live: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     twins = split_join(stored(twins, "nodes"), heads.join(copies, "digest").select("digest", F.col("doc_id").alias("a"), "c"), ["digest"], "c")
     twins = stored(twins.where("doc_id <> a").select("a", F.col("doc_id").alias("b")), "twins")
     # each signature's first document stands for the others; the running frame keeps one row of a hot signature in memory
-    own = live.join(heads.select("doc_id", "row_key").hint("shuffle_hash"), ["doc_id", "row_key"], "left_semi")
+    # a bit table keeps most copies out without a shuffle of signatures; one that stays is linked with its set's first document anyway
+    own, _ = part_rows(live, F.xxhash64("doc_id", "row_key"), heads.select(F.xxhash64("doc_id", "row_key").alias("h")))
     first = F.first("doc_id").over(Window.partitionBy("sig").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     stars = []
     for k in range(PASSES):

@@ -14,7 +14,7 @@ from loomspark.llm._split import MOST_HEAVY, split_join
 from loomspark.llm._store import stored
 
 #: Edges that a task holds at a time.
-BLOCK_EDGES = 1 << 19
+BLOCK_EDGES = 1 << 17
 #: Blocks after the first round, if the edges left fit; an eighth of them in each further round.
 BLOCKS = 8
 

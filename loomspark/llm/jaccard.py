@@ -241,9 +241,9 @@ def shingle_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
         del made[kept_from:]
     keep(later)
     release(spark)
-    pairs = _links(rows, heads, family, size, part, whole)
-    # documents of one set, and one doc_id with several sets, are one node
-    roots = components(pairs.unionByName(twins))
+    # documents of one set, and one doc_id with several sets, are one node; stored, so that no task has Python workers of both steps
+    pairs = stored(_links(rows, heads, family, size, part, whole).unionByName(twins), "pairs")
+    roots = components(pairs)
     return seen.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -45,7 +45,7 @@ def jobs(spark, run):
 
 
 @pytest.mark.parametrize("graph", GRAPHS)
-@pytest.mark.parametrize(("block", "heavy"), [(1 << 19, 100_000), (16, 100_000), (16, 0)])
+@pytest.mark.parametrize(("block", "heavy"), [(1 << 17, 100_000), (16, 100_000), (16, 0)])
 def test_blocks(spark, monkeypatch, graph, block, heavy):
     """Also in blocks that hardly shrink, with star rounds after them, and with pointers followed by a shuffle."""
     monkeypatch.setattr(components, "BLOCK_EDGES", block)

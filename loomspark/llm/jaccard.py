@@ -13,7 +13,9 @@ are common in a sample stay out of the subsets; a set that then has too few left
 all its shingles, so two such sets meet there.
 
 Sets with a shared signature form families. Small families are compared in
-one task. In a large one every set is first compared with a pivot, the member most like
+one task. Chance signatures chain families the more, the more documents there are, so a very large one is first cut
+into finer ones: of each set a short print of parity bits meets those of like sizes, and as two prints differ in no more bits than
+their sets do in shingles, those that can link stay together. In a large one every set is then compared with a pivot, the member most like
 the shingles that most members have; what links with it is one group already, and only the
 others are compared with all, by pairs of bounded blocks of like sizes. Common shingles are counted exactly,
 and tasks return spanning links only, never all pairs.
@@ -28,18 +30,22 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm._split import bit_table, column, free_name, maybe, part_rows, split_join
 from loomspark.llm._store import keep, release, scope, stored, stored_alone
 from loomspark.llm._text import FOLDED, Words, blocks, longs, mix, split
-from loomspark.llm.components import components
+from loomspark.llm.components import BLOCK_EDGES, components, lowest
 
 SPARE = 1.1
 COMMON_OF, COMMON_IN, COMMON_MOST = 10_000, 4, 1 << 17
 #: Shingles and documents of a block of a large family, about; one document at least.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 19, 2048
+#: Families of more shingles or documents are cut by the prints of their sets before sets meet.
+FINE_SHINGLES, FINE_DOCS = 4 * BLOCK_SHINGLES, 4 * BLOCK_DOCS
+#: Bytes and prints of a block of a very large family, about.
+PRINT_BYTES, PRINT_DOCS = 1 << 21, 1 << 14
 #: Members of a family that meet one copy of its pivot in a task.
 SPREAD = 2048
 #: Passes in which sets meet by their signatures, each with its share of them, so that the shuffles of one are gone before the next.
@@ -333,6 +339,94 @@ def pivoted(large: DataFrame, part: int, whole: int) -> DataFrame:
     return _beside(large, pivot).select("root", "doc_id", "n", "s", F.col("p.doc_id").alias("pivot"), (~linked).alias("is_open"))
 
 
+def prints(sets_: DataFrame) -> DataFrame:
+    """root, doc_id, n and p, the parity bits of how many shingles fall on each of 4 to 8 places a shingle, a power of two of at least 64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = b.column("s")
+            ends, flat = np.asarray(cells.offsets), np.asarray(cells.values).view(_U)
+            made = []
+            for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                bits = max(64, 1 << (4 * (z - a) - 1).bit_length())
+                place = (mix(flat[a:z], 7) & _U(bits - 1)).astype(np.int64)
+                made.append(np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "doc_id", "n")), pa.array(made, pa.binary())], ["root", "doc_id", "n", "p"])
+
+    return sets_.select("root", "doc_id", "n", "s").mapInArrow(run, "root long, doc_id long, n long, p binary")
+
+
+def _alike(part: int, whole: int):
+    """(a, b) for the prints of one or two blocks: spanning links of those whose sets may link. A print with its halves folded onto each other is the shorter print of the same set."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, side, n = (np.asarray(table.column(c)) for c in ("doc_id", "side", "n"))
+        made = [np.frombuffer(p.as_buffer(), "<u8") for p in table.column("p").combine_chunks()]
+        least = min(map(len, made))
+        bits = np.array([np.bitwise_xor.reduce(p.reshape(-1, least)) for p in made])
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
+        alone = not len(two)
+        two = one if alone else two
+        other, held = np.ascontiguousarray(bits[two].T), [(np.empty(0, np.int64),) * 2]
+        step = max(1, (1 << 20) // len(two))
+        for at in range(0, len(one), step):
+            some = one[at : at + step]
+            apart = np.zeros((len(some), len(two)), np.int32)
+            for k in range(least):
+                apart += np.bitwise_count(bits[some, k, None] ^ other[k])
+            i, j = np.nonzero((whole + part) * apart <= (whole - part) * (n[some, None] + n[two]))
+            if alone:
+                i, j = i[i + at < j], j[i + at < j]
+            held.append((ids[some[i]], ids[two[j]]))
+            if sum(len(a) for a, _ in held) > BLOCK_EDGES:
+                held = [lowest(*map(np.concatenate, zip(*held, strict=True)))]
+        node, low = lowest(*map(np.concatenate, zip(*held, strict=True)))
+        return pa.table({"a": low[node != low], "b": node[node != low]})
+
+    return run
+
+
+def _refined(every: DataFrame, part: int, whole: int) -> DataFrame:
+    """every with finer families for the very large ones; a set that can link with none has no row."""
+    vast = (F.col("docs") > FINE_DOCS) | (F.col("shingles") > FINE_SHINGLES)
+    some = every.where(vast)
+    if some.isEmpty():
+        return every
+    own = stored(prints(some).withColumn("is_open", F.lit(True)), "prints")
+    wide = _block_pairs(own, ["doc_id", "n", "p"], F.length("p"), PRINT_BYTES, PRINT_DOCS, part, whole)
+    near = stored(wide.groupBy("root", "i", "j").applyInArrow(_alike(part, whole), "a long, b long"), "alike")
+    fine = stored(components(near).withColumnRenamed("node", "doc_id"), "fine")
+    total = own.select("doc_id", "n").join(fine, "doc_id").groupBy("root").agg(F.sum("n").alias("shingles"), F.count("*").alias("docs"))
+    fine = split_join(fine, stored(total, "totals"), ["root"], "docs")
+    moved = stored(some.select("doc_id", "n", "s").join(fine, "doc_id"), "sets")
+    release(every.sparkSession)
+    return every.where(~vast).unionByName(moved.select(every.columns))
+
+
+def _block_pairs(large: DataFrame, columns: list[str], weight: Column, most: int, most_docs: int, part: int, whole: int) -> DataFrame:
+    """root, i, j, side and columns: the pairs of blocks of a family whose sizes can link and of which one is open, each with its rows, those of the second block on side 1.
+
+    A block has about `most` of the weight and most_docs rows. large (root, is_open, doc_id, n, ...) is read more than once: store it before.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / log(whole / part)).cast("int")  # links reach the next level at most
+    cut = large.withColumn("level", level)
+    kind = ["root", "is_open", "level"]
+    held = cut.groupBy(*kind).agg(F.sum(weight).alias("sum"), F.count("*").alias("c"))
+    held = held.withColumn("parts", F.greatest(F.ceil(F.col("sum") / most), F.ceil(F.col("c") / most_docs)).cast("int"))
+    cut = split_join(cut, stored(held.select(*kind, "c", "parts"), "kinds"), kind, "c").withColumn("sub", F.pmod(F.xxhash64("doc_id", "n"), "parts").cast("int"))
+    cut = stored(cut.drop("c", "parts"), "cut")
+    # blocks in order of size
+    block = cut.groupBy(*kind, "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    block = stored(block.withColumn("no", F.row_number().over(Window.partitionBy("root").orderBy("is_open", "level", "sub"))), "blocks")
+    other = block.select("root", *[F.col(c).alias(f"{c}2") for c in ("no", "lo", "hi", "is_open")])
+    pair = block.join(other, "root").where((F.col("no") <= F.col("no2")) & (F.col("is_open") | F.col("is_open2")) & (whole * F.least("hi", "hi2") >= part * F.greatest("lo", "lo2")))
+    ends = pair.select("root", F.col("no").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(0).alias("side"))
+    ends = ends.unionByName(pair.where("no < no2").select("root", F.col("no2").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(1).alias("side")))
+    ends = ends.join(block.select(*kind, "sub", F.col("no").alias("at")), ["root", "at"])
+    return cut.join(ends, [*kind, "sub"]).select("root", "i", "j", "side", *columns)
+
+
 def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part: int, whole: int) -> DataFrame:
     """(a, b): links that join what all links join."""
     member = stored(heads.select("doc_id", "row_key", "n_shingles").join(family.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
@@ -340,6 +434,7 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part
     member = stored(split_join(member, stored(total, "totals"), ["root"], "docs"), "members")
     every = stored(_sets(rows, member, size), "sets")
     release(rows.sparkSession)
+    every = _refined(every, part, whole)
     fits = (F.col("shingles") <= BLOCK_SHINGLES) & (F.col("docs") <= BLOCK_DOCS)
     verify = _verify(part, whole)
     small = every.where(fits).select("root", "doc_id", "s", F.lit(0).alias("side")).groupBy("root").applyInArrow(verify, "a long, b long")
@@ -347,22 +442,7 @@ def _links(rows: DataFrame, heads: DataFrame, family: DataFrame, size: int, part
     if large.isEmpty():
         return small
     large = stored(pivoted(large, part, whole), "pivoted")
-    # blocks in order of size, and the pairs of blocks whose sizes can link and of which one is open
-    level = F.floor(F.log(F.col("n").cast("double")) / log(whole / part)).cast("int")  # links reach the next level at most
-    cut = large.withColumn("level", level)
-    kind = ["root", "is_open", "level"]
-    held = cut.groupBy(*kind).agg(F.sum("n").alias("sum"), F.count("*").alias("c"))
-    held = held.withColumn("parts", F.greatest(F.ceil(F.col("sum") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_DOCS)).cast("int"))
-    cut = split_join(cut, stored(held.select(*kind, "c", "parts"), "kinds"), kind, "c").withColumn("sub", F.pmod(F.xxhash64("doc_id", "n"), "parts").cast("int"))
-    cut = stored(cut.drop("c", "parts"), "cut")
-    block = cut.groupBy(*kind, "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    block = stored(block.withColumn("no", F.row_number().over(Window.partitionBy("root").orderBy("is_open", "level", "sub"))), "blocks")
-    other = block.select("root", *[F.col(c).alias(f"{c}2") for c in ("no", "lo", "hi", "is_open")])
-    pair = block.join(other, "root").where((F.col("no") <= F.col("no2")) & (F.col("is_open") | F.col("is_open2")) & (whole * F.least("hi", "hi2") >= part * F.greatest("lo", "lo2")))
-    ends = pair.select("root", F.col("no").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(0).alias("side"))
-    ends = ends.unionByName(pair.where("no < no2").select("root", F.col("no2").alias("at"), F.col("no").alias("i"), F.col("no2").alias("j"), F.lit(1).alias("side")))
-    ends = ends.join(block.select(*kind, "sub", F.col("no").alias("at")), ["root", "at"])
-    wide = cut.join(ends, [*kind, "sub"]).select("root", "i", "j", "side", "doc_id", "s")
+    wide = _block_pairs(large, ["doc_id", "s"], F.col("n"), BLOCK_SHINGLES, BLOCK_DOCS, part, whole)
     made = wide.groupBy("root", "i", "j").applyInArrow(verify, "a long, b long")
     hubs = large.where("not is_open and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
     return small.unionByName(made).unionByName(hubs)

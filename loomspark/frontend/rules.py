@@ -48,16 +48,26 @@ COMPLEXITY_LIMITS = {"lines": 80, "params": 5, "cyclomatic": 10, "nesting": 4}
 REACT_LIMITS = {"component": 200, "effect": 50}
 
 
-def finding(df: DataFrame, source: str, rule: str, severity: Column | str, category: str, title: str, message: Column, suggestion: str | None = None) -> DataFrame:
+def finding(df: DataFrame, source: str, rule: Column | str, severity: Column | str, category: str, title: Column | str, message: Column, suggestion: Column | str | None = None) -> DataFrame:
     """df has rel_path and the bounds of what is reported."""
     one = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return df.select(F.lit(source).alias("source"), F.lit(rule).alias("rule_id"), one(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title"), one(message).alias("message"), "rel_path", "line_start", F.col("col_start").alias("column_start"), "line_end", F.col("col_end").alias("column_end"), F.lit(suggestion).cast("string").alias("suggestion"), F.lit(False).alias("fixable"))
+    return df.select(F.lit(source).alias("source"), one(rule).alias("rule_id"), one(severity).alias("severity"), F.lit(category).alias("category"), one(title).alias("title"), one(message).alias("message"), "rel_path", "line_start", F.col("col_start").alias("column_start"), "line_end", F.col("col_end").alias("column_end"), one(suggestion).cast("string").alias("suggestion"), F.lit(False).alias("fixable"))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What functions() reads of the nodes; see nodes.parsed().
+MEASURED = ["rel_path", "node_id", "type", "role", "parent_type", "fn_id", "in_body", "nesting", "label", "line_start", "line_end", "col_start", "col_end", "n_params", "flags"]
+_WEIGHED = {*FUNCTIONS, *DECISIONS, *NESTING, "LogicalExpression"}
+
+
+def weighed(row: dict) -> bool:
+    """Whether a node is a function or adds to the measures of one."""
+    return row["type"] in _WEIGHED or row["role"] == "test" and row["parent_type"] == "SwitchCase"
+
+
 def functions(nodes: DataFrame) -> DataFrame:
     """One row per function: name, kind, bounds, lines, params, cyclomatic complexity, nesting, async, generator.
 
@@ -92,14 +102,16 @@ def complexity_findings(nodes: DataFrame, limits: dict[str, int] = COMPLEXITY_LI
         ("cyclomatic", "complexity/high-cyclomatic-complexity", "High cyclomatic complexity", "has cyclomatic complexity %d", "Break the decision logic into smaller focused functions or dispatch tables."),
         ("nesting", "complexity/deep-nesting", "Deep decision nesting", "has a nesting depth of %d", "Use guard clauses, early returns, or extract nested blocks into helper functions."),
     ]
-    out = []
+    told = []
     for measure, rule, title, says, suggestion in rules:
         most, m = limits[measure], F.col(measure)
         severity = F.when(m >= 2 * most, "high").otherwise("medium")
         severity = F.when(m >= 2 * most, "high").when(m == most + 1, "low").otherwise("medium") if measure == "params" else severity
         message = F.format_string(f"Function '%s' {says}, exceeding the configured maximum of {most}.", "name", m)
-        out.append(finding(f.where(m > most), "complexity", rule, severity, "maintainability", title, message, suggestion))
-    return union(out)
+        told.append(F.when(m > most, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), F.lit(title).alias("title"), message.alias("message"), F.lit(suggestion).alias("suggestion"))))
+    # functions are measured once for all rules
+    each = f.withColumn("told", F.explode(F.array_compact(F.array(*told))))
+    return finding(each, "complexity", F.col("told.rule"), F.col("told.severity"), "maintainability", F.col("told.title"), F.col("told.message"), F.col("told.suggestion"))
 
 
 def _react_names(nodes: DataFrame) -> DataFrame:

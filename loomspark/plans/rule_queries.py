@@ -137,7 +137,7 @@ def complexity_findings(spark, sf_dir: str) -> DataFrame:
     depth = (k % 11).cast("int")
     body = F.concat(F.repeat(F.lit("if (a) { "), depth), F.repeat(F.lit("b();\n"), F.col("size") * 2), F.repeat(F.lit(" }"), depth), F.repeat(F.lit(" a && b;"), (k % 17).cast("int")))
     source = F.concat(F.lit("function f"), k.cast("string"), F.lit("("), params, F.lit(") {\n"), body, F.lit("\n}"))
-    nodes = written(N.parsed(_part(spark, sf_dir).select(_named(k).alias("rel_path"), source.alias("source_text"))), "nodes")
+    nodes = written(N.parsed(_part(spark, sf_dir).select(_named(k).alias("rel_path"), source.alias("source_text")), rules.MEASURED, rules.weighed), "nodes")
     return rules.complexity_findings(nodes).select("rel_path", "rule_id", "severity", "message", "line_start", "line_end")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.frontend import dependencies
 from loomspark.frontend.nodes import FUNCTIONS, LOOPS
 from loomspark.functions import text as T
+from loomspark.plans.store import written
 
 # Objects, methods and functions that reach services; confidence when safe and when not, and the reason, by kind.
 SERVICE_OBJECTS = ["axios", "ky", "api", "apiClient", "http", "client", "localStorage", "sessionStorage", "indexedDB"]
@@ -21,14 +24,23 @@ KINDS = {
     "constant-group": (0.88, 0.55, "Group of related constants and static configuration data."),
 }
 BLOCKING = ["Conditional hook", "eval()", "with statement", "CommonJS", "mutable variable"]
+#: What detected() reads of the nodes; see nodes.parsed().
+READ = ["rel_path", "node_id", "parent_id", "last_id", "role", "type", "name", "op", "value", "path", "line_start", "line_end", "parent_type", "grand_type", "fn_id", "top_id", "access", "binding_id", "binding_kind"]
+BRANCHES = ("IfStatement", "SwitchStatement", *LOOPS, "ConditionalExpression", "LogicalExpression")
+DECLARED = ("FunctionDeclaration", "ClassDeclaration", "VariableDeclarator")
+_TYPES = {*FUNCTIONS, *BRANCHES, *DECLARED, "VariableDeclaration", "CallExpression", "NewExpression", "AssignmentExpression", "ObjectMethod", "SpreadElement", "MemberExpression", "WithStatement", "JSXElement", "JSXFragment"}
 HOOK = r"^(React\.)?use[A-Z][A-Za-z0-9_$]*$"
 
 
+def told(row: dict) -> bool:
+    """Whether a node tells detected() something: names in use, declarations and their values, what has effects or branches, and what the file's top level holds."""
+    return row["type"] in _TYPES or row["access"] is not None or row["role"] in ("id", "init", "superClass", "local") or row["parent_type"] in ("Program", "ExportDefaultDeclaration")
+
+
 def facts(nodes: DataFrame, decls: DataFrame) -> DataFrame:
     """For each declaration: is_service, has_hooks, has_effects (of a variable's value), init_type, returns_jsx, risks."""
     d = decls.select("rel_path", "top_id", "decl_id", "last_id")
     inner = nodes.select("rel_path", "top_id", "node_id", F.col("last_id").alias("inner_last"), "type", "name", "path", "role", "parent_id", "parent_type", "grand_type", "fn_id", "value")
-    inside = inner.join(d, ["rel_path", "top_id"]).where("node_id between decl_id and last_id")
     call = F.col("type") == "CallExpression"
     callee = (F.col("role") == "callee") & (F.col("parent_type") == "CallExpression") & (F.col("type") == "MemberExpression")
     parts = F.split("path", r"\.")
@@ -40,11 +52,15 @@ def facts(nodes: DataFrame, decls: DataFrame) -> DataFrame:
     # what runs when a variable is set, outside of nested functions
     acts = F.col("fn_id").isNull() & (F.col("type").isin("NewExpression", "AssignmentExpression", "ObjectMethod") | (call & ~F.coalesce(F.col("path") == "Object.freeze", F.lit(False))) | ((F.col("type") == "SpreadElement") & (F.col("parent_type") == "ObjectExpression")))
     made = F.col("type").isin("JSXElement", "JSXFragment") | (call & F.col("path").isin("createElement", "React.createElement"))
+    # nodes that tell nothing stay out of the join; each declaration tells of itself
+    tells = [service, hook, acts, F.col("type") == "WithStatement", call & (F.col("path") == "eval"), common, F.col("role") == "init", made, F.col("type").isin(*BRANCHES, *DECLARED)]
+    tells = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in tells])
+    inside = inner.where(tells).join(d, ["rel_path", "top_id"]).where("node_id between decl_id and last_id")
     found = inside.groupBy("rel_path", "decl_id").agg(
         has(service).alias("is_service"), has(hook).alias("has_hooks"), has(acts & (F.col("node_id") > F.col("decl_id"))).alias("has_effects"), has((F.col("type") == "WithStatement")).alias("r_with"), has(call & (F.col("path") == "eval")).alias("r_eval"), has(common).alias("r_common"),
         F.max(F.when((F.col("role") == "init") & (F.col("parent_id") == F.col("decl_id")), F.col("type"))).alias("init_type"), has(made & (F.col("parent_type") == "ReturnStatement") & (F.col("fn_id") == F.col("decl_id"))).alias("returns_jsx"),
     )
-    branches = inside.where(F.col("type").isin("IfStatement", "SwitchStatement", *LOOPS, "ConditionalExpression", "LogicalExpression")).select("rel_path", "decl_id", F.col("node_id").alias("b_id"), F.col("inner_last").alias("b_last"))
+    branches = inside.where(F.col("type").isin(*BRANCHES)).select("rel_path", "decl_id", F.col("node_id").alias("b_id"), F.col("inner_last").alias("b_last"))
     hooks = inside.where(hook).select("rel_path", "decl_id", "node_id")
     conditional = hooks.join(branches, ["rel_path", "decl_id"]).where("node_id > b_id and node_id <= b_last").select("rel_path", "decl_id").distinct().withColumn("r_hook", F.lit(True))
     found = found.join(conditional, ["rel_path", "decl_id"], "left")
@@ -85,7 +101,7 @@ def detected(nodes: DataFrame, *, min_lines: int = 20, most: int = 10) -> DataFr
     external_imports, captured, risks, safety (automatic-ready, manual-review or blocked). A file's main component stays: its default export, else the
     one named like the file. A value counts as having effects if a call, assignment or spread runs while it is set.
     """
-    g = dependencies.graph(nodes)
+    g = written(dependencies.graph(nodes), "graph")  # read four times below
     stem = F.regexp_extract("rel_path", r"([^/]+?)(\.[^./]*)?$", 1)
     rank = F.when(F.col("is_default"), 1).when(F.col("name") == stem, 2)
     main = g.where("kind = 'react-component'").withColumn("rank", rank).where("rank is not null").groupBy("rel_path").agg(F.min_by("name", F.struct("rank", "line_start", "decl_id")).alias("main"))
@@ -106,6 +122,7 @@ def detected(nodes: DataFrame, *, min_lines: int = 20, most: int = 10) -> DataFr
     pick = lambda k: F.coalesce(*[F.when(F.col("what") == w, F.lit(v[k])) for w, v in KINDS.items()])
     none = F.array().cast("array<string>")
     top = d.select("rel_path", F.col("what").alias("kind"), F.col("name").alias("symbol"), "line_start", "line_end", pick(2).alias("reason"), F.when(safe, pick(0)).otherwise(pick(1)).alias("confidence"), "dependencies", "dependents", "external_imports", none.alias("captured"), "risks")
+    top = written(top, "top")
     files = main.withColumnRenamed("main", "_main")
     inner = nested(nodes).join(top.select("rel_path", "symbol"), ["rel_path", "symbol"], "left_anti").join(files, "rel_path", "left")
     inner = inner.withColumn("dependents", F.array(F.coalesce("_main", stem))).withColumn("dependencies", none).withColumn("external_imports", none).drop("_main")

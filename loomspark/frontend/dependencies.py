@@ -52,7 +52,8 @@ def declarations(nodes: DataFrame) -> DataFrame:
 def uses(nodes: DataFrame, decls: DataFrame) -> DataFrame:
     """rel_path, src, dst, kind (declaration or import): names of the file's top level that a declaration uses, its own name left out."""
     d = decls.select("rel_path", "top_id", "decl_id", "last_id", F.col("name").alias("src"))
-    refs = nodes.where("access in ('r', 'w', 'rw') and binding_id is not null").select("rel_path", "top_id", "node_id", "binding_id", "binding_kind", F.col("name").alias("dst"))
+    # parameters, caught errors and own names of expressions are neither declarations of the top level nor imports
+    refs = nodes.where("access in ('r', 'w', 'rw') and binding_id is not null and binding_kind not in ('param', 'catch', 'fn-name')").select("rel_path", "top_id", "node_id", "binding_id", "binding_kind", F.col("name").alias("dst"))
     inside = refs.join(d, ["rel_path", "top_id"]).where("node_id between decl_id and last_id and dst <> src")
     names = nodes.where("access = 'd' and role = 'id'").select("rel_path", F.col("node_id").alias("binding_id"), F.col("parent_id").alias("holder"))
     targets = names.join(decls.select("rel_path", F.col("decl_id").alias("holder")), ["rel_path", "holder"], "left_semi").select("rel_path", "binding_id").withColumn("known", F.lit(True))

@@ -147,7 +147,7 @@ def split_candidates(spark, sf_dir: str) -> DataFrame:
     head = "import axios from 'axios';\nconst LIMITS_@ = { a: 1 };\nexport async function fetchItem_@(id) {\n  return axios.get('/x/' + id);\n}\nexport const useItem_@ = () => React.useState(LIMITS_@);\nexport function sum_@(a, b) {\n"
     tail = "  return a + b;\n}\nexport default function Page_@() { return <div>{useItem_@()}</div> }\n"
     source = F.replace(F.concat(F.lit(head), F.repeat(F.lit("  b = a + b;\n"), F.col("size")), F.lit(tail)), F.lit("@"), k)
-    nodes = written(N.parsed(_part(spark, sf_dir).select(F.concat(F.lit("p"), k, F.lit("/orders.js")).alias("rel_path"), source.alias("source_text"))), "nodes")
+    nodes = written(N.parsed(_part(spark, sf_dir).select(F.concat(F.lit("p"), k, F.lit("/orders.js")).alias("rel_path"), source.alias("source_text")), candidates.READ, candidates.told), "nodes")
     found = targets.allocated(written(candidates.detected(nodes), "candidates"))
     return found.select("rel_path", "kind", "symbol", "line_start", "line_end", "confidence", "safety", "target_file", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"))
 

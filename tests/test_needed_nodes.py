@@ -2,7 +2,9 @@
 
 import re
 
-from loomspark.frontend import rules
+from pyspark.sql import functions as F
+
+from loomspark.frontend import candidates, rules
 from loomspark.frontend import nodes as N
 from loomspark.plans import rule_queries as Q
 from loomspark.plans.store import written
@@ -30,3 +32,12 @@ def test_complexity_needs_few_nodes_and_measures_once(spark):
     assert some.columns == rules.MEASURED and 3 * some.count() < every.count()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[", plan)) <= 3  # before: for each of the four rules
+
+
+def test_candidates_need_few_nodes(spark):
+    every, some = written(N.parsed(files(spark))), written(N.parsed(files(spark), candidates.READ, candidates.told))
+    found = candidates.detected(some, min_lines=1)
+    assert rows(found) == rows(candidates.detected(every, min_lines=1)) and found.select(F.countDistinct("kind")).first()[0] >= 4
+    assert some.columns == candidates.READ and some.count() < every.count()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[", plan)) <= 16  # the graph of declarations is made once

@@ -45,6 +45,8 @@ INTERFACES = r"""^(?:AbsoluteOrientation|Accelerometer|Ambient|Analyser|Animatio
 |Worklet|Writable|XML|XPath|XR|XSLT)(?:[A-Z0-9]\w*|Source|List|)$|^on[a-z]{3,}$|^webkit[A-Z]\w*$""".replace("\n", "")
 FINDING = ["source", "rule_id", "severity", "category", "title", "message", "rel_path", "line_start", "column_start", "line_end", "column_end", "suggestion", "fixable"]
 COMPLEXITY_LIMITS = {"lines": 80, "params": 5, "cyclomatic": 10, "nesting": 4}
+#: Rules of one plan, where many are asked for.
+AT_ONCE = 4
 REACT_LIMITS = {"component": 200, "effect": 50}
 
 
@@ -68,6 +70,11 @@ def weighed(row: dict) -> bool:
     return row["type"] in _WEIGHED or row["role"] == "test" and row["parent_type"] == "SwitchCase"
 
 
+def gathered(parts: list[DataFrame]) -> DataFrame:
+    """union() of stored findings, AT_ONCE parts at a time: a plan over all rules has hundreds of joins, whose plans, metrics and small tables the driver would hold at once."""
+    return union([written(union(parts[i : i + AT_ONCE]), "findings") for i in range(0, len(parts), AT_ONCE)])
+
+
 def functions(nodes: DataFrame) -> DataFrame:
     """One row per function: name, kind, bounds, lines, params, cyclomatic complexity, nesting, async, generator.
 
@@ -297,7 +304,7 @@ def lint_findings(nodes: DataFrame, rules: list[str] | None = None, known: tuple
         severity, category, title = LINT[rule]
         df, message = made[rule]
         parts.append(finding(df, "eslint", rule, severity, category, title, message))
-    return union(parts)
+    return gathered(parts) if len(parts) > AT_ONCE else union(parts)
 
 
 def _around(n: DataFrame) -> DataFrame:

@@ -41,3 +41,11 @@ def test_candidates_need_few_nodes(spark):
     assert some.columns == candidates.READ and some.count() < every.count()
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[", plan)) <= 16  # the graph of declarations is made once
+
+
+def test_no_plan_holds_all_rules(spark):
+    """Few rules are found and stored at a time; what is returned reads their findings."""
+    nodes = written(N.parsed(files(spark)))
+    found = rules.lint_findings(nodes)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(rules.lint_findings(nodes, ["eqeqeq", "no-dupe-keys"])) == rows(found.where("rule_id in ('eqeqeq', 'no-dupe-keys')")) and found.select(F.countDistinct("rule_id")).first()[0] >= 25
